@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweetframe.llm import language_id
-from sweetframe.llm._common import crc_mod, table
+from sweetframe.llm import language_id, simhash
+from sweetframe.llm._common import crc_mod, cut, table
 
 #: Where the vocabulary files of public tokenizers lie; read on the driver only.
 TOKENIZERS = os.environ.get("SWEETFRAME_TOKENIZERS", "/opt/tokenizers")
@@ -22,8 +22,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prints = cut(docs.select("doc_id", simhash.fingerprint(F.col("text"), size=4).alias("fp")))
+    return simhash.group(prints).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op9_simhash_groups": op9_simhash_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweetframe.llm import language_id, simhash
+from sweetframe.llm import language_id, secrets, simhash
 from sweetframe.llm._common import crc_mod, cut, table
 
 #: Where the vocabulary files of public tokenizers lie; read on the driver only.
@@ -28,9 +28,19 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(prints).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", secrets.scan(spark, F.col("text")).alias("found"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("found.strong", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    rank = lambda x: F.array_position(F.array(*map(F.lit, secrets.KINDS)), x["kind"])
+    every = F.transform(F.array_sort(F.transform(F.concat("found.strong", "found.linked"), lambda x: F.struct(x["start"], rank(x), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: x)
+    return docs.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(written(F.col("found.strong")), 256).alias("base_sha256"), written(every).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op9_simhash_groups": op9_simhash_groups,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}

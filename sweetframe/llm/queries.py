@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweetframe.llm import language_id, secrets, simhash
+from sweetframe.llm import language_id, licenses, secrets, simhash
 from sweetframe.llm._common import crc_mod, cut, table
 
 #: Where the vocabulary files of public tokenizers lie; read on the driver only.
@@ -22,6 +22,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", licenses.scan(spark, F.col("text")).alias("found"))
+    joined = lambda name: F.array_join(f"found.{name}", ",").alias(name)
+    return docs.select("doc_id", "found.n_words", "found.n_base", "found.first_word", "found.last_word", joined("base_labels"), joined("labels"), "found.score")
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prints = cut(docs.select("doc_id", simhash.fingerprint(F.col("text"), size=4).alias("fp")))
@@ -39,6 +45,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op4_license_scan": op4_license_scan,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_scan": op10_secret_scan,
 }

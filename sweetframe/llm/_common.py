@@ -47,7 +47,7 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 10_000, mb: int = 32) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1_500, mb: int = 6) -> None:
     """Arrow batches end by bytes too, so that a few thousand very long texts don't meet in a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

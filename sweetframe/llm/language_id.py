@@ -213,7 +213,7 @@ def fit(
     return LanguageModel(languages, pieces, prob)
 
 
-def identify(spark: SparkSession, model: LanguageModel, text: Column, cache_words: int = 400_000) -> Column:
+def identify(spark: SparkSession, model: LanguageModel, text: Column, cache_words: int = 200_000) -> Column:
     """struct<lang, score> of each text: the likeliest language and its share of the summed likelihoods (equal priors)."""
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -232,7 +232,7 @@ def identify(spark: SparkSession, model: LanguageModel, text: Column, cache_word
                 known, logs, new = {}, logs[:0], list(set(flat))
             if new and m.languages:
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                logs = np.vstack([logs, *(log_marginals(lattice, m.prob, new[i : i + 50_000]) for i in range(0, len(new), 50_000))])
+                logs = np.vstack([logs, *(log_marginals(lattice, m.prob, new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
             counts = np.array([len(r) for r in runs], np.int64)
             best, score = np.full(len(runs), len(m.languages)), np.zeros(len(runs))
             if flat and m.languages:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweetframe.llm import language_id, licenses, secrets, simhash
+from sweetframe.llm import chat, language_id, licenses, mixing, quality, secrets, simhash, url_filter
 from sweetframe.llm._common import crc_mod, cut, table
 
 #: Where the vocabulary files of public tokenizers lie; read on the driver only.
@@ -22,12 +22,35 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_pairs(chat.swapped_replies(table(spark, sf_dir, "conversations")))
+
+
+#: The contract's rules: verdict, host, path, place.
+URL_RULES = (("block", "net", "/", 0), ("allow", "example.net", "/en/", 1), ("block", "example.com", "/de/", 2), ("allow", "org", "/fr/", 3))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string, place int")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", licenses.scan(spark, F.col("text")).alias("found"))
     joined = lambda name: F.array_join(f"found.{name}", ",").alias(name)
     return docs.select("doc_id", "found.n_words", "found.n_base", "found.first_word", "found.last_word", joined("base_labels"), joined("labels"), "found.score")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.rates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prints = cut(docs.select("doc_id", simhash.fingerprint(F.col("text"), size=4).alias("fp")))
@@ -45,9 +68,75 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_chat_format": op2_chat_format,
+    "op3_url_filter": op3_url_filter,
     "op4_license_scan": op4_license_scan,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_source_mix": op8_source_mix,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": """
+WITH replies AS (
+  SELECT conv_id, max(turn) AS t, arg_max(text, turn) AS reply FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+pairs AS (
+  SELECT a.conv_id, a.t, b.reply AS other FROM replies a JOIN replies b ON b.conv_id = xor(a.conv_id, 1)),
+told AS (
+  SELECT c.conv_id, c.turn, c.role, c.text AS chosen, CASE WHEN c.turn = p.t THEN p.other ELSE c.text END AS rejected,
+         min(CASE WHEN c.turn = p.t AND c.text <> p.other THEN c.turn END) OVER (PARTITION BY c.conv_id) AS differs
+  FROM conversations c JOIN pairs p ON c.conv_id = p.conv_id AND c.turn <= p.t),
+shown AS (
+  SELECT conv_id, turn, differs IS NULL OR turn < differs AS shared,
+         '<|im_start|>' || role || chr(10) || chosen || '<|im_end|>' || chr(10) AS chosen,
+         '<|im_start|>' || role || chr(10) || rejected || '<|im_end|>' || chr(10) AS rejected, length(role) + 13 AS head
+  FROM told)
+SELECT conv_id AS pair_id, count(*) FILTER (shared) AS n_prompt_turns,
+       coalesce(string_agg(chosen, '' ORDER BY turn) FILTER (shared), '') AS prompt,
+       coalesce(string_agg(chosen, '' ORDER BY turn) FILTER (NOT shared), '') AS chosen,
+       coalesce(string_agg(rejected, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected,
+       coalesce(string_agg(CAST(head AS VARCHAR) || ':' || CAST(length(chosen) AS VARCHAR), ',') FILTER (NOT shared), '') AS chosen_mask,
+       coalesce(string_agg(CAST(head AS VARCHAR) || ':' || CAST(length(rejected) AS VARCHAR), ',') FILTER (NOT shared), '') AS rejected_mask
+FROM shown GROUP BY conv_id
+""",
+    "op3_url_filter": """
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*(/[^?#]*)', 1) AS path FROM rest)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM (SELECT *, CASE
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' END AS rule FROM parts)
+""",
+    "op8_source_mix": """
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+base AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [3, 1, 2][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS w
+  FROM sized GROUP BY source),
+fill AS (  -- rounds of resharing: each caps the sources that the level exceeds
+  SELECT 0 AS round, source, source_size, w, false AS capped,
+         CAST(sum(source_size) OVER () * 3 / 2 AS DOUBLE) / sum(w) OVER () AS level FROM base
+  UNION ALL
+  SELECT round + 1, source, source_size, w, now_capped,
+         (sum(source_size) OVER () * 3 / 2 - coalesce(sum(CASE WHEN now_capped THEN 2 * source_size END) OVER (), 0))
+           / CAST(sum(CASE WHEN NOT now_capped THEN w END) OVER () AS DOUBLE)
+  FROM (SELECT *, capped OR 2 * source_size <= w * level AS now_capped FROM fill WHERE round < 40)),
+goals AS (
+  SELECT source, source_size, CASE WHEN capped OR level IS NULL THEN 2.0 * source_size ELSE w * level END AS target FROM fill WHERE round = 40),
+rated AS (
+  SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+         CASE WHEN source_size > 0 THEN CAST(target AS DOUBLE) / source_size ELSE 0 END AS rate,
+         CAST('0x' || substr(md5('20240229:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656.0 AS draw
+  FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM rated
+""",
+}

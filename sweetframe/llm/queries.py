@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweetframe.llm import chat, language_id, licenses, mixing, quality, secrets, simhash, url_filter
+from sweetframe.llm import chat, decontaminate, language_id, licenses, mixing, quality, secrets, simhash, url_filter
 from sweetframe.llm._common import crc_mod, cut, table
 
 #: Where the vocabulary files of public tokenizers lie; read on the driver only.
@@ -41,6 +41,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "found.n_words", "found.n_base", "found.first_word", "found.last_word", joined("base_labels"), joined("labels"), "found.score")
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_url_filter": op3_url_filter,
     "op4_license_scan": op4_license_scan,
+    "op5_benchmark_leaks": op5_benchmark_leaks,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mix": op8_source_mix,
     "op9_simhash_groups": op9_simhash_groups,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweetframe.llm import chat, decontaminate, language_id, licenses, mixing, quality, secrets, simhash, url_filter
+from sweetframe.llm import chat, decontaminate, language_id, licenses, mixing, quality, secrets, simhash, suffix_tree, url_filter
 from sweetframe.llm._common import crc_mod, cut, table
 
 #: Where the vocabulary files of public tokenizers lie; read on the driver only.
@@ -45,6 +45,13 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = crc_mod(F.col("doc_id"), 10)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(left == 0, F.lit(False)).alias("held_out"))
+    found = suffix_tree.assess(docs, docs.where(left != 0))
+    return found.withColumnRenamed("tree_score", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_license_scan": op4_license_scan,
     "op5_benchmark_leaks": op5_benchmark_leaks,
+    "op6_lm_score": op6_lm_score,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mix": op8_source_mix,
     "op9_simhash_groups": op9_simhash_groups,

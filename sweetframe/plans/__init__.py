@@ -1,4 +1,6 @@
 """Queries over the given tables, and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sweetframe.plans import glucose  # noqa: F401
+from sweetframe.plans._base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

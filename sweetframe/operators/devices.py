@@ -53,12 +53,13 @@ def algorithm_state(devicestatus: DataFrame) -> DataFrame:
     """What the controller worked with; rows without any of its fields are left out. suggested, else enacted."""
     v = F.col("v")
     of = lambda kind, name: kind(v, f"$.openaps.suggested.{name}", f"$.openaps.enacted.{name}")
-    got = parsed(devicestatus).select(
+    names = ("variable_sens", "sens", "eventualBG", "targetBG", "carbsReq", "insulinReq", "runningDynamicIsf", "algorithm")
+    present = F.coalesce(*[F.try_variant_get(v, f"$.openaps.{part}.{name}", "variant") for part in ("suggested", "enacted") for name in names]).isNotNull()
+    got = parsed(devicestatus).where(present).select(
         "patient_id", "id", "ts", of(number, "variable_sens").alias("variable_sens"), of(number, "sens").alias("sens"), of(number, "eventualBG").alias("eventual_bg"), of(number, "targetBG").alias("target_bg"),
         of(number, "carbsReq").alias("carbs_required"), of(number, "insulinReq").alias("insulin_required"), of(flag, "runningDynamicIsf").alias("dynamic_isf"), of(text, "algorithm").alias("algorithm"),
     )
-    fields = [c for c in got.columns if c not in ("patient_id", "id", "ts")]
-    return got.where(F.coalesce(*[F.col(c).cast("string") for c in fields]).isNotNull()).withColumn("effective_isf_mmol", mmol(F.col("variable_sens"))).withColumn("eventual_mmol", mmol(F.col("eventual_bg")))
+    return got.withColumn("effective_isf_mmol", mmol(F.col("variable_sens"))).withColumn("eventual_mmol", mmol(F.col("eventual_bg")))
 
 
 def bg_predictions(devicestatus: DataFrame) -> DataFrame:

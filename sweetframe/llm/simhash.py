@@ -1,12 +1,17 @@
 """SimHash fingerprints and near-duplicate groups by multi-index hashing.
 
-Texts become 64-bit fingerprints by a majority vote over the hashes of their word shingles. Fingerprints that differ in
-at most d bits differ in at most d // 2 bits in one of their two halves. Each fingerprint is therefore entered under the
-small Hamming ball of radius ceil(d // 2 / 2) around each half; whatever shares a table entry is compared in full, and
-pairs within d bits are linked. Groups are the connected components of those links.
+Texts become fingerprints by a majority vote over the hashes of their word shingles. Tables on segments of the bits find
+near fingerprints: each is entered under the small Hamming ball around each of its segments, whatever shares a table entry
+is compared in full, and pairs within a given distance are linked. Groups are the connected components of those links.
+
+Two layouts are given. ``NARROW`` has 64 bits in two segments of 32: at most 4 differing bits leave at most 2 in one half,
+and balls of radius 1 around both halves meet, so that no link is missed. ``WIDE`` is for word shingles with a similarity
+of 0.8 or more, which 64 bits can't tell from less: two sets of shingles with Jaccard similarity j differ in a share
+acos(2 j / (1 + j)) / pi of the bits, 0.15 at 0.8, so of 256 bits in 39 on average; links are made up to 46. Its tables on
+six segments of 18 bits find a pair at 0.8 with a probability of 0.98, and nearer ones more surely.
 
 Equal fingerprints are merged first, so that copies cost nothing; a table entry yields a spanning forest of its links, not
-all its pairs. An entry's memory is 8 bytes for each distinct fingerprint in it.
+all its pairs. An entry's memory is a few words for each distinct fingerprint in it.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like any other; a text with fewer words
 than a shingle has one shingle, the whole sequence; repeated rows stay, each with the same group; a null id never becomes
@@ -16,6 +21,7 @@ a group's id unless all ids of the group are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -54,8 +60,7 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprint(text: Column, size: int = 5, seed: int = 42) -> Column:
-    """The text's fingerprint as a signed bigint, over shingles of ``size`` words."""
-
+    """The text's 64-bit fingerprint as a signed bigint, over shingles of ``size`` words, repeats included."""
     bounded_batches(SparkSession.active())
 
     @F.pandas_udf("bigint")
@@ -66,103 +71,160 @@ def fingerprint(text: Column, size: int = 5, seed: int = 42) -> Column:
     return prints.asNondeterministic()(text)
 
 
-def _ball(radius: int) -> np.ndarray:
-    """All 32-bit masks of at most ``radius`` bits."""
-    one = np.uint64(1) << np.arange(32, dtype=np.uint64)
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Further hash bits of each hash, by a multiply-xorshift finisher; k = 0: the hashes themselves."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: Column, size: int = 5, words: int = 4, seed: int = 42) -> Column:
+    """The text's fingerprint of ``words`` x 64 bits as an array, over the set of its shingles."""
+    bounded_batches(SparkSession.active())
+
+    @F.pandas_udf("array<bigint>")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            sets = (np.unique(shingle_hashes(t, size, seed)) for t in texts)
+            yield pd.Series([[majority(_mixed(h, k)) for k in range(words)] for h in sets])
+
+    return prints.asNondeterministic()(text)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """words: 64-bit words of a fingerprint. segments: (word, first bit, bits). Two balls of ``radius`` meet at twice that."""
+
+    words: int
+    segments: tuple[tuple[int, int, int], ...]
+    radius: int
+    most: int
+
+
+NARROW = Layout(1, ((0, 0, 32), (0, 32, 32)), 1, 4)
+WIDE = Layout(4, ((0, 0, 18), (0, 18, 18), (0, 36, 18), (1, 0, 18), (1, 18, 18), (1, 36, 18)), 1, 46)
+
+
+def _ball(bits: int, radius: int) -> np.ndarray:
+    """All masks of that many bits with at most ``radius`` set."""
+    one = np.uint64(1) << np.arange(bits, dtype=np.uint64)
     masks = np.zeros(1, np.uint64)
     for _ in range(radius):
         masks = np.unique(np.concatenate([masks, (masks[:, None] ^ one).ravel()]))
     return masks
 
 
-def _forest(run: np.ndarray, most: int, pairs: list[np.ndarray]) -> None:
-    """Appends edges that link the run's values within ``most`` bits just as all such pairs would."""
-    left = run
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _forest(nodes: np.ndarray, prints: np.ndarray, most: int, pairs: list[np.ndarray]) -> None:
+    """Appends edges that link the run's nodes within ``most`` bits just as all such pairs would."""
+    left = np.arange(len(nodes))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= most
+            near = _distance(prints[left], prints[x]) <= most
             if near.any():
                 found = left[near]
-                pairs.append(np.stack([np.full(len(found), x), found], axis=1))
+                pairs.append(np.stack([np.full(len(found), nodes[x]), nodes[found]], axis=1))
                 queue.extend(found)
                 left = left[~near]
 
 
+_SHORT = 32  # runs of up to so many are compared all at once
+
+
+def _run_edges(rows: np.ndarray, most: int) -> np.ndarray:
+    """Edges within the runs of equal keys of rows: key, node, then the fingerprint's words."""
+    starts = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1))
+    sizes = np.diff(np.append(starts, len(rows)))
+    pairs = []
+    for k in range(1, _SHORT):
+        some = (sizes > k) & (sizes <= _SHORT)
+        if not some.any():
+            continue
+        c = sizes[some] - k
+        at = np.repeat(starts[some] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        near = at[_distance(rows[at, 2:], rows[at + k, 2:]) <= most]
+        pairs.append(np.stack([rows[near, 1], rows[near + k, 1]], axis=1))
+    for s, n in zip(starts[sizes > _SHORT], sizes[sizes > _SHORT], strict=True):
+        _forest(rows[s : s + n, 1], rows[s : s + n, 2:], most, pairs)
+    return np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.uint64)
+
+
 def _links(most: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted (half, key, fp) rows in; edges out."""
-        kept = np.empty((0, 2), np.uint64)
-
-        def edges(rows: np.ndarray) -> pa.RecordBatch:
-            starts = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1))
-            sizes = np.diff(np.append(starts, len(rows)))
-            pairs = []
-            for k in range(1, 8):  # runs of up to 8 at once
-                at = np.repeat(starts[(sizes > k) & (sizes <= 8)], sizes[(sizes > k) & (sizes <= 8)] - k)
-                within = np.arange(len(at)) - np.repeat(np.cumsum(c := sizes[(sizes > k) & (sizes <= 8)] - k) - c, c)
-                a, b = rows[at + within, 1], rows[at + within + k, 1]
-                near = np.bitwise_count(a ^ b) <= most
-                pairs.append(np.stack([a[near], b[near]], axis=1))
-            for s, n in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
-                _forest(rows[s : s + n, 1], most, pairs)
-            out = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.uint64)
+        """Rows sorted by key in; edges out. The last run of a batch waits for the next batch."""
+        kept = None
+
+        def told(rows: np.ndarray) -> pa.RecordBatch:
+            out = _run_edges(rows, most)
             return pa.RecordBatch.from_arrays([pa.array(out[:, i].astype(np.int64)) for i in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (0, 1)], axis=1)
-            rows = np.concatenate([kept, rows])
-            if not len(rows):
-                continue
-            last = int(np.flatnonzero(rows[1:, 0] != rows[:-1, 0])[-1]) + 1 if rows[0, 0] != rows[-1, 0] else 0
-            kept = rows[last:]
-            if last:
-                yield edges(rows[:last])
-        if len(kept):
-            yield edges(kept)
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in range(batch.num_columns)], axis=1)
+            rows = rows if kept is None else np.concatenate([kept, rows])
+            if len(rows):
+                last = int(np.flatnonzero(rows[1:, 0] != rows[:-1, 0])[-1]) + 1 if rows[0, 0] != rows[-1, 0] else 0
+                kept = rows[last:]
+                if last:
+                    yield told(rows[:last])
+        if kept is not None and len(kept):
+            yield told(kept)
 
     return links
 
 
-def near_links(prints: DataFrame, most: int = 4) -> DataFrame:
-    """(u, v) links between the distinct fingerprints of column fp that connect just those within ``most`` bits."""
-    masks = _ball(-(-(most // 2) // 2))
+def near_links(prints: DataFrame, layout: Layout) -> DataFrame:
+    """(u, v) links between nodes. prints: node and w0, w1, ... of distinct fingerprints."""
+    words = [f"w{i}" for i in range(layout.words)]
+    balls = [_ball(bits, layout.radius) for _, _, bits in layout.segments]
+    names = ["key", "node", *words]
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 20_000):
-                fp = batch.column(0)[i : i + 20_000].to_numpy(zero_copy_only=False).view(np.uint64)
-                for shift in (0, 32):
-                    half = (fp >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)
-                    key = ((half[:, None] ^ masks) | (np.uint64(shift) << np.uint64(32))).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(fp, len(masks)).view(np.int64))], ["key", "fp"])
-
-    entries = prints.select("fp").distinct().mapInArrow(enter, "key bigint, fp bigint")
-    return entries.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(most), "u bigint, v bigint").distinct()
-
-
-def group(rows: DataFrame, most: int = 4, key: str = "doc_id") -> DataFrame:
-    """rows (with columns ``key`` and fp) and component_id, the least key that the row reaches over links."""
-    least = rows.groupBy("fp").agg(F.min(key).alias("least"))
-    linked = components(near_links(rows, most))
-    named = least.join(linked, least["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+            for i in range(0, batch.num_rows, 10_000):
+                part = batch.slice(i, 10_000)
+                node, *own = (part.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ["node", *words])
+                for s, ((word, shift, bits), masks) in enumerate(zip(layout.segments, balls, strict=True)):
+                    segment = (own[word] >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+                    key = ((segment[:, None] ^ masks) | np.uint64(s << 48)).ravel()
+                    columns = [key, *(np.repeat(c, len(masks)) for c in (node, *own))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
+
+    shape = ", ".join(f"{c} bigint" for c in names)
+    entries = prints.select("node", *words).mapInArrow(enter, shape)
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(_links(layout.most), "u bigint, v bigint").distinct()
+
+
+def group(rows: DataFrame, layout: Layout = NARROW, key: str = "doc_id") -> DataFrame:
+    """rows (with columns ``key`` and fp, a bigint or an array of them) and component_id, the least key that the row reaches over links."""
+    fp = [F.col("fp")] if layout.words == 1 else [F.col("fp")[i] for i in range(layout.words)]
+    node = fp[0] if layout.words == 1 else F.xxhash64(*fp)
+    least = cut(rows.groupBy(node.alias("node"), *[c.alias(f"w{i}") for i, c in enumerate(fp)]).agg(F.min(key).alias("least")))
+    linked = components(near_links(least, layout)).withColumnRenamed("node", "linked")
+    named = least.join(linked, least["node"] == linked["linked"], "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = named.join(ids, "component").select(F.col("fp").alias("label_fp"), "component_id")
-    return rows.join(labels, rows["fp"] == labels["label_fp"]).drop("label_fp")
+    labels = named.join(ids, "component").select(F.col("node").alias("label_node"), "component_id")
+    return rows.withColumn("__node", node).join(labels, F.col("__node") == F.col("label_node")).drop("label_node", "__node")
 
 
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5, most: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5, layout: Layout = WIDE) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the least key (nulls first, then the least text hash).
 
     Only keys, fingerprints and hashes are grouped; texts move once, to meet the rows that stay.
     """
-    hashed = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), fingerprint(F.col(text), size).alias("fp"))
-    rows = group(cut(hashed), most, "key")
+    hashed = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), (wide_fingerprint(F.col(text), size, layout.words) if layout.words > 1 else fingerprint(F.col(text), size)).alias("fp"))
+    rows = group(cut(hashed), layout, "key")
     first = rows.groupBy("component_id").agg(F.min(F.struct("key", "hash")).alias("first")).select("first.*")
     times = rows.groupBy("key", "hash").agg(F.count("*").alias("times"))
     stay = cut(first.join(times, first["key"].eqNullSafe(times["key"]) & first["hash"].eqNullSafe(times["hash"])).select(first["key"].alias("__key"), first["hash"].alias("__hash"), "times"))

@@ -55,6 +55,55 @@ def test_groups_equal_brute_force_on_dense_and_sparse_fingerprints(spark):
     assert got == plain_groups(prints, 4)
 
 
+def shingle_set(text, size=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def test_wide_layout_links_similar_shingle_sets(spark):
+    rng = np.random.default_rng(3)
+    texts = {}
+    for i in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 100_000, 220)]
+        texts[2 * i] = " ".join(w)
+        for at in rng.integers(0, 220, 2 if i % 2 else 60):  # a few edits, or far too many
+            w[at] = f"v{at}"
+        texts[2 * i + 1] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = docs.select("doc_id", simhash.wide_fingerprint(F.col("text")).alias("fp"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.group(rows, simhash.WIDE).collect()}
+    for i in range(60):
+        a, b = shingle_set(texts[2 * i]), shingle_set(texts[2 * i + 1])
+        similar = len(a & b) / len(a | b)
+        assert got[2 * i] == 2 * i and (got[2 * i + 1] == 2 * i) == (similar >= 0.8), similar
+
+
+def test_run_edges_connect_as_all_pairs_do():
+    rng = np.random.default_rng(5)
+    for n in (3, 31, 33, 200):
+        prints = rng.integers(0, 2**63, (4, 2), dtype=np.uint64)[rng.integers(0, 4, n)]
+        for i in range(n):
+            for b in rng.integers(0, 128, rng.integers(0, 9)):
+                prints[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        rows = np.column_stack([np.full(n, 7, np.uint64), np.arange(n, dtype=np.uint64), prints])
+        edges = simhash._run_edges(rows, 9)
+        linked = lambda pairs: plain_components(n, pairs)
+        every = [(i, j) for i in range(n) for j in range(i) if simhash._distance(prints[i], prints[j]) <= 9]
+        assert linked([(int(a), int(b)) for a, b in edges]) == linked(every)
+
+
+def plain_components(n, pairs):
+    label = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
 def test_query_on_whole_small_table(spark):
     from sweetframe.llm.queries import op9_simhash_groups
 

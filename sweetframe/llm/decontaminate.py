@@ -10,7 +10,7 @@ The benchmark comes to the workers in blocks of bounded size, each held against
 
 Defined cases: null and empty texts and items match nothing, nor do items of fewer than ``least`` plain characters, which
 chance would match; items shorter than a probe are one probe; repeated rows get the same answer each; ties of the
-alignment go to the least end, then the longest stretch.
+alignment go to the least start.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from sweetframe.llm._common import bounded_batches
 _WORD = re.compile(r"[^\W_]+")
 _MIX = 0x9E3779B97F4A7C15
 _BITS, _CHUNK, _STEP = 22, 1 << 20, 8
+_SEPARATOR = 10  # between texts; plain texts don't hold it
 
 
 def lowered(text: str) -> str:
@@ -56,23 +57,25 @@ def source_span(text: str, start: int, end: int) -> tuple[int, int]:
     return first or 0, last
 
 
-def align(probe: str, text: str) -> tuple[int, int, int]:
-    """(edits, start, end) of the stretch of text nearest to probe; starts may lie at 0 .. len(text) - len(probe)."""
-    width = len(text) - len(probe)
-    row = [(0, -d, d) for d in range(width + 1)]  # edits, then the least end, then the least start
-    for i, c in enumerate(probe):
-        new: list[tuple[int, int, int]] = []
-        for d in range(width + 1):
-            edits, a, b = row[d]
-            best = (edits + (text[i + d] != c), a, b)
-            if d < width and row[d + 1][0] + 1 < best[0]:
-                best = (row[d + 1][0] + 1, row[d + 1][1], row[d + 1][2])
-            if d and new[d - 1][0] + 1 < best[0]:
-                best = (new[d - 1][0] + 1, new[d - 1][1], new[d - 1][2])
-            new.append(best)
+def align(probes: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the stretch of each window nearest to its probe; both by row, of one length each.
+
+    Starts lie at 0 .. windows' length - probes' length, which is the band's width. A stretch can't hold a separator.
+    """
+    length, width = probes.shape[1], windows.shape[1] - probes.shape[1]
+    p, x = np.ascontiguousarray(probes.T), np.ascontiguousarray(windows.T)
+    one, barred = np.int64(1 << 20), np.int64(1 << 40)  # an edit; the start is kept in the lower bits
+    row = np.repeat(np.arange(width + 1, dtype=np.int64)[:, None], len(probes), axis=1)
+    stop = np.where(x == _SEPARATOR, barred, one)
+    for i in range(length):
+        new = row + np.where(x[i : i + width + 1] == p[i], 0, stop[i : i + width + 1])
+        np.minimum(new[:-1], row[1:] + one, out=new[:-1])
+        for d in range(1, width + 1):
+            np.minimum(new[d], new[d - 1] + stop[i + d], out=new[d])
         row = new
-    edits, d = min((r[0], d) for d, r in enumerate(row))
-    return edits, row[d][2], len(probe) + d
+    d = (row >> 20).argmin(axis=0)
+    best = row[d, np.arange(len(probes))]
+    return best >> 20, best & (one - 1), length + d
 
 
 @dataclass
@@ -94,7 +97,7 @@ class Probes:
                 for a in sorted({*starts, max(0, len(text) - s.probe)}):
                     self.text.append(text[a : a + s.probe])
                     self.item.append(item)
-        size = np.array([len(t) for t in self.text], np.int64)
+        size = self.sizes = np.array([len(t) for t in self.text], np.int64)
         self.edits = np.minimum((size * s.rate).astype(np.int64), (size + 1) // s.q - 2).clip(0)
         self.need = size + 1 - s.q * (self.edits + 1)
         self.reach = size + self.edits - s.q
@@ -143,23 +146,26 @@ class Probes:
         return sorted(out)
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, edits, start, end) for each verified stretch."""
+        """(text, item, edits, start, end) of the best stretch for each text and probe that has one."""
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        joined = "\n".join(texts)
-        for probe, band in self.stretches(codes(joined)):
-            e, pattern = int(self.edits[probe]), self.text[probe]
-            of = int(np.searchsorted(starts, min(max(band + _STEP, 0), max(0, len(joined) - 1)), side="right")) - 1
-            for n in {of, int(np.searchsorted(starts, max(band, 0), side="right")) - 1, of + 1}:  # a band may touch two texts
-                if 0 <= n < len(texts):
-                    lo = max(int(starts[n]), band - e)
-                    hi = min(int(starts[n]) + len(texts[n]), band + 2 * _STEP + len(pattern) + e)
-                    window = joined[lo:hi]
-                    if len(window) < len(pattern) - e:
-                        continue
-                    exact = window.find(pattern)
-                    edits, a, b = (0, exact, exact + len(pattern)) if exact >= 0 else align(pattern, window + "\n" * (e + max(0, len(pattern) - len(window))))
-                    if edits <= e:
-                        yield n, self.item[probe], edits, lo + a - int(starts[n]), min(lo + b, hi) - int(starts[n])
+        text = codes("\n".join(texts))
+        found = np.array(self.stretches(text), np.int64).reshape(-1, 2)
+        margin = 2 * _STEP + int(self.edits.max(initial=0)) + max(map(len, self.text), default=0)
+        text = np.concatenate([np.full(margin, _SEPARATOR, np.uint32), text, np.full(2 * margin, _SEPARATOR, np.uint32)])
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for size, e in sorted({(len(t), int(e)) for t, e in zip(self.text, self.edits, strict=True)}):
+            own = found[(self.sizes[found[:, 0]] == size) & (self.edits[found[:, 0]] == e)]
+            for i in range(0, len(own), 2_048):
+                probe, base = own[i : i + 2_048, 0], own[i : i + 2_048, 1] - e
+                windows = text[(base + margin)[:, None] + np.arange(size + 2 * _STEP + 2 * e)]
+                edits, a, b = align(np.stack([codes(self.text[p]) for p in probe]), windows)
+                ok = np.flatnonzero(edits <= e)
+                at = np.searchsorted(starts, (base + a)[ok], side="right") - 1
+                for k, n in zip(ok.tolist(), at.tolist(), strict=True):
+                    one = (int(edits[k]), int(base[k] + a[k] - starts[n]), int(base[k] + b[k] - starts[n]))
+                    best[n, int(probe[k])] = min(best.get((n, int(probe[k])), one), one)
+        for (n, probe), (edits, a, b) in sorted(best.items()):
+            yield n, self.item[probe], edits, a, b
 
 
 def codes(text: str) -> np.ndarray:
@@ -233,7 +239,7 @@ def blocks(benchmark: DataFrame, item: str, text: str, characters: int = 1_000_0
 def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(key, item, edits, stretches, start, end) for each row of docs and each item with a verified stretch in it.
 
-    edits are the fewest of its stretches; start and end, in code points of the text, span them all.
+    stretches counts the item's probes that are found, edits are the fewest of theirs; start and end, in code points of the text, span them all.
     """
     spark, out = docs.sparkSession, None
     found = F.explode("found").alias("m")

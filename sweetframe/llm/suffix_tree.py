@@ -127,7 +127,7 @@ def grow(counts: DataFrame, depth: int = 5, share: float = 1e-5, divergence: flo
     rows = levels[0]
     for level in levels[1:]:
         rows = rows.unionByName(level)
-    return build(rows.toPandas(), depth, divergence, floor, prior)
+    return build(rows.toArrow().to_pandas(), depth, divergence, floor, prior)
 
 
 def build(rows: pd.DataFrame, depth: int, divergence: float, floor: float, prior: float) -> Tree:
@@ -213,8 +213,8 @@ def score(tree: Tree, text: np.ndarray, chunks: int = 4_096) -> np.ndarray:
 SHAPE = "struct<n_tokens: bigint, tree_score: double, known: bigint, known_log: double, rare: array<struct<word: binary, n: bigint>>>"
 
 
-def _frequent(words: DataFrame, most: int) -> list:
-    """The most frequent words, at most ``most``, all those above one count."""
+def _frequent(words: DataFrame, most: int) -> pa.Table:
+    """The most frequent words, at most ``most``, all those above one count. As Arrow: rows would take the driver's memory."""
     level = F.floor(F.log2("n") * 16)
     sizes = words.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()
     taken, least = 0, None
@@ -223,7 +223,7 @@ def _frequent(words: DataFrame, most: int) -> list:
         if taken > most:
             break
         least = r["level"]
-    return words.where(level >= least).collect() if least is not None else []
+    return (words.where(level >= least) if least is not None else words.limit(0)).toArrow()
 
 
 def assess(docs: DataFrame, train: DataFrame, *, text: str = "text", depth: int = 5, share: float = 1e-5, frequent_words: int = 100_000) -> DataFrame:
@@ -239,7 +239,7 @@ def assess(docs: DataFrame, train: DataFrame, *, text: str = "text", depth: int
     n_train = int(facts["N"])
     below = float(np.log10(n_train + 0.1 * (facts["V"] + 1)))
     often = _frequent(words, frequent_words)
-    shared = spark.sparkContext.broadcast((tree, {bytes(r["word"]): i for i, r in enumerate(often)}, np.array([r["n"] for r in often], np.int64)))
+    shared = spark.sparkContext.broadcast((tree, {w.as_py(): i for i, w in enumerate(often["word"])}, often["n"].to_numpy()))
 
     @F.pandas_udf(SHAPE)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

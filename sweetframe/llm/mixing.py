@@ -39,9 +39,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple
     whole = F.sum("source_size").over(everything) * share[0] / share[1]
     full = F.coalesce(F.sum("cap").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     level = (whole - full) / F.sum("w").over(ahead.rowsBetween(0, Window.unboundedFollowing))
-    leveled = caps.withColumn("level", level).withColumn("free", F.col("cap") > F.col("w") * F.col("level"))
+    leveled = caps.withColumn("level", level).withColumn("free", F.col("cap") > F.col("w") * F.col("level")).withColumn("nth", F.row_number().over(ahead))
     # the first source that isn't filled up sets the level for all
-    final = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(everything)["level"]
+    final = F.min(F.when(F.col("free"), F.struct("nth", "level"))).over(everything)["level"]
     target = F.when(final.isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("w") * final))
     return leveled.select("source", "source_size", target.alias("target"))
 

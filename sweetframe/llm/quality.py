@@ -1,8 +1,10 @@
 """Quality rules combined by weak supervision.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a text's measures. Expectation-maximisation over the counts of vote
-patterns estimates each rule's accuracy and the share of good texts, taking rules as independent given the class; a text
-is kept where its posterior probability of being good is at least one half, and no hard rule fails it.
+patterns estimates each rule's accuracy on good and on bad texts (how often its votes are right there) and the share of good texts,
+taking rules as independent given the class; a text is kept where its posterior probability of being good is at least one
+half, and no hard rule fails it. Accuracies differ by class because bad texts tend to be bad in one way: a bad vote says
+much, a good one little. A prior of a few percent of the texts and bounds keep the classes' meaning.
 
 All of it is column expressions. Measures are computed once and written; a pattern table has at most 3 ** rules rows, and
 each round of the estimation is one aggregation over it, of which only the new parameters come to the driver.
@@ -82,7 +84,7 @@ def rules() -> dict[str, Column]:
         "length": _vote(n >= 80, n < 50),
         "repeats": _vote(share("n_repeat_words") < 0.1, none | (share("n_repeat_words") > 0.4)),
         "symbols": _vote(share("n_symbols") < 0.02, none | (share("n_symbols") > 0.2)),
-        "lines": _vote(F.col("n_dup_lines") == 0, none | (share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))) > 0.3)),
+        "lines": _vote(F.col("n_dup_lines") == 0, none | ((F.col("n_dup_lines") > 2) & (share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))) > 0.3))),
         "letters": _vote(share("word_chars").between(3, 9), none | ~share("word_chars").between(2, 12)),
         "capitals": _vote(share("n_capitals", F.greatest(F.col("word_chars"), F.lit(1))) < 0.15, none | (share("n_capitals", F.greatest(F.col("word_chars"), F.lit(1))) > 0.4)),
         "variety": _vote((share("n_distinct") > 0.3) | (n > 2000), none | ((share("n_distinct") < 0.1) & (n <= 2000))),
@@ -93,31 +95,33 @@ def hard_fail() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _odds(accuracy: dict[str, float], prior: float) -> Column:
-    """log odds of good, given the votes in columns named as the rules."""
-    total = F.lit(log(prior / (1 - prior)))
-    for name, a in accuracy.items():
-        total = total + F.col(name) * F.lit(log(a / (1 - a)))
-    return total
+#: The share of bad votes among a rule's votes before any text is seen, on good and on bad texts, and the bounds that
+#: keep the classes' meaning: a bad vote hardly ever falls on a good text.
+START, MOST_ON_GOOD, LEAST_ON_BAD = (0.002, 0.15), 0.002, 0.05
+Accuracy = dict[str, tuple[float, float]]
 
 
-def _posterior(accuracy: dict[str, float], prior: float) -> Column:
-    return 1 / (1 + F.exp(-_odds(accuracy, prior)))
+def _posterior(accuracy: Accuracy, prior: float, votes: dict[str, Column]) -> Column:
+    """Probability of good, given the votes; abstaining says nothing."""
+    odds = F.lit(log(prior / (1 - prior)))
+    for name, vote in votes.items():
+        good, bad = accuracy[name]
+        odds = odds + F.when(vote > 0, log((1 - good) / (1 - bad))).when(vote < 0, log(good / bad)).otherwise(0.0)
+    return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, names: list[str], rounds: int = 20) -> tuple[dict[str, float], float]:
-    """(accuracy of each rule, share of good texts); patterns: a column of votes for each rule, and n."""
-    accuracy, prior = dict.fromkeys(names, 0.8), 0.7
-    held = lambda x, lo, hi: min(hi, max(lo, x))
+def estimate(patterns: DataFrame, names: list[str], rounds: int = 20, prior_weight: float = 0.02) -> tuple[Accuracy, float]:
+    """(share of bad votes of each rule on good and on bad texts, share of good texts); patterns: a column of votes for each rule, and n."""
+    accuracy, prior, votes = dict.fromkeys(names, START), 0.9, {c: F.col(c) for c in names}
     for _ in range(rounds):
-        right = lambda c: F.when(F.col(c) > 0, F.col("p")).when(F.col(c) < 0, 1 - F.col("p"))
-        sums = [F.sum(F.col("n") * F.abs(F.col(c))).alias(f"{c}_votes") for c in names] + [F.sum(F.col("n") * right(c)).alias(c) for c in names]
-        got = patterns.withColumn("p", _posterior(accuracy, prior)).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good"), *sums).first()
+        sums = [F.sum(F.when(F.col(c) == v, F.col("n") * w).otherwise(0.0)).alias(f"{c} {v} {k}") for c in names for v in (1, -1) for k, w in enumerate((F.col("p"), 1 - F.col("p")))]
+        got = patterns.withColumn("p", _posterior(accuracy, prior, votes)).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good"), *sums).first()
         if not got["n"]:
             break
-        # held away from 0 and 1, and above chance, so that no rule turns against its meaning or rules alone
-        accuracy = {c: held(((got[c] or 0) + 1) / ((got[f"{c}_votes"] or 0) + 2), 0.55, 0.97) for c in names}
-        prior = held(got["good"] / got["n"], 0.05, 0.95)
+        extra = max(1.0, prior_weight * got["n"])
+        share = lambda c, k: (got[f"{c} -1 {k}"] + extra * START[k]) / (got[f"{c} -1 {k}"] + got[f"{c} 1 {k}"] + extra)  # noqa: E731, B023
+        accuracy = {c: (min(MOST_ON_GOOD, share(c, 0)), max(LEAST_ON_BAD, share(c, 1))) for c in names}
+        prior = min(0.95, max(0.05, got["good"] / got["n"]))
     return accuracy, prior
 
 
@@ -125,10 +129,8 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
     """measures(docs) with base_failed, posterior and kept."""
     votes = rules()
     measured = cut(measures(docs, text))
-    patterns = cut(measured.select(*[c.alias(k) for k, c in votes.items()]).groupBy(*votes).agg(F.count("*").alias("n")).coalesce(1))
+    # texts that a hard rule fails are decided; what is bad among the others is to be learnt from the others
+    patterns = cut(measured.where(~hard_fail()).select(*[c.alias(k) for k, c in votes.items()]).groupBy(*votes).agg(F.count("*").alias("n")).coalesce(1))
     accuracy, prior = estimate(patterns, list(votes))
-    odds = F.lit(log(prior / (1 - prior)))
-    for name, vote in votes.items():
-        odds = odds + vote * F.lit(log(accuracy[name] / (1 - accuracy[name])))
     failed = hard_fail()
-    return measured.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+    return measured.withColumn("base_failed", failed).withColumn("posterior", _posterior(accuracy, prior, votes)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))

@@ -35,16 +35,33 @@ def test_measures_equal_the_plain_ones(spark):
 def test_estimation_equals_plain_expectation_maximisation(spark):
     rows = [(1, 1, 0, 50), (1, -1, 1, 9), (-1, -1, -1, 20), (-1, 1, -1, 4), (0, 1, 1, 30), (0, 0, 0, 2)]
     got, prior = quality.estimate(spark.createDataFrame(rows, "a int, b int, c int, n long"), ["a", "b", "c"], 7)
-    acc, pi = [0.8] * 3, 0.7
+    acc, pi, total = [quality.START] * 3, 0.9, sum(r[3] for r in rows)
+    extra = max(1.0, 0.02 * total)
     for _ in range(7):
         post = []
         for *v, _n in rows:
-            odds = math.log(pi / (1 - pi)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, acc))
-            post.append(1 / (1 + math.exp(-odds)))
-        n = [r[3] for r in rows]
-        acc = [min(0.97, max(0.55, (sum(k * (p if r[j] > 0 else 1 - p) for r, p, k in zip(rows, post, n) if r[j]) + 1) / (sum(k for r, k in zip(rows, n) if r[j]) + 2))) for j in range(3)]
-        pi = min(0.95, max(0.05, sum(p * k for p, k in zip(post, n)) / sum(n)))
-    assert all(abs(got[c] - a) < 1e-9 for c, a in zip("abc", acc)) and abs(prior - pi) < 1e-9
+            both = [pi, 1 - pi]
+            for a, x in zip(acc, v):
+                both = [b * (a[k] if x < 0 else 1 - a[k] if x > 0 else 1) for k, b in enumerate(both)]
+            post.append([b / sum(both) for b in both])
+        new = []
+        for j in range(3):
+            s = {(v, k): sum(p[k] * r[3] for p, r in zip(post, rows) if r[j] == v) for v in (1, -1) for k in (0, 1)}
+            bad = [(s[-1, k] + extra * quality.START[k]) / (s[-1, k] + s[1, k] + extra) for k in (0, 1)]
+            new.append((min(quality.MOST_ON_GOOD, bad[0]), max(quality.LEAST_ON_BAD, bad[1])))
+        acc, pi = new, min(0.95, max(0.05, sum(p[0] * r[3] for p, r in zip(post, rows)) / total))
+    assert abs(prior - pi) < 1e-9
+    assert all(abs(got[c][k] - a[k]) < 1e-9 for c, a in zip("abc", acc) for k in (0, 1))
+
+
+def test_junk_goes_and_prose_stays(spark):
+    import random
+
+    rng = random.Random(2)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(200)) + ".\n"
+    rows = [(i, prose()) for i in range(300)] + [(1000 + i, " ".join(w + "%%$" for w in prose().split())) for i in range(20)] + [(2000 + i, prose().upper()) for i in range(20)]
+    kept = {r["doc_id"] for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").collect()}
+    assert kept == set(range(300))
 
 
 def test_query_equals_brute_force_and_uses_no_python(spark):

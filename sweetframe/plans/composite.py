@@ -30,13 +30,33 @@ def target_audit_summary(spark, d):
     return reports.target_audit_summary(reports.target_audit(readings(spark, d)))
 
 
+def inner(name: str) -> str:
+    """The registered SQL of another query without its adapter tables."""
+    return "SELECT *" + ORACLE_SQL[name].split(TABLES + "\nSELECT *", 1)[1]
+
+
 def _summary(spark, d):
     r, t = readings(spark, d), cohort.treatments(spark, d)
     hypo = episodes.hypo_report(episodes.hypo_episodes(r, t), r)
     return reports.clinic_summary(r, hypo, profiles.insulin_carb_summary(t), episodes.change_points(events._bg_signal(spark, d)), t.where("event_type = 'Profile Switch'"))
 
 
-@query("clinic_summary")
+FINDINGS = {
+    "time in range below 70 %": "tir_percent < 70", "time below 70 above 4 %": "tbr_lt70_percent > 4", "time below 54 above 1 %": "tbr_lt54_percent > 1", "time above 250 above 5 %": "tar_gt250_percent > 5",
+    "variation above 36 %": "cv_percent > 36", "level 2 hypoglycemia": "level_2 > 0", "sensor active below 70 %": "pct_active < 70",
+}
+
+
+@query(
+    "clinic_summary",
+    f"""SELECT *, concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{text}' END" for text, c in FINDINGS.items())}) AS findings FROM (
+  SELECT b.*, h.episodes, h.level_2, h.nocturnal, h.pct_active, coalesce(i.insulin_per_day, 0) AS insulin_per_day, coalesce(i.carbs_per_day, 0) AS carbs_per_day, coalesce(i.boluses_per_day, 0) AS boluses_per_day, coalesce(c.change_points, 0) AS change_points, coalesce(w.switches, 0) AS switches
+  FROM ({g.per_patient(f"count(*) AS n, avg(sgv) AS mean_mgdl, {g.CV} AS cv_percent, 3.31 + 0.02392 * avg(sgv) AS gmi_percent, {g.share('sgv BETWEEN 70 AND 180')} AS tir_percent, {g.share('sgv < 70')} AS tbr_lt70_percent, {g.share('sgv < 54')} AS tbr_lt54_percent, {g.share('sgv > 180')} AS tar_gt180_percent, {g.share('sgv > 250')} AS tar_gt250_percent, {g.share('sgv BETWEEN 70 AND 140')} AS titr_percent, {g.GRI} AS gri")}) b
+  LEFT JOIN ({inner('hypo_report')}) h USING (patient_id) LEFT JOIN ({inner('insulin_carb_summary')}) i USING (patient_id)
+  LEFT JOIN (SELECT patient_id, count(*) AS change_points FROM ({inner('change_points_bg')}) GROUP BY 1) c USING (patient_id)
+  LEFT JOIN (SELECT patient_id, count(*) AS switches FROM t WHERE event_type = 'Profile Switch' GROUP BY 1) w USING (patient_id))""",
+    "mean_mgdl cv_percent gmi_percent tir_percent tbr_lt70_percent tbr_lt54_percent tar_gt180_percent tar_gt250_percent titr_percent gri pct_active insulin_per_day carbs_per_day boluses_per_day",
+)
 def clinic_summary(spark, d):
     return _summary(spark, d)
 
@@ -56,11 +76,6 @@ def _features(spark, d):
     )
 
 
-def inner(name: str) -> str:
-    """The registered SQL of another query without its adapter tables."""
-    return "SELECT *" + ORACLE_SQL[name].split(TABLES + "\nSELECT *", 1)[1]
-
-
 FEATURES = f"""
 SELECT b.*, c.sgv, c.minutes_ago, l.iob, l.cob, st.carbs_required, st.eventual_bg, i.ratio AS isf_ratio, e.ratio AS effective_ratio, e.confidence AS effective_confidence, bt.ratio AS in_target_ratio, ba.ratio AS above_target_ratio, coalesce(ba.n, 0) AS above_target_n, cr.n AS cr_n, cr.verdict AS cr_verdict,
   coalesce(p1.occurrences, 0) AS overnight_lows, coalesce(p2.occurrences, 0) AS dawn_rises, coalesce(p3.occurrences, 0) AS spikes, y.yesterday_cv, coalesce(k.compression_lows, 0) AS compression_lows

@@ -91,13 +91,25 @@ def change_point_signal(spark, d):
     return _bg_signal(spark, d)
 
 
-@query("change_points_bg")
+def picked(found: str) -> str:
+    """The greedy choice as a recursion: from the best place of each stretch to the first one a stretch after it."""
+    best = "(SELECT arg_min(x.i, (-abs(x.shift), x.i)) FROM sig x WHERE x.patient_id = g.patient_id AND x.i >= g.start AND x.i < g.start + x.w)"
+    return f"""
+WITH RECURSIVE sig AS ({found}),
+g AS (SELECT patient_id, min(i) AS start FROM sig GROUP BY 1
+  UNION ALL SELECT g.patient_id, (SELECT min(n.i) FROM sig n WHERE n.patient_id = g.patient_id AND n.i >= {best} + n.w) FROM g WHERE g.start IS NOT NULL)
+SELECT p.patient_id, p.i AS place, p.ts, p.shift, CASE WHEN p.shift > 0 THEN 'up' ELSE 'down' END AS direction, coalesce(s.switches, 0) AS switches, s.last_switch
+FROM (SELECT patient_id, {best} AS best FROM g WHERE start IS NOT NULL) b JOIN sig p ON p.patient_id = b.patient_id AND p.i = b.best
+LEFT JOIN (SELECT patient_id, count(*) AS switches, max(ts) AS last_switch FROM t WHERE event_type = 'Profile Switch' GROUP BY 1) s ON s.patient_id = p.patient_id"""
+
+
+@query("change_points_bg", picked(signal(HOURLY, 0.25)), "shift")
 def change_points_bg(spark, d):
     switches = cohort.treatments(spark, d).where("event_type = 'Profile Switch'")
     return episodes.with_switches(episodes.change_points(_bg_signal(spark, d)), switches)
 
 
-@query("change_points_tdd")
+@query("change_points_tdd", picked(signal(DAILY, 0.25)), "shift")
 def change_points_tdd(spark, d):
     t = cohort.treatments(spark, d)
     series = profiles.daily_tdd(t).select("patient_id", F.col("day").cast("timestamp").alias("ts"), F.col("tdd").alias("value"))

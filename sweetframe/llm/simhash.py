@@ -4,7 +4,11 @@ Texts become fingerprints by a majority vote over the hashes of their word shing
 near fingerprints: each is entered under the small Hamming ball around each of its segments, whatever shares a table entry
 is compared in full, and pairs within a given distance are linked. Groups are the connected components of those links.
 
-Two layouts are given. ``NARROW`` has 64 bits in two segments of 32: at most 4 differing bits leave at most 2 in one half,
+The near-dedup stage (``one_of_each``) decides by the shingle sets themselves: candidates share one of 30 bands of six
+MinHash values, which a pair with a Jaccard similarity of 0.8 does with a probability of 0.9999, and links are candidates
+whose similarity, counted exactly, is 0.8 or more.
+
+Two layouts are given for groups by fingerprints alone. ``NARROW`` has 64 bits in two segments of 32: at most 4 differing bits leave at most 2 in one half,
 and balls of radius 1 around both halves meet, so that no link is missed. ``WIDE`` is for word shingles with a similarity
 of 0.8 or more, which 64 bits can't tell from less: two sets of shingles with Jaccard similarity j differ in a share
 acos(2 j / (1 + j)) / pi of the bits, 0.15 at 0.8, so of 256 bits in 39 on average; links are made up to 46. Its tables on
@@ -218,13 +222,88 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5, layout: Layout = WIDE) -> DataFrame:
+#: Of the near-dedup stage: bands of ``_ROWS`` minima each, and the least Jaccard similarity of a link as a fraction.
+_BANDS, _ROWS, _SIMILAR = 30, 6, (4, 5)
+_FACTORS = np.random.default_rng(20240229).integers(0, 2**63, _BANDS * _ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A signed 64-bit key of each band: two sets with similarity j share a band's key with probability j ** _ROWS."""
+    from xxhash import xxh64_intdigest
+
+    least = np.full(len(_FACTORS), np.uint64(2**64 - 1))
+    for i in range(0, len(shingles), 1_024):
+        np.minimum(least, (shingles[i : i + 1_024, None] * _FACTORS).min(axis=0), out=least)
+    return np.array([xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(_BANDS, _ROWS))], np.uint64).view(np.int64)
+
+
+def shingle_sets(text: Column, size: int = 5) -> Column:
+    """struct<node, shingles, bands>: the set of the text's shingles, a hash of it, and its band keys."""
+    bounded_batches(SparkSession.active(), rows=500, mb=2)
+
+    @F.pandas_udf("struct<node: bigint, shingles: array<bigint>, bands: array<bigint>>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        for texts in batches:
+            own = [np.unique(shingle_hashes(t, size)) for t in texts]
+            node = np.array([xxh64_intdigest(h.tobytes()) for h in own], np.uint64).view(np.int64)
+            yield pd.DataFrame({"node": node, "shingles": [h.view(np.int64) for h in own], "bands": [band_keys(h) for h in own]})
+
+    return sets.asNondeterministic()(text)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of 0.8 or more, counted exactly."""
+    u, v = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    part, whole = _SIMILAR
+    near = pairs.join(u, "u").join(v, "v").where(F.least(F.size("u_set"), F.size("v_set")) * whole >= F.greatest(F.size("u_set"), F.size("v_set")) * part)
+    return near.where(common * whole >= (F.size("u_set") + F.size("v_set") - common) * part).select("u", "v")
+
+
+def similar_sets(hashed: DataFrame, stars: int = 2) -> DataFrame | None:
+    """(node, component) of the nodes with a similar one; None if there are none. hashed: node, shingles and bands.
+
+    Nodes that share a band are candidates. All of a band meet one of them first, in ``stars`` rounds, each with another
+    one; then every pair of nodes that share a band and still lie in two components is compared. So each candidate pair is
+    verified or already connected by verified links, while a large group of near copies costs a few comparisons a node.
+    """
+    entries = hashed.select("node", F.explode("bands").alias("key")).distinct()
+    entries = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
+    sets = cut(hashed.select("node", "shingles").join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    found = tested = None
+    for turn in range(stars + 1):
+        now = entries.withColumn("component", F.col("node")) if found is None else entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("one"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        if turn < stars:
+            pairs = now.join(mixed.select("key", "one.node", "one.component").toDF("key", "other", "other_component"), "key").where("component <> other_component")
+        else:
+            now = cut(now.join(mixed.select("key"), "key"))
+            parts = now.select("key", "component").distinct()
+            both = parts.join(parts.withColumnRenamed("component", "other_component"), "key").where("component < other_component")
+            pairs = now.join(both, ["key", "component"]).join(now.toDF(*(f"other_{c}" if c != "key" else c for c in now.columns)), ["key", "other_component"]).withColumnRenamed("other_node", "other")
+        pairs = pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        if pairs.isEmpty():  # the one of a band may be an earlier turn's; the last turn has all pairs
+            continue
+        links = cut(_verified(pairs, sets))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not links.isEmpty():
+            found = cut(components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))))
+    return found
+
+
+def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the least key (nulls first, then the least text hash).
 
-    Only keys, fingerprints and hashes are grouped; texts move once, to meet the rows that stay.
+    Groups are connected by links between texts whose sets of ``size``-word shingles have a Jaccard similarity of 0.8 or
+    more. Only keys and hashes are grouped; texts move once, to meet the rows that stay.
     """
-    hashed = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), (wide_fingerprint(F.col(text), size, layout.words) if layout.words > 1 else fingerprint(F.col(text), size)).alias("fp"))
-    rows = group(cut(hashed), layout, "key")
+    hashed = cut(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), shingle_sets(F.col(text), size).alias("s")).select("key", "hash", "s.*"))
+    found = similar_sets(hashed)
+    rows = hashed.select("key", "hash", "node")
+    rows = cut(rows.withColumn("component_id", F.col("node")) if found is None else rows.join(found, "node", "left").select("key", "hash", F.coalesce("component", "node").alias("component_id")))
     first = rows.groupBy("component_id").agg(F.min(F.struct("key", "hash")).alias("first")).select("first.*")
     times = rows.groupBy("key", "hash").agg(F.count("*").alias("times"))
     stay = cut(first.join(times, first["key"].eqNullSafe(times["key"]) & first["hash"].eqNullSafe(times["hash"])).select(first["key"].alias("__key"), first["hash"].alias("__hash"), "times"))

@@ -129,3 +129,27 @@ def test_one_of_each_keeps_clean_rows_and_one_of_each_group(spark):
 def test_scratch_tables_keep_their_rows(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert cut(df).collect() and cut(df).count() == 10
+
+
+def test_one_of_each_decides_by_exact_similarity(spark):
+    rng = np.random.default_rng(11)
+    texts, want = {}, {}
+    for i in range(400):  # pairs of 100 shingles that share 89 (0.802) or 88 (0.786): words cut at both ends
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 115)]
+        shift = 11 if i % 2 else 12
+        texts[2 * i], texts[2 * i + 1] = " ".join(w[:104]), " ".join(w[shift : shift + 104])
+        a, b = shingle_set(texts[2 * i]), shingle_set(texts[2 * i + 1])
+        want[i] = len(a & b) >= 0.8 * len(a | b)
+        assert want[i] == bool(i % 2)
+    texts |= {900: "a b c d e f g h", 901: "a b c d e f g h i"}  # 4 of 5 shingles
+    chain = [f"c{i}" for i in range(400)]  # neighbours at 0.9, ends apart: one group
+    texts |= {1000 + k: " ".join(chain[5 * k : 5 * k + 104]) for k in range(40)}
+    for i in range(100):  # two of three are similar, the third shares bands with them
+        w = [f"t{x}" for x in rng.integers(0, 10**9, 130)]
+        texts |= {2000 + 3 * i + k: " ".join(w[a : a + 104]) for k, a in enumerate((0, 14, 18))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    missed = [i for i in range(400) if want[i] and 2 * i + 1 in kept]
+    assert not missed and all(2 * i in kept for i in range(400))
+    assert all(2 * i + 1 in kept for i in range(400) if not want[i])
+    assert {k for k in kept if k >= 900} == {900, 1000} | {2000 + 3 * i + k for i in range(100) for k in (0, 1)}

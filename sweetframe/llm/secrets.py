@@ -29,9 +29,9 @@ KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 
 # Weak parts. An identifier names an account or a key, a key is a string with digits and letters of both cases (or long
 # and mixed), an endpoint is an address that credentials go to.
-_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|key_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.IGNORECASE | re.ASCII)
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,256}", re.ASCII)
+_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|key_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}", re.ASCII)
 _SCOPE_END = re.compile(r"\n[\x20\x09-\x0D]*\n")
 _KEY_HINT = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9].*[0-9])", re.ASCII | re.DOTALL)
 

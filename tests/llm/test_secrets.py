@@ -70,3 +70,12 @@ def test_query_equals_brute_force(spark):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in strong) for i in range(3)]
         assert r["base_sha256"] == hashlib.sha256(secrets.written(strong).encode()).hexdigest()
         assert r["spans"] == secrets.written([*strong, *linked])
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["client_id=123456789012-" + "x1" * 20 + ".apps.googleusercontent.com", "https://host.example/" + "p" * 270 + "?sig=SECRETVALUE", "aB1" * 50, "aB1" * 20_000 + "=="],
+)
+def test_weak_parts_are_whole_however_long(part):
+    text = f"user: alice zQ8xT4vB1nM7kL3pW9rS5d\n{part} end"
+    assert any(text[s:e] == part for s, _, e in secrets.find_secrets(text)[1])

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -74,15 +75,17 @@ def linked_parts(text: str, strong: list[Span], reach: int) -> list[Span]:
     endpoints = sorted((s, e) for s, k, e in weak if k == 5)
     breaks = [m.start() for m in _SCOPE_END.finditer(text)]
 
+    last = {id(o): list(accumulate((e for _, e in o), max)) for o in (ids, keys, endpoints)}  # the last end so far
+
     def near(part: tuple[int, int], others: list[tuple[int, int]]) -> bool:
         """Does one of the others, sorted, start in part's scope and within reach of it?"""
-        scope = bisect_left(breaks, part[0])
-        at = bisect_left(others, (part[0] - reach - 256, 0))
-        while at < len(others) and others[at][0] <= part[1] + reach:
+        scope, ends = bisect_left(breaks, part[0]), last[id(others)]
+        at = bisect_left(others, (part[1] + reach + 1, 0)) - 1
+        while at >= 0 and ends[at] >= part[0] - reach:
             start, end = others[at]
-            if (start, end) != part and max(start - part[1], part[0] - end) <= reach and bisect_left(breaks, start) == scope:
+            if (start, end) != part and part[0] - end <= reach and bisect_left(breaks, start) == scope:
                 return True
-            at += 1
+            at -= 1
         return False
 
     out = []

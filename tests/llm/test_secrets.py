@@ -79,3 +79,10 @@ def test_query_equals_brute_force(spark):
 def test_weak_parts_are_whole_however_long(part):
     text = f"user: alice zQ8xT4vB1nM7kL3pW9rS5d\n{part} end"
     assert any(text[s:e] == part for s, _, e in secrets.find_secrets(text)[1])
+
+
+@pytest.mark.parametrize("strong", ["token=" + "a.b" * 200, "0123456789abcdef" * 40])
+def test_long_strong_spans_support_what_follows_them(strong):
+    added = lambda text: [secrets.KINDS[k] for _, k, _ in secrets.find_secrets(text)[1]]
+    assert added(strong + " and then user: alice at https://db.example.org/x") == ["id", "endpoint"]
+    assert added(strong + " x" * 101 + " user: alice") == [] == added(strong + "\n\nuser: alice")

@@ -1,6 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping probes of ``probe`` characters. A stretch of text within e edits of a probe of m
+Benchmark items are cut into overlapping probes of ``probe`` characters, one every ``stride``. Any excerpt of an item that
+is as long as a probe lies within stride / 2 characters of one, each of which takes an edit: with the settings given, all
+excerpts of 80 characters with up to 2 edits are found, and all of 87 with up to 6. A stretch of text within e edits of a probe of m
 characters shares at least m + 1 - q * (e + 1) character q-grams with it, all near one diagonal. Texts are therefore
 scanned for the probes' q-grams; hits are counted by probe in overlapping diagonal bands, stretches that meet the bound
 are kept, and each is verified by a banded alignment. Both sides are compared in a plain form: lower case, runs of letters
@@ -8,8 +10,8 @@ and digits, one blank between them.
 
 The benchmark comes to the workers in blocks of bounded size, each held against all texts.
 
-Defined cases: null and empty texts and items match nothing, nor do items of fewer than ``least`` plain characters, which
-chance would match; items shorter than a probe are one probe; repeated rows get the same answer each; ties of the
+Defined cases: null and empty texts and items match nothing; items of fewer than ``least`` plain characters match exact
+copies of all their words; other items shorter than a probe are one probe; repeated rows get the same answer each; ties of the
 alignment go to the least start.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -84,6 +87,7 @@ class Settings:
     rate: float = 0.075  # edits by character of a probe
     q: int = 10
     least: int = 30
+    stride: int = 8  # from one probe of an item to the next
 
 
 class Probes:
@@ -91,9 +95,12 @@ class Probes:
 
     def __init__(self, items: list[tuple[int, str]], s: Settings):
         self.q, self.text, self.item = s.q, [], []
+        self.short: dict[str, list[tuple[int, str]]] = {}  # by the first word
         for item, text in items:
+            if 0 < len(text) < s.least:
+                self.short.setdefault(text.split(" ", 1)[0], []).append((item, text))
             if len(text) >= s.least:
-                starts = range(0, max(1, len(text) - s.probe + 1), s.probe // 2)
+                starts = range(0, max(1, len(text) - s.probe + 1), s.stride)
                 for a in sorted({*starts, max(0, len(text) - s.probe)}):
                     self.text.append(text[a : a + s.probe])
                     self.item.append(item)
@@ -101,10 +108,12 @@ class Probes:
         self.edits = np.minimum((size * s.rate).astype(np.int64), (size + 1) // s.q - 2).clip(0)
         self.need = size + 1 - s.q * (self.edits + 1)
         self.reach = size + self.edits - s.q
-        grams = [(h, i, p) for i, t in enumerate(self.text) for p, h in enumerate(gram_hashes(codes(t), s.q).tolist())]
-        table = np.array(sorted(grams), dtype=[("h", np.uint64), ("probe", np.int64), ("at", np.int64)]) if grams else np.empty(0, [("h", np.uint64), ("probe", np.int64), ("at", np.int64)])
-        self.hash, self.first, self.times = np.unique(table["h"], return_index=True, return_counts=True)
-        self.probe, self.at = table["probe"], table["at"]
+        grams = [gram_hashes(codes(t), s.q) for t in self.text]
+        h = np.concatenate([*grams, np.empty(0, np.uint64)])
+        order = np.argsort(h, kind="stable")
+        self.hash, self.first, self.times = np.unique(h[order], return_index=True, return_counts=True)
+        self.probe = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])[order]
+        self.at = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in grams), np.empty(0, np.int32)])[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -131,7 +140,7 @@ class Probes:
             return []
         times = self.times[grams]
         entry = np.repeat(self.first[grams] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        place, probe = np.repeat(places, times), self.probe[entry]
+        place, probe = np.repeat(places, times), self.probe[entry].astype(np.int64)
         band = (place - self.at[entry]) // _STEP
         # band b covers the diagonals 8 b .. 8 b + 15, so that each diagonal lies in two and any 9 in a row in one
         rows = np.concatenate([np.stack([probe, band - k, place], axis=1) for k in (0, 1)])
@@ -145,6 +154,18 @@ class Probes:
                 out |= {(int(p), int(b) * _STEP) for p, b in np.unique(rows[own][full][:, :2], axis=0)}
         return sorted(out)
 
+    def short_matches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(item, 0, start, end) of each exact copy of a short item's whole words."""
+        if not self.short:
+            return
+        closed = f" {text} "
+        for word in sorted(self.short.keys() & set(text.split(" "))):
+            for item, short in self.short[word]:
+                at = closed.find(f" {short} ")
+                while at >= 0:
+                    yield item, 0, at, at + len(short)
+                    at = closed.find(f" {short} ", at + 1)
+
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of the best stretch for each text and probe that has one."""
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
@@ -218,7 +239,9 @@ def _finder(spark: SparkSession, items: list[tuple[int, str]], settings: Setting
             for i, p in enumerate(plains):
                 size += len(p) + 1
                 if size >= _CHUNK or i + 1 == len(plains):
-                    for n, item, edits, a, b in probes.matches(plains[begin : i + 1]):
+                    part = plains[begin : i + 1]
+                    short = ((n, *m) for n, t in enumerate(part) for m in probes.short_matches(t))
+                    for n, item, edits, a, b in chain(probes.matches(part), short):
                         m = found[begin + n].setdefault(item, [edits, 0, a, b])
                         m[:] = [min(m[0], edits), m[1] + 1, min(m[2], a), max(m[3], b)]
                     begin, size = i + 1, 0
@@ -239,7 +262,7 @@ def blocks(benchmark: DataFrame, item: str, text: str, characters: int = 1_000_0
 def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(key, item, edits, stretches, start, end) for each row of docs and each item with a verified stretch in it.
 
-    stretches counts the item's probes that are found, edits are the fewest of theirs; start and end, in code points of the text, span them all.
+    stretches counts the item's probes (of a short item: the copies) that are found, edits are the fewest of theirs; start and end, in code points of the text, span them all.
     """
     spark, out = docs.sparkSession, None
     found = F.explode("found").alias("m")

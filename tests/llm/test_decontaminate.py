@@ -68,3 +68,21 @@ def test_query_finds_planted_passages_only(spark):
     assert got == [(0, 7, 0), (4, 7, 0), (4, 7, 0), (5, 7, got[-1][2])] and got[-1][2] <= 3
     assert sorted(r["doc_id"] for r in d.without_leaks(docs, bench).collect()) == [1, 2, 3, 6]
     assert d.leaks(docs, bench.limit(0)).count() == 0 and d.without_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_every_excerpt_of_a_probes_length_is_found():
+    rng = random.Random(8)
+    item = d.plain(" ".join(word(rng) for _ in range(60)))
+    probes = d.Probes([(1, item)], d.Settings())
+    clean = lambda: " ".join("".join(rng.choice("vwxyz") for _ in range(6)) for _ in range(20))
+    for n in (80, 83, 95):
+        texts = [clean() + " " + item[a : a + n] + " " + clean() for a in range(len(item) - n + 1)]
+        assert {m[0] for m in probes.matches(texts)} == set(range(len(texts)))
+
+
+def test_short_items_match_exact_copies_of_their_words(spark):
+    docs = spark.createDataFrame([(1, "Seven-Wizards mix, potions!"), (2, "seven wizards mix potionsx"), (3, "seven wizards"), (4, "mix seven wizards mix potions seven wizards mix potions")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "seven wizards mix potions")], "item_id long, text string")
+    got = sorted(tuple(r) for r in d.leaks(docs, bench).collect())
+    assert got == [(1, 7, 0, 1, 0, 26), (4, 7, 0, 2, 4, 55)]
+    assert sorted(r["doc_id"] for r in d.without_leaks(docs, bench).collect()) == [2, 3]

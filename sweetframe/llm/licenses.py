@@ -147,12 +147,15 @@ class Scanner:
             by_template.setdefault(t, []).append((a, b, n))
         for t, runs in by_template.items():
             chains: list[list[int]] = []  # first word, end in the text, end in the template, words covered, longest run
+            near: list[list[int]] = []  # those that end within the gap of the run's start, or later
             for a, b, n in sorted(runs):
-                fit = next((c for c in reversed(chains[-8:]) if a >= c[1] and b >= c[2] and a - c[1] <= self.gap and b - c[2] <= self.gap), None)
+                near = [c for c in near if a - c[1] <= self.gap]
+                fit = next((c for c in reversed(near) if a >= c[1] and b >= c[2] and a - c[1] <= self.gap and b - c[2] <= self.gap), None)
                 if fit:
                     fit[1:] = [a + n, b + n, fit[3] + n, max(fit[4], n)]
                 else:
                     chains.append([a, a + n, b + n, n, n])
+                    near.append(chains[-1])
             out += [(self.labels[t], c[0], c[1], c[3] / self.sizes[t]) for c in chains if c[3] >= self.cover * self.sizes[t] or c[4] >= self.long_run]
         return sorted(out)
 

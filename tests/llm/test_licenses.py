@@ -65,3 +65,12 @@ def test_query_equals_brute_force(spark):
         assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(base), ",".join(sorted({x for _, x in base})))
         assert (r["first_word"], r["last_word"]) == ((base[0][0], base[-1][0]) if base else (None, None))
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+
+
+def test_a_clause_repeated_often_does_not_part_a_chain():
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    clause, first, last = words("c", 5), words("u", 10), words("v", 10)
+    template = [*first, *clause, *last, *(w for i in range(11) for w in [*words(f"f{i}x", 9), *clause])]
+    scanner = licenses.Scanner((("often", " ".join(template)),), (), cover=0.1)
+    found = scanner.scan(" ".join(["x", *first, "x", *clause, "x", *last, "x"]))["spans"]
+    assert [(f["first"], f["end"], f["cover"]) for f in found] == [(1, 28, 25 / len(template))]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,12 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    return _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sweetframe-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dir:
+        _own_dir[app] = tempfile.mkdtemp(prefix="sweetframe-")
+    return _own_dir[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,6 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(taken: Iterable[str], name: str) -> str:
+    """name, with as many ``_`` appended as it takes to differ from all names taken, in whatever case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def freed(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """df with ``_`` appended to each column that has one of the names, so that results can bear them."""
+    names = {n.lower() for n in names}
+    own, out = list(df.columns), []
+    for c in own:
+        out.append(spare([*own, *out, *names], c) if c.lower() in names else c)
+    return df.toDF(*out)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

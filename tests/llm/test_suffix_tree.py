@@ -7,13 +7,13 @@ import pytest
 
 from sweetframe.llm import suffix_tree as t
 
-TEXTS = ["the cat sat on the mat", "The  cat\n\nate", None, "", " \t", "é ü \x1c x", "the the the the", "zebra! " * 400, "q" * 3000] * 3
+TEXTS = ["the cat sat on the mat", "The  cat\n\nate", None, "", " \t", "é ü \x1c x", "the the the the", "zebra! " * 400, "a\x00b c\x00", "q" * 3000] * 3
 
 
 def plain_runs(texts, depth):
     out = Counter()
     for x in texts:
-        b = b"\n" + b" ".join(t.split_words(x)) + b"\n"
+        b = b"\n" + b" ".join(t.split_words(x)).replace(b"\0", b"\xff") + b"\n"
         for i in range(1, len(b)):
             out[b[max(0, i - depth) : i + 1]] += 1
     return out
@@ -21,25 +21,76 @@ def plain_runs(texts, depth):
 
 @pytest.mark.parametrize("depth", [1, 3, 5])
 def test_run_counts_equal_the_plain_ones(depth):
-    got = t.run_counts(t._joined([t.split_words(x) for x in TEXTS]), depth)
-    want = {int.from_bytes(k, "big"): n for k, n in plain_runs(TEXTS, depth).items()}
-    assert dict(zip(*(x.tolist() for x in got))) == want
-
-
-def test_automaton_scores_by_the_longest_suffix_and_sums_to_one(spark):
-    docs = spark.createDataFrame([(x,) for x in TEXTS], "text string").repartition(3)
-    tree = t.grow(t.count(docs, depth=3), 3, share=1e-3, divergence=0.0)
-    unseen = 256 - (len(tree.log10p[0]) - 1)
-    p = 10.0 ** tree.log10p.astype(float)
-    assert np.allclose(p[:, :-1].sum(axis=1) + p[:, -1] * unseen, 1, atol=1e-3)
-    joined = t._joined([t.split_words(x) for x in TEXTS[:8]])
-    whole = t.score(tree, joined, chunks=1)
-    assert np.allclose(whole, t.score(tree, joined, chunks=50), atol=1e-6)
-    state = 0
-    for i, c in enumerate(joined.tolist()):  # byte by byte
-        if i:
-            assert abs(tree.log10p[state, tree.symbols[c]] - whole[i]) < 1e-6
-        state = tree.step[state, tree.symbols[c]]
+    got = Counter(t.runs_of(t._joined([t.split_words(x) for x in TEXTS]), depth).tolist())
+    assert got == {int.from_bytes(k, "big"): n for k, n in plain_runs(TEXTS, depth).items()}
+
+
+class PlainTree:
+    """The tree with dictionaries: next bytes by context, and probabilities by recursion over suffixes."""
+
+    def __init__(self, texts, depth, least, prior=0.5, floor=1e-6):
+        self.next, self.prior = {}, prior
+        for run, n in plain_runs(texts, depth).items():
+            for d in range(len(run)):
+                self.next.setdefault(run[len(run) - 1 - d : -1], Counter())[run[-1]] += n
+        own = self.next.get(b"", Counter())
+        total, back = sum(own.values()), prior * len(own)
+        raw = [max((own[b] + back / 256) / (total + back), floor) if total else 1 / 256 for b in range(256)]
+        self.bottom = [x / sum(raw) for x in raw]
+        self.kept = {b""}
+        for c, own in self.next.items():
+            n = sum(own.values())
+            if c and n >= least and sum(k * math.log(k / n / self.smooth(c[1:], b)) for b, k in own.items()) > 2 * len(own):
+                self.kept.add(c)
+
+    def smooth(self, context, byte):
+        if not context:
+            return self.bottom[byte]
+        below, own = self.smooth(context[1:], byte), self.next.get(context)
+        if own is None:
+            return below
+        back = self.prior * len(own)
+        return (own[byte] + back * below) / (sum(own.values()) + back)
+
+    def score(self, text, depth):
+        b, out = b"\n" + b" ".join(t.split_words(text)).replace(b"\0", b"\xff") + b"\n", 0.0
+        for i in range(1, len(b)):
+            context = b[max(0, i - depth) : i]
+            while context not in self.kept:
+                context = context[1:]
+            out += math.log10(self.smooth(context, b[i]))
+        return out
+
+
+@pytest.mark.parametrize(("depth", "least", "few"), [(3, 1, 0), (5, 4, 7), (5, 4, 10**6)])
+def test_scores_equal_the_plain_tree_under_any_partitioning(spark, depth, least, few):
+    train, held = [x for x in TEXTS if x != TEXTS[0]], [*TEXTS[:9], "the zebra! cat sat on \x00 qqqqe ünseen ZZ top", "xyzzy"]
+    plain = PlainTree(train, depth, least)
+    make = lambda texts, n: spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(n)
+    got = [{r["id"]: r["tree_score"] for r in t.assess(make(held, n), make(train, n), depth=depth, least=least, frequent_runs=few).collect()} for n in (1, 3)]
+    assert got[0] == got[1]
+    for i, x in enumerate(held):
+        assert math.isclose(got[0][i], plain.score(x, depth), abs_tol=1e-9 * 4000, rel_tol=1e-9), x
+    for c in plain.kept:  # each context's distribution sums to one
+        assert math.isclose(sum(plain.smooth(c, b) for b in range(256)), 1, abs_tol=1e-9)
+
+
+def test_pieces_of_long_texts_give_the_same_sums():
+    joined = t._joined([t.split_words(x) for x in TEXTS])
+    runs, n = np.unique(t.runs_of(joined, 5), return_counts=True)
+    lookup = t.Lookup(runs[::2], np.arange(len(runs))[::2], n[::2], bits=6)
+    whole = t.known_scores(lookup, joined, 5)
+    for piece in (1, 7, 1000):
+        assert all((a == b).all() for a, b in zip(whole, t.known_scores(lookup, joined, 5, piece)))
+    values = dict(zip(runs[::2].tolist(), np.arange(len(runs))[::2].tolist()))
+    assert whole[0].sum() == sum(values.get(r, 0) for r in t.runs_of(joined, 5).tolist())
+    assert len(whole[2]) == sum(r not in values for r in t.runs_of(joined, 5).tolist())
+
+
+def test_columns_with_the_names_of_results_are_kept(spark):
+    docs = spark.createDataFrame([(7, "a b", "x")], "n_tokens int, text string, Tree_Score string")
+    (r,) = t.assess(docs, docs).collect()
+    assert (r["n_tokens"], r["n_tokens_"], r["Tree_Score_"]) == (3, 7, "x")
 
 
 def test_query_equals_brute_force_and_contexts_help_on_held_out_texts(spark):

@@ -1,12 +1,16 @@
 """Licence scans: matching statistics against a generalised suffix automaton of licence tokens, chained into spans.
 
 All templates go into one suffix automaton over words. A text is streamed through it once; the state after each word gives
-the longest run of words ending there that occurs in some template (the matching statistics) and which templates hold it.
-Runs of at least ``least`` words are chained: runs on one template that come in the template's order with small gaps form
-a covered span, and a span that covers enough of the template's words (or one long run) gives the template's label.
-
-Defined cases: null and empty texts have no words and score 0; ties between templates of a label don't matter, as labels
-are distinct; repeated rows get the same answer each; words outside all templates reset the automaton.
+the longest run of words ending there that occurs in some template (the matching statistics), and the states along its
+suffix links all shorter runs with the places where templates hold them. So each template has its own longest runs, also
+where another template shares the wording and more. Runs of at least ``least`` words are chained: runs on one template that
+come in the template's order with small gaps form a covered span, and a span that covers enough of the template's words (or
+one long run) gives the template's label. A span inside another one that covers as many words or more, and more of its template, gives none: a
+notice that names one variant of a licence reads like those that name others.
+
+Defined cases: null and empty texts have no words and score 0; of equal spans of several labels each gives its label;
+repeated rows get the same answer each; very long texts are streamed like others; words outside all templates reset the
+automaton; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,20 +28,44 @@ from sweetframe.llm._common import bounded_batches
 # Phrases that name a licence.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Public notices of common licences.
+# Public licence texts and the notices by which works refer to them.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("mit", "Released under the MIT License."),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("apache", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under the CC0 1.0 Universal Public Domain Dedication."),
 )
 
+# The public licences of one family, by their elements' names.
+_ELEMENTS = {"by": "Attribution", "nc": "NonCommercial", "nd": "NoDerivatives", "sa": "ShareAlike"}
+_VARIANTS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
+
+
+def creative_commons(versions: tuple[str, ...] = ("3.0", "4.0")) -> tuple[tuple[str, str], ...]:
+    """The long and the short marking of each variant and version."""
+    out = []
+    for variant in _VARIANTS:
+        name = "-".join(_ELEMENTS[x] for x in variant.split("-"))
+        for v in versions:
+            long = "International" if v == "4.0" else "Unported"
+            out.append((f"cc-{variant}", f"This work is licensed under a Creative Commons {name} {v} {long} License. To view a copy of this license, visit https://creativecommons.org/licenses/{variant}/{v}/"))
+            out.append((f"cc-{variant}", f"This work is licensed under CC {variant.upper()} {v}"))
+    return tuple(out)
+
+
 # ASCII letters and digits and all bytes beyond ASCII belong to words; A-Z become a-z; all else parts words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -47,26 +75,53 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Accepts each run of tokens of each sequence; knows for each state one end of the run in each template."""
+    """Accepts each run of tokens of each sequence; knows for each state where its runs end.
+
+    Ends are kept once, in the order of a walk down the tree of suffix links, so that those of a state are one slice.
+    """
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[set[tuple[int, int]]] = [set()]  # (template, place of the run's last word)
+        own: list[list[tuple[int, int]]] = []  # (template, place of the run's last word)
         for template, sequence in enumerate(sequences):
             last = 0
             for place, token in enumerate(sequence):
                 last = self._extend(last, token)
-                self.ends[last].add((template, place))
-        for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):  # shorter runs end wherever longer ones do
-            if self.link[state] > 0:
-                self.ends[self.link[state]] |= self.ends[state]
+                own.extend([] for _ in range(len(self.link) - len(own)))
+                own[last].append((template, place))
+        below: list[list[int]] = [[] for _ in self.link]
+        for state, link in enumerate(self.link[1:], 1):
+            below[link].append(state)
+        self.ends: list[tuple[int, int]] = []
+        self.slice = [(0, 0)] * len(self.link)
+        walk = [(0, False)] if own else []
+        while walk:
+            state, done = walk.pop()
+            if done:
+                self.slice[state] = (self.slice[state][0], len(self.ends))
+            else:
+                self.slice[state] = (len(self.ends), 0)
+                self.ends += own[state]
+                walk.append((state, True))
+                walk += [(x, False) for x in below[state]]
+
+    def matches(self, state: int, length: int, least: int) -> dict[tuple[int, int], int]:
+        """By (template, place): the longest run that ends there, of at least ``least`` tokens; for a state and its run's length."""
+        out: dict[tuple[int, int], int] = {}
+        a, b = 0, 0
+        while state > 0 and length >= least:
+            first, end = self.slice[state]
+            for ends in (self.ends[first:a], self.ends[b:end]) if b else (self.ends[first:end],):
+                out.update(dict.fromkeys(ends, length))
+            a, b, state = first, end, self.link[state]
+            length = self.length[state]
+        return out
 
     def _add(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append(set())
         return len(self.link) - 1
 
     def _split(self, source: int, token: int) -> int:
@@ -107,7 +162,7 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, least: int = 5, gap: int = 8, cover: float = 0.5, long_run: int = 12):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = (*TEMPLATES, *creative_commons()), phrases: tuple[tuple[str, str], ...] = PHRASES, least: int = 5, gap: int = 8, cover: float = 0.5, long_run: int = 12):
         self.least, self.gap, self.cover, self.long_run = least, gap, cover, long_run
         self.labels = [label for label, _ in templates]
         words = [split_words(t) for _, t in templates]
@@ -128,16 +183,18 @@ class Scanner:
         return sorted(found)
 
     def runs(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(template, start in the text, start in the template, length) of each longest run of at least ``least`` words."""
+        """(template, start in the text, start in the template, length) of each run of at least ``least`` words that no word prolongs."""
         known = np.concatenate(([False], ids >= 0, [False]))
         edges = np.flatnonzero(known[1:] != known[:-1]).reshape(-1, 2)
         found = []
         for start, end in edges[edges[:, 1] - edges[:, 0] >= self.least].tolist():  # only known words move the automaton on
             lengths, states = self.automaton.statistics(ids[start:end].tolist())
-            for i, n in enumerate(lengths):
-                if n >= self.least and (i + 1 == len(lengths) or lengths[i + 1] != n + 1):
-                    found += [(t, start + i - n + 1, place - n + 1, n) for t, place in sorted(self.automaton.ends[states[i]])]
-        return found
+            last: dict[tuple[int, int], int] = {}
+            for i, (n, state) in enumerate(zip([*lengths, 0], [*states, 0], strict=True)):
+                now = self.automaton.matches(state, n, self.least) if n >= self.least else {}
+                found += [(t, start + i - m, place - m + 1, m) for (t, place), m in last.items() if (t, place + 1) not in now]
+                last = now
+        return sorted(found)
 
     def spans(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
         """(label, first word, end, share of the template's words) of each chain that covers enough of its template."""
@@ -156,8 +213,16 @@ class Scanner:
                 else:
                     chains.append([a, a + n, b + n, n, n])
                     near.append(chains[-1])
-            out += [(self.labels[t], c[0], c[1], c[3] / self.sizes[t]) for c in chains if c[3] >= self.cover * self.sizes[t] or c[4] >= self.long_run]
-        return sorted(out)
+            out += [(c[0], -c[1], c[3], c[3] / self.sizes[t], self.labels[t]) for c in chains if c[3] >= self.cover * self.sizes[t] or c[4] >= self.long_run]
+        # by start, the widest and best first: whatever may drop a span comes before it
+        kept: list[tuple[int, int, int, float, str]] = []
+        open_: list[tuple[int, int, int, float, str]] = []
+        for span in sorted(out, key=lambda x: (*x[:2], -x[2], -x[3], x[4])):
+            open_ = [x for x in open_ if -x[1] > span[0]]
+            if not any(-x[1] >= -span[1] and x[2] >= span[2] and x[3] > span[3] for x in open_):
+                kept.append(span)
+            open_.append(span)
+        return sorted((label, first, -end, cover) for first, end, _, cover, label in kept)
 
     def scan(self, text: str | None) -> dict:
         words = split_words(text)

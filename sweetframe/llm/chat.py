@@ -7,7 +7,8 @@ the loss: the mask lists their places, in code points of the completion, ends in
 Defined cases: a null role is rendered as ``user`` and a null text as empty; turns sort by number, nulls first, then by
 role and text; a turn given twice stays twice; a side without turns has an empty completion; equal sides have the whole
 conversation as prompt and empty completions; a pair with one side only is still emitted. One row holds one pair, so a
-conversation must fit in memory as a row, as the rendered text does.
+conversation must fit in memory as a row, as the rendered text does; an empty table gives no rows; columns but those named
+are not read.
 """
 
 from __future__ import annotations
@@ -64,14 +65,14 @@ def swapped_replies(conversations: DataFrame) -> DataFrame:
 
     chosen is the conversation up to its last assistant turn; rejected has, instead of that turn, the last assistant turn
     of its partner, the conversation whose id differs in the last bit. Conversations without an assistant turn, or whose
-    partner has none, make no pair.
+    partner has none, make no pair. Turns without a number stand before all others.
     """
     replies = conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
     replies = replies.where("conv_id is not null")
     other = replies.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("other"))
     pairs = replies.join(other, "conv_id")
-    told = conversations.join(pairs, "conv_id").where(F.col("turn") <= F.col("last.turn"))
-    swapped = (F.col("turn") == F.col("last.turn")) & (F.col("role") == "assistant") & F.col("text").eqNullSafe(F.col("last.text"))
+    told = conversations.join(pairs, "conv_id").where(F.col("turn").isNull() | (F.col("turn") <= F.col("last.turn")))
+    swapped = F.col("turn").eqNullSafe(F.col("last.turn")) & (F.col("role") == "assistant") & F.col("text").eqNullSafe(F.col("last.text"))
     sides = F.explode(F.array(*map(F.lit, ("chosen", "rejected"))))
     both = told.select("conv_id", "turn", "role", "text", "other", swapped.alias("swapped"), sides.alias("side"))
     said = F.when((F.col("side") == "rejected") & F.col("swapped"), F.col("other")).otherwise(F.col("text"))

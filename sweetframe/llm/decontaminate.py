@@ -1,18 +1,21 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping probes of ``probe`` characters, one every ``stride``. Any excerpt of an item that
-is as long as a probe lies within stride / 2 characters of one, each of which takes an edit: with the settings given, all
-excerpts of 80 characters with up to 2 edits are found, and all of 87 with up to 6. A stretch of text within e edits of a probe of m
-characters shares at least m + 1 - q * (e + 1) character q-grams with it, all near one diagonal. Texts are therefore
-scanned for the probes' q-grams; hits are counted by probe in overlapping diagonal bands, stretches that meet the bound
-are kept, and each is verified by a banded alignment. Both sides are compared in a plain form: lower case, runs of letters
-and digits, one blank between them.
-
-The benchmark comes to the workers in blocks of bounded size, each held against all texts.
+Benchmark items are cut into overlapping probes of ``probe`` characters, one every ``stride``, and shorter ones of ``short``
+characters that must match exactly. Any excerpt of an item that is as long as a probe lies within stride / 2 characters of
+one, each of which takes an edit: with the settings given, all excerpts of 40 characters are found if unchanged, all of 80
+with up to 2 edits, and all of 87 with up to 6. A stretch of text within e edits of a probe of m characters shares at least
+m + 1 - q * (e + 1) character q-grams with it, all near one diagonal. Hits are counted by probe in overlapping diagonal
+bands, stretches that meet the bound are kept, and each is verified by a banded alignment. Both sides are compared in a
+plain form: lower case, runs of letters and digits, one blank between them.
+
+Texts are scanned once. The workers have a table of bits for the benchmark's q-grams (of bounded size; a full one costs
+time, not results) and keep the pieces of a text where enough of them crowd. Pieces are joined with the items by q-gram in
+Spark, and each pair of a piece and an item that share enough is verified on its own.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than ``least`` plain characters match exact
-copies of all their words; other items shorter than a probe are one probe; repeated rows get the same answer each; ties of the
-alignment go to the least start.
+copies of all their words; other items shorter than a probe are one probe; items may have ids of any type that a string can
+be cast to, null ones too; equal items are one; repeated rows get the same answer each; very long texts are scanned whole;
+ties of the alignment go to the least start; empty tables give no rows, or, as a benchmark, leave all rows.
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweetframe.llm._common import bounded_batches
+from sweetframe.llm._common import bounded_batches, cut
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = 0x9E3779B97F4A7C15
@@ -45,18 +48,15 @@ def plain(text: str | None) -> str:
     return " ".join(_WORD.findall(lowered(text))) if text else ""
 
 
-def source_span(text: str, start: int, end: int) -> tuple[int, int]:
-    """Where plain(text)[start:end] stands in text."""
+def source_span(starts: list[int], text: str, start: int, end: int) -> tuple[int, int]:
+    """Where text[start:end], plain words whose source places are ``starts``, stands in the source."""
     at, first, last = 0, None, 0
-    for m in _WORD.finditer(lowered(text)):
-        size = m.end() - m.start()
-        if first is None and start < at + size + 1:
-            first = m.start() + min(size, max(0, start - at))
+    for place, word in zip(starts, text.split(" "), strict=True):
+        if first is None and start < at + len(word) + 1:
+            first = place + min(len(word), max(0, start - at))
         if at < end:
-            last = m.start() + min(size, end - at)
-        at += size + 1
-        if at >= end:
-            break
+            last = place + min(len(word), end - at)
+        at += len(word) + 1
     return first or 0, last
 
 
@@ -88,24 +88,33 @@ class Settings:
     q: int = 10
     least: int = 30
     stride: int = 8  # from one probe of an item to the next
+    short: int = 32  # of the probes without edits
+
+    def edits(self, size: np.ndarray) -> np.ndarray:
+        return np.minimum((size * self.rate).astype(np.int64), (size + 1) // self.q - 2).clip(0)
+
+    def bounds(self) -> tuple[int, int]:
+        """(fewest q-grams that a match shares with its probe, widest reach of its q-grams' places)."""
+        size = np.arange(min(self.least, self.probe), self.probe + 1)
+        edits = self.edits(size)
+        return int(min((size + 1 - self.q * (edits + 1)).min(), self.short + 1 - self.q)), int(max((size + edits).max(), self.short) - self.q)
 
 
 class Probes:
     """The probes of a block of items, and where each q-gram stands in them."""
 
     def __init__(self, items: list[tuple[int, str]], s: Settings):
-        self.q, self.text, self.item = s.q, [], []
-        self.short: dict[str, list[tuple[int, str]]] = {}  # by the first word
+        self.q, self.text, self.item, exact = s.q, [], [], []
         for item, text in items:
-            if 0 < len(text) < s.least:
-                self.short.setdefault(text.split(" ", 1)[0], []).append((item, text))
-            if len(text) >= s.least:
-                starts = range(0, max(1, len(text) - s.probe + 1), s.stride)
-                for a in sorted({*starts, max(0, len(text) - s.probe)}):
-                    self.text.append(text[a : a + s.probe])
-                    self.item.append(item)
+            for size in (s.probe, s.short):
+                if len(text) >= s.least and (size == s.probe or len(text) > size):
+                    starts = range(0, max(1, len(text) - size + 1), s.stride)
+                    for a in sorted({*starts, max(0, len(text) - size)}):
+                        self.text.append(text[a : a + size])
+                        self.item.append(item)
+                        exact.append(size == s.short)
         size = self.sizes = np.array([len(t) for t in self.text], np.int64)
-        self.edits = np.minimum((size * s.rate).astype(np.int64), (size + 1) // s.q - 2).clip(0)
+        self.edits = np.where(np.array(exact, bool), 0, s.edits(size))
         self.need = size + 1 - s.q * (self.edits + 1)
         self.reach = size + self.edits - s.q
         grams = [gram_hashes(codes(t), s.q) for t in self.text]
@@ -154,20 +163,8 @@ class Probes:
                 out |= {(int(p), int(b) * _STEP) for p, b in np.unique(rows[own][full][:, :2], axis=0)}
         return sorted(out)
 
-    def short_matches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item, 0, start, end) of each exact copy of a short item's whole words."""
-        if not self.short:
-            return
-        closed = f" {text} "
-        for word in sorted(self.short.keys() & set(text.split(" "))):
-            for item, short in self.short[word]:
-                at = closed.find(f" {short} ")
-                while at >= 0:
-                    yield item, 0, at, at + len(short)
-                    at = closed.find(f" {short} ", at + 1)
-
-    def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, edits, start, end) of the best stretch for each text and probe that has one."""
+    def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(text, item, edits, start, end, probe) of the best stretch for each text and probe that has one."""
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
         text = codes("\n".join(texts))
         found = np.array(self.stretches(text), np.int64).reshape(-1, 2)
@@ -186,7 +183,7 @@ class Probes:
                     one = (int(edits[k]), int(base[k] + a[k] - starts[n]), int(base[k] + b[k] - starts[n]))
                     best[n, int(probe[k])] = min(best.get((n, int(probe[k])), one), one)
         for (n, probe), (edits, a, b) in sorted(best.items()):
-            yield n, self.item[probe], edits, a, b
+            yield n, self.item[probe], edits, a, b, probe
 
 
 def codes(text: str) -> np.ndarray:
@@ -222,41 +219,175 @@ def _crowded(places: np.ndarray, key: np.ndarray, need: int, reach: int) -> np.n
     return np.cumsum(full[:-1]) > 0
 
 
-SHAPE = "array<struct<item: bigint, edits: int, stretches: int, start: int, end: int>>"
-
-
-def _finder(spark: SparkSession, items: list[tuple[int, str]], settings: Settings):
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(items)
-
-    @F.pandas_udf(SHAPE)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        probes = Probes(shared.value, settings)
+class Sieve:
+    """Bits of the benchmark's q-grams and, by length, of its short items between blanks."""
+
+    def __init__(self, bits: np.ndarray, size: int, lengths: list[int], s: Settings):
+        self.bits, self.size, self.lengths, self.s = bits, size, lengths, s
+        self.need, self.reach = s.bounds()
+
+    def _has(self, h: np.ndarray) -> np.ndarray:
+        at = slots(h, self.size)
+        return np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+
+    def pieces(self, texts: list[str | None]) -> list[list[dict]]:
+        """Of each text the pieces in which the benchmark's q-grams crowd, and the copies that a short item may have."""
+        found: list[list[dict]] = [[] for _ in texts]
+        plains = [plain(t) for t in texts]
+        begin, size = 0, 0
+        for i, p in enumerate(plains):
+            size += len(p) + 3
+            if size >= _CHUNK or i + 1 == len(plains):
+                self._scan(texts[begin : i + 1], plains[begin : i + 1], found[begin : i + 1])
+                begin, size = i + 1, 0
+        return found
+
+    def _scan(self, texts: list[str | None], plains: list[str], found: list[list[dict]]) -> None:
+        joined = codes("".join(f" {p} \n" for p in plains))
+        starts = np.cumsum([0] + [len(p) + 3 for p in plains])
+        places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for a in range(0, len(joined), _CHUNK):
+            h = gram_hashes(joined[a : a + _CHUNK + self.s.q - 1], self.s.q)
+            at = self._has(h)
+            places.append(at + a)
+            hashes.append(h[at])
+        place, h = np.concatenate(places), np.concatenate(hashes)
+        near = _crowded(place, np.zeros(len(place), np.int64), self.need, self.reach)
+        place, h = place[near], h[near]
+        margin = self.s.probe + 6 * _STEP + 2 * int(self.s.probe * self.s.rate)
+        spans = []  # text, first and last place, q-grams
+        if len(place):
+            of = np.searchsorted(starts, place, side="right") - 1
+            edges = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (place[1:] - place[:-1] > margin), [True])))
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                n = int(of[i])
+                base = int(starts[n]) + 1
+                spans.append((n, int(place[i]) - base - margin, int(place[j - 1]) - base + self.s.q + margin, h[i:j]))
+        for k in self.lengths:
+            w = gram_hashes(joined, k)
+            at = self._has(w)
+            at = at[(joined[at] == 32) & (joined[at + k - 1] == 32)]
+            for i in at.tolist():
+                n = int(np.searchsorted(starts, i, side="right")) - 1
+                spans.append((n, i - int(starts[n]), i - int(starts[n]) + k - 2, w[i : i + 1]))
+        words: dict[int, tuple[list[str], list[int], np.ndarray]] = {}
+        for n, a, b, grams in spans:
+            if n not in words:
+                matches = list(_WORD.finditer(lowered(texts[n])))
+                words[n] = [m[0] for m in matches], [m.start() for m in matches], np.cumsum([0] + [m.end() - m.start() + 1 for m in matches])
+            own, sources, at = words[n]
+            i, j = max(0, int(np.searchsorted(at, a, side="right")) - 1), int(np.searchsorted(at, b, side="left"))
+            kinds, times = np.unique(grams.view(np.int64), return_counts=True)
+            found[n].append({"piece": " ".join(own[i:j]), "starts": sources[i:j], "grams": [{"h": g, "times": t} for g, t in zip(kinds.tolist(), times.tolist(), strict=True)]})
+
+
+def slots(h: np.ndarray, size: int) -> np.ndarray:
+    return (h >> np.uint64(64 - size)).astype(np.int64)
+
+
+def item_grams(text: str, s: Settings) -> np.ndarray:
+    """Of a short item its hash between blanks, of others all q-grams."""
+    closed = len(text) < s.least
+    return np.unique(gram_hashes(codes(f" {text} " if closed else text), len(text) + 2 if closed else s.q))
+
+
+_SEGMENT = 17  # bits of a place within a segment of the table
+
+
+def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(no, item as a string, plain) of the distinct items that have a word."""
+    as_plain = F.pandas_udf(lambda texts: texts.map(plain), "string")
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("item"), as_plain(F.col(text)).alias("plain"))
+    return cut(rows.where("plain <> ''").distinct().withColumn("no", F.monotonically_increasing_id()))
+
+
+def _sieve(items: DataFrame, s: Settings) -> Sieve:
+    """The table of bits: 64 for each character of the benchmark, but at most 2 ** 27."""
+    facts = items.agg(F.coalesce(F.sum(F.length("plain")), F.lit(0)).alias("n"), F.collect_set(F.when(F.length("plain") < s.least, F.length("plain") + 2)).alias("lengths")).first()
+    size = min(27, max(20, int(facts["n"] * 64).bit_length()))
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate([slots(item_grams(t, s), size) for t in batch.column(0).to_pylist()] or [np.empty(0, np.int64)]))
+            which, first = np.unique(at >> _SEGMENT, return_index=True)
+            yield pa.RecordBatch.from_pydict({"segment": which.tolist(), "bits": [_packed(part) for part in np.split(at, first[1:])] if len(at) else []}, pa.schema([("segment", pa.int64()), ("bits", pa.binary())]))
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
+        return pd.DataFrame({"segment": pdf["segment"][:1], "bits": [whole.tobytes()]})
+
+    shape = "segment bigint, bits binary"
+    bits = np.zeros(1 << (size - 3), np.uint8)
+    for r in items.select("plain").mapInArrow(segments, shape).groupBy("segment").applyInPandas(merged, shape).collect():
+        a = r["segment"] << (_SEGMENT - 3)
+        bits[a : a + (1 << (_SEGMENT - 3))] = np.frombuffer(r["bits"], np.uint8)
+    return Sieve(bits, size, sorted(facts["lengths"]), s)
+
+
+def _packed(at: np.ndarray) -> bytes:
+    bits = np.zeros(1 << _SEGMENT, bool)
+    bits[at & ((1 << _SEGMENT) - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+PIECES = "array<struct<piece: string, starts: array<int>, grams: array<struct<h: bigint, times: int>>>>"
+
+
+def _pieces(docs: DataFrame, text: str, items: DataFrame, s: Settings, *keys: Column) -> DataFrame:
+    """(row, keys, at, piece, starts, grams) of the pieces of texts that the benchmark may be in; row numbers the rows of docs."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(items, s))
+
+    @F.pandas_udf(PIECES)
+    def sieved(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            plains = [plain(t) for t in texts]
-            found: list[dict[int, list[int]]] = [{} for _ in plains]
-            begin, size = 0, 0
-            for i, p in enumerate(plains):
-                size += len(p) + 1
-                if size >= _CHUNK or i + 1 == len(plains):
-                    part = plains[begin : i + 1]
-                    short = ((n, *m) for n, t in enumerate(part) for m in probes.short_matches(t))
-                    for n, item, edits, a, b in chain(probes.matches(part), short):
-                        m = found[begin + n].setdefault(item, [edits, 0, a, b])
-                        m[:] = [min(m[0], edits), m[1] + 1, min(m[2], a), max(m[3], b)]
-                    begin, size = i + 1, 0
-            yield pd.Series([[{"item": k, "edits": m[0], "stretches": m[1]} | dict(zip(("start", "end"), source_span(t, m[2], m[3]), strict=True)) for k, m in sorted(f.items())] for t, f in zip(texts, found, strict=True)])
-
-    return find.asNondeterministic()
-
-
-def blocks(benchmark: DataFrame, item: str, text: str, characters: int = 1_000_000) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in plain form, in blocks of about that many characters."""
-    rows = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // characters)
-    for i in range(n):
-        yield sorted({(r["item"], plain(r["text"])) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).toLocalIterator()})
+            yield pd.Series(shared.value.pieces(list(texts)))
+
+    some = docs.select(*keys, sieved.asNondeterministic()(F.col(text)).alias("pieces")).where(F.size("pieces") > 0)
+    kept = some.columns[:-1]
+    return cut(some.withColumn("row", F.monotonically_increasing_id()).select("row", *kept, F.posexplode("pieces").alias("at", "p")).select("row", *kept, "at", "p.*"))
+
+
+FOUND = "row bigint, item string, probe string, edits int, start int, end int"
+
+
+def _verified(pieces: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
+    """FOUND, of each probe of an item (of a short item: each copy) in a piece."""
+    need = s.bounds()[0]
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 1_000):
+                part = pdf[i : i + 1_000]
+                own = [item_grams(t, s).view(np.int64) for t in part["plain"]]
+                yield pd.DataFrame({"no": np.repeat(part["no"].to_numpy(), [len(g) for g in own]), "h": np.concatenate(own)})
+
+    table = items.select("no", "plain").mapInPandas(grams, "no bigint, h bigint")
+    hits = pieces.select("row", "at", F.explode("grams").alias("g")).select("row", "at", "g.h", "g.times").join(table, "h")
+    pairs = hits.groupBy("row", "at", "no").agg(F.sum("times").alias("shared")).join(items, "no")
+    pairs = pairs.where((F.col("shared") >= need) | (F.length("plain") < s.least))
+    told = pairs.select("row", "at", "no", "item", "plain").join(pieces.select("row", "at", "piece", "starts"), ["row", "at"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, Probes] = {}
+        for pdf in batches:
+            out = []
+            for no, part in pdf.groupby("no", sort=False):
+                text = part["plain"].iloc[0]
+                rows = list(zip(part["row"], part["item"], part["piece"], part["starts"], strict=True))
+                if len(text) < s.least:
+                    out += [(row, item, f"at {starts[0]}", 0, *source_span(starts, piece, 0, len(piece))) for row, item, piece, starts in rows if piece == text]
+                    continue
+                if no not in known:
+                    known = known if len(known) < 1_000 else {}
+                    known[no] = Probes([(no, text)], s)
+                for i in range(0, len(rows), 500):
+                    for n, _, edits, a, b, probe in known[no].matches([r[2] for r in rows[i : i + 500]]):
+                        row, item, piece, starts = rows[i + n]
+                        out.append((row, item, f"{no} {probe}", edits, *source_span(starts, piece, a, b)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+    return told.mapInPandas(verify, FOUND)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -264,18 +395,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
 
     stretches counts the item's probes (of a short item: the copies) that are found, edits are the fewest of theirs; start and end, in code points of the text, span them all.
     """
-    spark, out = docs.sparkSession, None
-    found = F.explode("found").alias("m")
-    for block in blocks(benchmark, item, item_text):
-        part = docs.select(F.col(key), _finder(spark, block, settings)(F.col(text)).alias("found")).select(key, found)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.limit(0).select(F.col(key), F.lit(None).cast(SHAPE).alias("found")).select(key, found)
-    return out.select(key, F.col("m.item").alias(item), "m.edits", "m.stretches", "m.start", "m.end")
+    items = _items(benchmark, item, item_text)
+    pieces = _pieces(docs, text, items, settings, F.col(key).alias("key"))
+    found = _verified(pieces, items, settings).groupBy("row", "item").agg(F.min("edits").alias("edits"), F.count_distinct("probe").alias("stretches"), F.min("start").alias("start"), F.max("end").alias("end"))
+    rows = pieces.where("at = 0").select("row", "key")
+    own = F.col("item").cast(benchmark.schema[item].dataType).alias(item)
+    return found.join(rows, "row").select(F.col("key").alias(key), own, "edits", F.col("stretches").cast("int").alias("stretches"), "start", "end")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs in which no stretch of the benchmark is found; columns unchanged."""
-    for block in blocks(benchmark, item, item_text):
-        docs = docs.withColumn("__leaks", _finder(docs.sparkSession, block, settings)(F.col(text))).where(F.size("__leaks") == 0).drop("__leaks")
-    return docs
+    """The rows of docs in which no stretch of the benchmark is found; columns unchanged, whatever their names.
+
+    What a text holds doesn't depend on its row: texts are told apart by 128 bits of hashes and their length.
+    """
+    told = lambda c: (F.xxhash64(c).alias("h0"), F.xxhash64(F.lit(1), c).alias("h1"), F.length(c).alias("n"))
+    items = _items(benchmark, item, item_text)
+    pieces = _pieces(docs, text, items, settings, *told(F.col(text)))
+    found = _verified(pieces, items, settings).select("row").distinct()
+    leaky = cut(pieces.where("at = 0").join(found, "row", "left_semi").select("h0", "h1", "n").distinct())
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *told(F.col(text)))
+    return whole.join(leaky, (whole["h0"] == leaky["h0"]) & (whole["h1"] == leaky["h1"]) & whole["n"].eqNullSafe(leaky["n"]), "left_anti").select("own.*")

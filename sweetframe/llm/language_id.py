@@ -6,7 +6,8 @@ product over its words. The distributions are fitted by expectation-maximisation
 
 Defined cases: null text or a text without a letter gives ``und`` and score 0; equal likelihoods go to the first
 language by name; repeated rows get the same answer each; with no labelled rows every text is ``und``; letters outside
-the vocabulary count as one unknown piece each; runs of more than 512 letters are scored as consecutive words of 512.
+the vocabulary count as one unknown piece each; very long texts and runs of letters are scored whole; an empty table gives
+no rows. The columns of the table are not touched, so that no name can clash.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from sweetframe.llm._common import bounded_batches, cut
 
 MARK = "▁"  # starts each word in the vocabulary's pieces
-LONGEST_RUN = 512
 _RUN = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
@@ -33,11 +33,10 @@ def letter_runs(text: str | None) -> list[str]:
     """Lower-cased runs of letters, in order."""
     out = []
     for run in _RUN.findall(text.lower()) if text else ():
-        if run.isalpha() and len(run) <= LONGEST_RUN:
+        if run.isalpha():
             out.append(run)
         else:  # numerals such as superscripts are no letters
-            for part in "".join(c if c.isalpha() else " " for c in run).split():
-                out.extend(part[i : i + LONGEST_RUN] for i in range(0, len(part), LONGEST_RUN))
+            out.extend("".join(c if c.isalpha() else " " for c in run).split())
     return out
 
 
@@ -121,6 +120,12 @@ def log_marginals(lattice: Lattice, prob: np.ndarray, words: list[str]) -> np.nd
 def expected_counts(lattice: Lattice, prob: np.ndarray, words: list[str], weight: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations, by language; weight: the words' counts by language."""
     k_langs, total = prob.shape[1], np.zeros(prob.shape)
+    long = [i for i, w in enumerate(words) if len(w) > _SCALED]
+    for i in long:
+        _add_scaled(lattice, prob, words[i], weight[i], total)
+    if long:
+        short = sorted(set(range(len(words))) - set(long))
+        words, weight = [words[i] for i in short], weight[short]
     if not words:
         return total
     ids, starts, lengths = lattice.spans(words)
@@ -148,6 +153,25 @@ def expected_counts(lattice: Lattice, prob: np.ndarray, words: list[str], weight
     return total
 
 
+_SCALED = 32  # longer runs of letters need sums in logarithms
+
+
+def _add_scaled(lattice: Lattice, prob: np.ndarray, word: str, weight: np.ndarray, total: np.ndarray) -> None:
+    """Adds the expected uses in one word of any length; sums are kept in logarithms by language."""
+    ids = lattice.spans([word])[0]
+    table, n = np.vstack([prob, np.zeros(prob.shape[1])]), len(ids)
+    forward, backward = np.zeros((n + 1, prob.shape[1])), np.zeros((n + 1, prob.shape[1]))
+    for j in range(1, n + 1):  # the shortest piece leads to each place, so that no sum is zero
+        k = np.arange(min(j, lattice.longest))
+        forward[j] = forward[j - 1] + np.log((np.exp(forward[j - k - 1] - forward[j - 1]) * table[ids[j - k - 1, k]]).sum(axis=0))
+    for i in range(n - 1, -1, -1):
+        k = np.arange(min(n - i, lattice.longest))
+        backward[i] = backward[i + 1] + np.log((np.exp(backward[i + k + 1] - backward[i + 1]) * table[ids[i, k]]).sum(axis=0))
+    for k in range(min(n, lattice.longest)):
+        has = np.flatnonzero(ids[: n - k, k] <= lattice.n)
+        np.add.at(total, ids[has, k], np.exp(forward[has] + backward[has + k + 1] - forward[n]) * table[ids[has, k]] * weight)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -175,7 +199,7 @@ def fit(
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    sizes = {str(r["l"]): r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
     if len(sizes) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     languages, pieces = sorted(sizes), read_pieces(vocabulary, longest_piece)
@@ -183,8 +207,9 @@ def fit(
     if not languages:
         return LanguageModel([], pieces, prob)
     million = 1_000_000
-    share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(million, -(-rows_per_language * million // sizes[name])))])
-    sample = rows.where(F.pmod(F.xxhash64("k"), F.lit(million)) < share[F.col("l")])
+    shares = [(name, min(million, -(-rows_per_language * million // sizes[name]))) for name in languages]
+    share = F.broadcast(spark.createDataFrame(shares, "l string, share int"))  # a row for each language
+    sample = rows.withColumn("l", F.col("l").cast("string")).join(share, "l").where(F.pmod(F.xxhash64("k"), F.lit(million)) < F.col("share"))
     runs = F.pandas_udf(lambda s: s.map(letter_runs), "array<string>")
     words = cut(sample.select("l", F.explode(runs("t")).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n")))
     index, lattice_of = {name: i for i, name in enumerate(languages)}, Lattice
@@ -199,9 +224,7 @@ def fit(
                 weight = np.zeros((len(names), prob.shape[1]))
                 np.add.at(weight, (inverse, pdf["l"].map(index).to_numpy()), pdf["n"].to_numpy())
                 for i in range(0, len(names), 20_000):
-                    # long runs are rare: parts of 32 letters keep the sums within range
-                    parts = [(w[a : a + 32], j) for j, w in enumerate(names[i : i + 20_000]) for a in range(0, len(w), 32)]
-                    total += expected_counts(lattice, prob, [p for p, _ in parts], weight[i:][[j for _, j in parts]])
+                    total += expected_counts(lattice, prob, list(names[i : i + 20_000]), weight[i : i + 20_000])
             piece, lang_at = np.nonzero(total)
             yield pd.DataFrame({"p": piece, "k": lang_at, "c": total[piece, lang_at]})
 

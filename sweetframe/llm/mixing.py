@@ -10,7 +10,8 @@ of running sums over one row per source finds the level without iteration.
 
 Defined cases: null and empty texts have size 0 and are emitted as often as others of their source; a null source is a
 source, last in order; a source of size 0 has target 0 and rate 0; repeated rows of one key are drawn alike; a null key
-is drawn like an empty one; an empty table gives no rows.
+is drawn like an empty one; an empty table gives no rows; very long texts are counted whole; a tie of caps is broken by the
+source's name. There must be few sources: windows over one row per source run in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sweetframe.llm._common import NOT_SPACE, cut
+from sweetframe.llm._common import NOT_SPACE, cut, spare
 
 
 def word_count(text: Column) -> Column:
@@ -72,9 +73,12 @@ def _copies(sized: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 20240229, **shares) -> DataFrame:
-    """docs, each row as often as the mix takes it; the columns of docs and __copy, from 0."""
+    """docs, each row as often as the mix takes it; the columns of docs and the number of the copy, from 0.
+
+    The number's column is ``__copy``, with as many ``_`` appended as it takes to differ from docs' own columns.
+    """
     sized = cut(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
     goals = targets(sized, **shares)
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("source"), F.col(key).alias("key"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"), F.col(key).alias("key"))
     taken = _copies(keyed, goals, seed).where("copies > 0")
-    return taken.select("row.*", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("__copy"))
+    return taken.select("row.*", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias(spare(docs.columns, "__copy")))

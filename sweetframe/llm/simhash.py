@@ -19,7 +19,9 @@ all its pairs. An entry's memory is a few words for each distinct fingerprint in
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like any other; a text with fewer words
 than a shingle has one shingle, the whole sequence; repeated rows stay, each with the same group; a null id never becomes
-a group's id unless all ids of the group are null.
+a group's id unless all ids of the group are null; very long texts are hashed whole; ties don't arise, as a group's id is
+the least one; an empty table gives no rows; other columns come out as they are, whatever their names, but for a column
+``component_id`` of group's rows, which is kept with ``_`` appended.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sweetframe.llm._common import bounded_batches, cut
+from sweetframe.llm._common import bounded_batches, cut, freed
 from sweetframe.llm.components import components
 
 _UPPER_TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -215,7 +217,9 @@ def group(rows: DataFrame, layout: Layout = NARROW, key: str = "doc_id") -> Data
     named = least.join(linked, least["node"] == linked["linked"], "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = named.join(ids, "component").select(F.col("node").alias("label_node"), "component_id")
-    return rows.withColumn("__node", node).join(labels, F.col("__node") == F.col("label_node")).drop("label_node", "__node")
+    rows = freed(rows, ["component_id"])
+    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), node.alias("own_node"))
+    return whole.join(labels, F.col("own_node") == F.col("label_node")).select("row.*", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
@@ -307,8 +311,9 @@ def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", siz
     first = rows.groupBy("component_id").agg(F.min(F.struct("key", "hash")).alias("first")).select("first.*")
     times = rows.groupBy("key", "hash").agg(F.count("*").alias("times"))
     stay = cut(first.join(times, first["key"].eqNullSafe(times["key"]) & first["hash"].eqNullSafe(times["hash"])).select(first["key"].alias("__key"), first["hash"].alias("__hash"), "times"))
-    kept = docs.join(stay.hint("shuffle_hash"), docs[key].eqNullSafe(stay["__key"]) & F.xxhash64(docs[text]).eqNullSafe(stay["__hash"]))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("own_key"), F.xxhash64(text).alias("own_hash"))
+    kept = whole.join(stay.hint("shuffle_hash"), whole["own_key"].eqNullSafe(stay["__key"]) & whole["own_hash"].eqNullSafe(stay["__hash"]))
     if stay.where("times > 1").limit(1).count():  # rows repeated in full: one of them stays
         nth = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__key"))
         kept = kept.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return kept.drop("__key", "__hash", "times")
+    return kept.select("row.*")

@@ -99,7 +99,7 @@ def log_marginals(lattice: Lattice, prob: np.ndarray, words: list[str]) -> np.nd
     table = np.vstack([prob, np.zeros(prob.shape[1])])  # the last row: no piece
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
-    scale = np.zeros(len(words))
+    scale = np.zeros(out.shape)
     ring = [np.ones((len(words), prob.shape[1]))]  # forward sums at the last few positions, the newest first
     for j in range(1, int(lengths[0]) + 1):
         active = int(np.searchsorted(-lengths, -j, side="right"))
@@ -108,12 +108,11 @@ def log_marginals(lattice: Lattice, prob: np.ndarray, words: list[str]) -> np.nd
             now += before[:active] * table[ids[starts[:active] + (j - k - 1), k]]
         ring = [now, *ring[: lattice.longest - 1]]
         if j % 16 == 0:  # keeps the sums within range; exact up to rounding
-            top = now.max(axis=1)
-            scale[:active] += np.log(top)
-            ring = [x[:active] / top[:, None] for x in ring]
+            scale[:active] += np.log(now)
+            ring = [x[:active] / now for x in ring]
         done = int(np.searchsorted(-lengths, -j, side="left"))
         if done < active:
-            out[order[done:active]] = np.log(ring[0][done:active]) + scale[done:active, None]
+            out[order[done:active]] = np.log(ring[0][done:active]) + scale[done:active]
     return out
 
 

@@ -63,7 +63,7 @@ def test_expected_counts_equal_the_sum_over_segmentations(prob):
 def test_letter_runs():
     assert li.letter_runs("It's É1ö_x ²a²b") == ["it", "s", "é", "ö", "x", "a", "b"]
     assert li.letter_runs(None) == li.letter_runs("12 %&") == []
-    assert list(map(len, li.letter_runs("z" * 1100))) == [512, 512, 76]
+    assert list(map(len, li.letter_runs("z" * 1100))) == [1100]
 
 
 def test_query_on_held_out_rows(spark):
@@ -83,3 +83,25 @@ def test_defined_cases(spark):
     assert got[:5] == [(1, "en"), (2, "fr"), (3, "und"), (4, "und"), (5, "und")] and got[5] == got[6] and {r["score"] for r in found} == {"clash"}
     none = li.fit(docs.limit(0), VOCABULARY)
     assert [r["x"]["lang"] for r in docs.select(li.identify(spark, none, F.col("text")).alias("x")).collect()] == ["und"] * 8
+
+
+def test_runs_of_letters_of_any_length_are_whole():
+    assert list(map(len, li.letter_runs("a" * 5000 + " b²c " + "é" * 40))) == [5000, 1, 1, 40]
+    pieces, rng = sorted({"a", "b", "ab", "ba", "aab", "▁a"}), np.random.default_rng(1)
+    lattice, prob = li.Lattice(pieces), rng.dirichlet(np.ones(len(pieces) + 1), 2).T
+    words = ["ab" * n + "xa" for n in (3, 10, 15, 16, 40, 300)]
+    weight = rng.integers(1, 5, (len(words), 2)).astype(float)
+    for i, w in enumerate(words):  # both ways of counting agree where both can be used
+        total = np.zeros(prob.shape)
+        li._add_scaled(lattice, prob, w, weight[i], total)
+        if len(w) <= 32:
+            assert np.allclose(total, li.expected_counts(lattice, prob, [w], weight[i : i + 1]), rtol=1e-9)
+        assert np.isfinite(total).all()
+        # pieces of each segmentation cover the word and its mark once
+        sizes = np.array([*map(len, pieces), 1])
+        assert np.allclose((total * sizes[:, None]).sum(axis=0), weight[i] * (len(w) + 1))
+    parts = [np.zeros(prob.shape) for _ in words]
+    for i, w in enumerate(words):
+        li._add_scaled(lattice, prob, w, weight[i], parts[i])
+    assert np.allclose(li.expected_counts(lattice, prob, words, weight), sum(parts), rtol=1e-9)
+    assert np.isfinite(li.log_marginals(lattice, prob, ["ab" * 20_000])).all()

@@ -86,3 +86,48 @@ def test_long_strong_spans_support_what_follows_them(strong):
     added = lambda text: [secrets.KINDS[k] for _, k, _ in secrets.find_secrets(text)[1]]
     assert added(strong + " and then user: alice at https://db.example.org/x") == ["id", "endpoint"]
     assert added(strong + " x" * 101 + " user: alice") == [] == added(strong + "\n\nuser: alice")
+
+
+def test_weak_parts_inside_overlapping_strong_spans_are_not_reported():
+    text = "user=alice password=AKIA" + "Q7" * 20 + ".aB3xY9kLmNoPqRsT end"
+    strong, linked = secrets.find_secrets(text)
+    assert all(not (s < e2 and s2 < e) for s, _, e in linked for s2, _, e2 in strong)
+    assert [secrets.KINDS[k] for _, k, _ in linked] == ["id"]
+
+
+def test_planted_multipart_credentials_are_found_in_a_table(spark):
+    import random
+
+    rng = random.Random(4)
+    d = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    kinds = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "aB3c5" + "".join(rng.choice(kinds) for _ in range(rng.randint(20, 150)))
+    rows, planted, lone = [], {}, set()
+    for i, text in docs:
+        at = text.find(" ", len(text) // 2)
+        if i % 10 == 0 and at > 0:
+            parts = [f"client_id={rng.randint(10**9, 10**10)}", f"credential = {key()}", f"https://api{i}.example.com/v1"]
+            rng.shuffle(parts)
+            told = "; ".join(parts)
+            planted[i] = (at + 1, at + 1 + len(told))
+            text = text[:at] + " " + told + text[at:]
+        elif i % 10 == 1 and at > 0:  # a single part links to nothing
+            text = text[:at] + f" see https://www{i}.example.com/page" + text[at:]
+            lone.add(i)
+        rows.append((i, text))
+    found = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["s"] for r in found.select("doc_id", secrets.scan(spark, found["text"]).alias("s")).collect()}
+    linked = lambda i: {(x["kind"], x["start"], x["end"]) for x in found[i]["linked"]}
+    inside = {i: {k for k, s, e in linked(i) if a <= s and e <= b} for i, (a, b) in planted.items()}
+    whole = [i for i, kinds_ in inside.items() if {"id", "key", "endpoint"} <= kinds_]
+    assert len(whole) >= 0.99 * len(planted) > 50
+    texts = dict(rows)
+    without_strong = [i for i in lone if not found[i]["strong"]]
+    assert without_strong and not any(x["kind"] == "endpoint" and f"www{i}." in texts[i][x["start"] : x["end"]] for i in without_strong for x in found[i]["linked"])
+    assert not any(found[i]["linked"] for i, _ in docs if i not in planted and i not in lone and not found[i]["strong"])
+
+
+def test_the_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert docs.select(secrets.scan(spark, docs["text"])).count() == 0

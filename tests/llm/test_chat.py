@@ -48,3 +48,21 @@ def test_swapped_replies(spark):
         0: plain([("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "b")]),
         1: plain([("user", "r"), ("assistant", "b")], [("user", "r"), ("assistant", "a")]),
     }
+
+
+def test_turns_without_a_number_stand_first(spark):
+    rows = [(2, None, "system", "s"), (2, 0, "user", "q"), (2, 1, "assistant", "x"), (2, 2, "user", "late"), (3, None, "assistant", "only")]
+    got = {r["pair_id"]: r for r in chat.preference_pairs(chat.swapped_replies(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).collect()}
+    assert got[2]["prompt"].startswith("<|im_start|>system\ns<|im_end|>") and got[2]["n_prompt_turns"] == 2 and "late" not in got[2]["chosen"]
+    assert "only" in got[2]["rejected"] and "only" in got[3]["chosen"] and "x" in got[3]["rejected"]
+
+
+def test_completions_of_several_turns(spark):
+    turns = [("user", "q"), ("assistant", "a"), ("user", "more"), ("assistant", "b"), ("user", "why"), ("assistant", "c")]
+    other = [("user", "q"), ("assistant", "no"), ("user", "more"), ("assistant", "b")]
+    rows = [(1, side, i, *t) for side, ts in (("chosen", turns), ("rejected", other)) for i, t in enumerate(ts)]
+    (r,) = chat.preference_pairs(spark.createDataFrame(rows, "pair_id int, side string, turn int, role string, text string")).collect()
+    assert r["n_prompt_turns"] == 1
+    for side, ts in (("chosen", turns), ("rejected", other)):
+        spans = [tuple(map(int, x.split(":"))) for x in r[f"{side}_mask"].split(",")]
+        assert [r[side][a:b] for a, b in spans] == [t + "<|im_end|>\n" for role, t in ts[1:] if role == "assistant"]

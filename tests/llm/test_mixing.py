@@ -46,3 +46,11 @@ def test_copies_and_rows(spark):
     want = {r["source"]: r["target"] for r in rated}
     assert all(abs(r["n"] - want[r["source"]]) <= 0.15 * want[r["source"]] for r in by)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_stay_and_long_texts_are_counted_whole(spark):
+    docs = spark.createDataFrame([(1, "a " * 300_000, "s", 5), (2, "b", "s", 6)], "doc_id long, text string, source string, __COPY int")
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "__copy_"]
+    assert {r["__COPY"] for r in out.collect()} <= {5, 6}
+    assert {r["size"] for r in mixing.rates(docs).collect()} == {300_000, 1}

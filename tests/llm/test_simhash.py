@@ -153,3 +153,11 @@ def test_one_of_each_decides_by_exact_similarity(spark):
     assert not missed and all(2 * i in kept for i in range(400))
     assert all(2 * i + 1 in kept for i in range(400) if not want[i])
     assert {k for k in kept if k >= 900} == {900, 1000} | {2000 + 3 * i + k for i in range(100) for k in (0, 1)}
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 1, 2, 3, 4), (2, "a b c d e f g", 1, 2, 3, 4), (3, "x y", 5, 6, 7, 8)], "doc_id long, text string, times int, __key int, __hash int, row int")
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.where("doc_id <> 2").collect()))
+    prints = spark.createDataFrame([(1, 0, 9, 8), (2, 1, 9, 8)], "doc_id long, fp long, component_id int, __node int")
+    assert sorted(map(tuple, simhash.group(prints).collect())) == [(1, 0, 9, 8, 1), (2, 1, 9, 8, 1)]

@@ -10,7 +10,7 @@ plain form: lower case, runs of letters and digits, one blank between them.
 
 Texts are scanned once. The workers have a table of bits for the benchmark's q-grams (of bounded size; a full one costs
 time, not results) and keep the pieces of a text where enough of them crowd. Pieces are joined with the items by q-gram in
-Spark, and each pair of a piece and an item that share enough is verified on its own.
+Spark and counted by diagonal band; each pair of a piece and an item with a full band is verified on its own, by probe.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than ``least`` plain characters match exact
 copies of all their words; other items shorter than a probe are one probe; items may have ids of any type that a string can
@@ -255,30 +255,29 @@ class Sieve:
         near = _crowded(place, np.zeros(len(place), np.int64), self.need, self.reach)
         place, h = place[near], h[near]
         margin = self.s.probe + 6 * _STEP + 2 * int(self.s.probe * self.s.rate)
-        spans = []  # text, first and last place, q-grams
+        spans = []  # text, first and last place, q-grams and their places
         if len(place):
             of = np.searchsorted(starts, place, side="right") - 1
             edges = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (place[1:] - place[:-1] > margin), [True])))
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 n = int(of[i])
                 base = int(starts[n]) + 1
-                spans.append((n, int(place[i]) - base - margin, int(place[j - 1]) - base + self.s.q + margin, h[i:j]))
+                spans.append((n, int(place[i]) - base - margin, int(place[j - 1]) - base + self.s.q + margin, h[i:j], place[i:j] - base))
         for k in self.lengths:
             w = gram_hashes(joined, k)
             at = self._has(w)
             at = at[(joined[at] == 32) & (joined[at + k - 1] == 32)]
             for i in at.tolist():
                 n = int(np.searchsorted(starts, i, side="right")) - 1
-                spans.append((n, i - int(starts[n]), i - int(starts[n]) + k - 2, w[i : i + 1]))
+                spans.append((n, i - int(starts[n]), i - int(starts[n]) + k - 2, w[i : i + 1], np.zeros(1, np.int64)))
         words: dict[int, tuple[list[str], list[int], np.ndarray]] = {}
-        for n, a, b, grams in spans:
+        for n, a, b, grams, places_ in spans:
             if n not in words:
                 matches = list(_WORD.finditer(lowered(texts[n])))
                 words[n] = [m[0] for m in matches], [m.start() for m in matches], np.cumsum([0] + [m.end() - m.start() + 1 for m in matches])
             own, sources, at = words[n]
             i, j = max(0, int(np.searchsorted(at, a, side="right")) - 1), int(np.searchsorted(at, b, side="left"))
-            kinds, times = np.unique(grams.view(np.int64), return_counts=True)
-            found[n].append({"piece": " ".join(own[i:j]), "starts": sources[i:j], "grams": [{"h": g, "times": t} for g, t in zip(kinds.tolist(), times.tolist(), strict=True)]})
+            found[n].append({"piece": " ".join(own[i:j]), "starts": sources[i:j], "grams": [{"h": g, "place": x} for g, x in zip(grams.view(np.int64).tolist(), places_.tolist(), strict=True)]})
 
 
 def slots(h: np.ndarray, size: int) -> np.ndarray:
@@ -286,9 +285,9 @@ def slots(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def item_grams(text: str, s: Settings) -> np.ndarray:
-    """Of a short item its hash between blanks, of others all q-grams."""
+    """Of a short item its hash between blanks, of others all q-grams in order."""
     closed = len(text) < s.least
-    return np.unique(gram_hashes(codes(f" {text} " if closed else text), len(text) + 2 if closed else s.q))
+    return gram_hashes(codes(f" {text} " if closed else text), len(text) + 2 if closed else s.q)
 
 
 _SEGMENT = 17  # bits of a place within a segment of the table
@@ -330,7 +329,7 @@ def _packed(at: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-PIECES = "array<struct<piece: string, starts: array<int>, grams: array<struct<h: bigint, times: int>>>>"
+PIECES = "array<struct<piece: string, starts: array<int>, grams: array<struct<h: bigint, place: int>>>>"
 
 
 def _pieces(docs: DataFrame, text: str, items: DataFrame, s: Settings, *keys: Column) -> DataFrame:
@@ -360,11 +359,14 @@ def _verified(pieces: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
             for i in range(0, len(pdf), 1_000):
                 part = pdf[i : i + 1_000]
                 own = [item_grams(t, s).view(np.int64) for t in part["plain"]]
-                yield pd.DataFrame({"no": np.repeat(part["no"].to_numpy(), [len(g) for g in own]), "h": np.concatenate(own)})
-
-    table = items.select("no", "plain").mapInPandas(grams, "no bigint, h bigint")
-    hits = pieces.select("row", "at", F.explode("grams").alias("g")).select("row", "at", "g.h", "g.times").join(table, "h")
-    pairs = hits.groupBy("row", "at", "no").agg(F.sum("times").alias("shared")).join(items, "no")
+                yield pd.DataFrame({"no": np.repeat(part["no"].to_numpy(), [len(g) for g in own]), "h": np.concatenate(own), "own": np.concatenate([np.arange(len(g)) for g in own])})
+
+    table = items.select("no", "plain").mapInPandas(grams, "no bigint, h bigint, own int")
+    hits = pieces.select("row", "at", F.explode("grams").alias("g")).select("row", "at", "g.h", "g.place").join(table, "h")
+    # band b covers the diagonals 8 b .. 8 b + 15, so that any 9 in a row, more than a probe's edits move it, lie in one
+    band = F.floor((F.col("place") - F.col("own")) / _STEP)
+    counted = hits.select("row", "at", "no", F.explode(F.array(band, band - 1)).alias("band")).groupBy("row", "at", "no", "band").agg(F.count("*").alias("shared"))
+    pairs = counted.groupBy("row", "at", "no").agg(F.max("shared").alias("shared")).join(items, "no")
     pairs = pairs.where((F.col("shared") >= need) | (F.length("plain") < s.least))
     told = pairs.select("row", "at", "no", "item", "plain").join(pieces.select("row", "at", "piece", "starts"), ["row", "at"])
 

@@ -152,15 +152,16 @@ class Probes:
         place, probe = np.repeat(places, times), self.probe[entry].astype(np.int64)
         band = (place - self.at[entry]) // _STEP
         # band b covers the diagonals 8 b .. 8 b + 15, so that each diagonal lies in two and any 9 in a row in one
-        rows = np.concatenate([np.stack([probe, band - k, place], axis=1) for k in (0, 1)])
-        rows = np.unique(rows, axis=0)
-        out: set[tuple[int, int]] = set()
-        key = (rows[:, 0] << 40) + rows[:, 1] + (1 << 20)
+        least, wide = int(band.min()) - 1, int(band.max() - band.min()) + 2
+        row = (probe * wide + band - least) * (len(text) + 1) + place
+        row = np.unique(np.concatenate([row, row - (len(text) + 1)]))
+        key, place = row // (len(text) + 1), row % (len(text) + 1)
+        probe, out = key // wide, set()
         for need in np.unique(self.need):
             for reach in np.unique(self.reach[self.need == need]):
-                own = (self.need[rows[:, 0]] == need) & (self.reach[rows[:, 0]] == reach)
-                full = _crowded(rows[own, 2], key[own], int(need), int(reach))
-                out |= {(int(p), int(b) * _STEP) for p, b in np.unique(rows[own][full][:, :2], axis=0)}
+                own = (self.need[probe] == need) & (self.reach[probe] == reach)
+                full = np.unique(key[own][_crowded(place[own], key[own], int(need), int(reach))])
+                out |= set(zip((full // wide).tolist(), ((full % wide + least) * _STEP).tolist(), strict=True))
         return sorted(out)
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -371,22 +372,24 @@ def _verified(pieces: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
     told = pairs.select("row", "at", "no", "item", "plain").join(pieces.select("row", "at", "piece", "starts"), ["row", "at"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, Probes] = {}
         for pdf in batches:
-            out = []
-            for no, part in pdf.groupby("no", sort=False):
-                text = part["plain"].iloc[0]
-                rows = list(zip(part["row"], part["item"], part["piece"], part["starts"], strict=True))
-                if len(text) < s.least:
-                    out += [(row, item, f"at {starts[0]}", 0, *source_span(starts, piece, 0, len(piece))) for row, item, piece, starts in rows if piece == text]
-                    continue
-                if no not in known:
-                    known = known if len(known) < 1_000 else {}
-                    known[no] = Probes([(no, text)], s)
-                for i in range(0, len(rows), 500):
-                    for n, _, edits, a, b, probe in known[no].matches([r[2] for r in rows[i : i + 500]]):
-                        row, item, piece, starts = rows[i + n]
-                        out.append((row, item, f"{no} {probe}", edits, *source_span(starts, piece, a, b)))
+            out, long = [], pdf["plain"].str.len() >= s.least
+            for row, item, piece, starts, text in pdf.loc[~long, ["row", "item", "piece", "starts", "plain"]].itertuples(index=False):
+                if piece == text:
+                    out.append((row, item, f"at {starts[0]}", 0, *source_span(starts, piece, 0, len(piece))))
+            # all pieces and items of the batch at once; what isn't among the pairs belongs to other rows
+            pairs = pdf[long]
+            wanted = dict(zip(zip(pairs["row"], pairs["at"], pairs["no"], strict=True), pairs["item"], strict=True))
+            items = pairs.drop_duplicates("no")
+            probes = Probes(list(zip(items["no"], items["plain"], strict=True)), s)
+            first = dict(zip(reversed(probes.item), range(len(probes.item) - 1, -1, -1), strict=True))
+            pieces = pairs.drop_duplicates(["row", "at"])
+            pieces = list(zip(pieces["row"], pieces["at"], pieces["piece"], pieces["starts"], strict=True))
+            for i in range(0, len(pieces), 1_000):
+                for n, no, edits, a, b, probe in probes.matches([p[2] for p in pieces[i : i + 1_000]]):
+                    row, at, piece, starts = pieces[i + n]
+                    if (row, at, no) in wanted:
+                        out.append((row, wanted[row, at, no], f"{no} {probe - first[no]}", edits, *source_span(starts, piece, a, b)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     return told.mapInPandas(verify, FOUND)

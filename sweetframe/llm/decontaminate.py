@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -271,14 +272,34 @@ class Sieve:
             for i in at.tolist():
                 n = int(np.searchsorted(starts, i, side="right")) - 1
                 spans.append((n, i - int(starts[n]), i - int(starts[n]) + k - 2, w[i : i + 1], np.zeros(1, np.int64)))
-        words: dict[int, tuple[list[str], list[int], np.ndarray]] = {}
-        for n, a, b, grams, places_ in spans:
-            if n not in words:
-                matches = list(_WORD.finditer(lowered(texts[n])))
-                words[n] = [m[0] for m in matches], [m.start() for m in matches], np.cumsum([0] + [m.end() - m.start() + 1 for m in matches])
-            own, sources, at = words[n]
-            i, j = max(0, int(np.searchsorted(at, a, side="right")) - 1), int(np.searchsorted(at, b, side="left"))
-            found[n].append({"piece": " ".join(own[i:j]), "starts": sources[i:j], "grams": [{"h": g, "place": x} for g, x in zip(grams.view(np.int64).tolist(), places_.tolist(), strict=True)]})
+        sources: dict[int, np.ndarray] = {}
+        for n, a, b, grams, at in spans:
+            if n not in sources:
+                sources[n] = word_starts(texts[n])
+            own = plains[n]
+            i = own.rfind(" ", 0, max(0, a) + 1) + 1  # whole words
+            j = own.find(" ", b)
+            piece = own[i : j if j >= 0 else len(own)]
+            first = own.count(" ", 0, i)
+            found[n].append({"piece": piece, "starts": sources[n][first : first + piece.count(" ") + 1], "grams": grams.view(np.int64), "places": at})
+
+
+def _wordlike(code: int) -> bool:
+    return _WORD.match(chr(code)) is not None
+
+
+@cache
+def _low_codes() -> np.ndarray:
+    return np.array([_wordlike(c) for c in range(1 << 16)])
+
+
+def word_starts(text: str) -> np.ndarray:
+    """Where the words of plain(text) begin in text."""
+    c = codes(lowered(text))
+    inside = _low_codes()[np.minimum(c, (1 << 16) - 1)]
+    high = np.flatnonzero(c >> 16)
+    inside[high] = [_wordlike(x) for x in c[high].tolist()]
+    return np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
 
 
 def slots(h: np.ndarray, size: int) -> np.ndarray:
@@ -330,11 +351,11 @@ def _packed(at: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-PIECES = "array<struct<piece: string, starts: array<int>, grams: array<struct<h: bigint, place: int>>>>"
+PIECES = "array<struct<piece: string, starts: array<int>, grams: array<bigint>, places: array<int>>>"
 
 
 def _pieces(docs: DataFrame, text: str, items: DataFrame, s: Settings, *keys: Column) -> DataFrame:
-    """(row, keys, at, piece, starts, grams) of the pieces of texts that the benchmark may be in; row numbers the rows of docs."""
+    """(row, keys, at, piece, starts, grams, places) of the pieces of texts that the benchmark may be in; row numbers the rows of docs."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_sieve(items, s))
 
@@ -363,7 +384,7 @@ def _verified(pieces: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
                 yield pd.DataFrame({"no": np.repeat(part["no"].to_numpy(), [len(g) for g in own]), "h": np.concatenate(own), "own": np.concatenate([np.arange(len(g)) for g in own])})
 
     table = items.select("no", "plain").mapInPandas(grams, "no bigint, h bigint, own int")
-    hits = pieces.select("row", "at", F.explode("grams").alias("g")).select("row", "at", "g.h", "g.place").join(table, "h")
+    hits = pieces.select("row", "at", F.explode(F.arrays_zip("grams", "places")).alias("g")).select("row", "at", F.col("g.grams").alias("h"), F.col("g.places").alias("place")).join(table, "h")
     # band b covers the diagonals 8 b .. 8 b + 15, so that any 9 in a row, more than a probe's edits move it, lie in one
     band = F.floor((F.col("place") - F.col("own")) / _STEP)
     counted = hits.select("row", "at", "no", F.explode(F.array(band, band - 1)).alias("band")).groupBy("row", "at", "no", "band").agg(F.count("*").alias("shared"))

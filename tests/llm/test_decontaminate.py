@@ -52,6 +52,8 @@ def test_source_spans_and_plain_form():
     text = "  Ab-C_d  İx É!!9"
     assert d.plain(text) == " ".join(d._WORD.findall(d.lowered(text))) and len(d.lowered(text)) == len(text)
     p = d.plain(text)
+    for t in (text, "", "a", "\U0001d49c b\U0001f600c \ud800x", "İİ é1_2²"):
+        assert d.word_starts(t).tolist() == [m.start() for m in d._WORD.finditer(d.lowered(t))]
     for a in range(len(p)):
         for b in range(a + 1, len(p) + 1):
             if p[a] != " " and p[b - 1] != " ":

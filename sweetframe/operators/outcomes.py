@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweetframe.functions.scalars import bg_band, confidence, insulin_left, local, micros, mmol, target_band, time_band
-from sweetframe.operators.timejoin import HOUR, MINUTE, asof_join, interval_anti, interval_flag, interval_join, nearest
+from sweetframe.operators.timejoin import HOUR, MINUTE, asof_join, interval_agg, interval_anti, interval_flag, interval_join, nearest
 
 DIA_GRID = tuple(3.0 + 0.5 * i for i in range(11))
 PEAK_GRID = tuple(float(40 + 5 * i) for i in range(9))
@@ -48,9 +48,7 @@ def asof_pre_bg(boluses: DataFrame, readings: DataFrame, tolerance_min: float |
 def post_bolus_min(boluses: DataFrame, readings: DataFrame, dia_hours: float = 5.0, closed: bool = False) -> DataFrame:
     """boluses with min_bg, the least reading after (or from) the bolus up to the action time, at most 5 hours."""
     hi = _at() + int(min(dia_hours, 5.0) * HOUR)
-    pairs = interval_join(boluses, readings, lo=_at(), hi=hi, columns=["sgv"], lo_open=not closed)
-    least = pairs.groupBy(F.col("id").alias("__id")).agg(F.min("r_sgv").alias("min_bg"))
-    return boluses.join(least, F.col("id") == F.col("__id"), "left").drop("__id")
+    return interval_agg(boluses, readings, lo=_at(), hi=hi, columns=["sgv"], aggregates={"min_bg": F.min("r_sgv")}, lo_open=not closed)
 
 
 def sensitivity(devicestatus: DataFrame, units_mmol: bool = True) -> DataFrame:
@@ -241,7 +239,7 @@ def meal_analysis(treatments: DataFrame, readings: DataFrame, hours: int = 4, lo
 
 def nearest_reading(times: DataFrame, readings: DataFrame, minutes: int = 15) -> DataFrame:
     """times (patient_id, id, ts) with the reading nearest to each; the signed difference in whole minutes."""
-    got = nearest(times, readings, key="id", at=_at(), within=minutes * MINUTE, columns=["sgv"], hi_open=True)
+    got = nearest(times, readings, at=_at(), within=minutes * MINUTE, columns=["sgv"], hi_open=True)
     return got.select(*times.columns, F.col("r_sgv").alias("sgv"), F.floor((micros(F.col("r_ts")) - _at()) / MINUTE).cast("long").alias("minutes_off"))
 
 
@@ -251,7 +249,7 @@ def iob_observations(treatments: DataFrame, readings: DataFrame) -> DataFrame:
     carbs = treatments.where("carbs > 0").select("patient_id", "ts")
     alone = asof_pre_bg(interval_anti(plain, carbs, lo=_at() - HOUR, hi=_at() + HOUR), readings, tolerance_min=15).where("pre_bg is not null")
     probes = alone.select("patient_id", "id", "ts", "pre_bg", F.explode(F.array(*map(F.lit, OFFSETS_MIN))).alias("minutes")).withColumn("probe", F.concat_ws(":", "id", "minutes"))
-    got = nearest(probes, readings, key="probe", at=_at() + F.col("minutes").cast("long") * MINUTE, within=int(7.5 * MINUTE), columns=["sgv"]).where("r_sgv is not null")
+    got = nearest(probes, readings, at=_at() + F.col("minutes").cast("long") * MINUTE, within=int(7.5 * MINUTE), columns=["sgv"]).where("r_sgv is not null")
     w = Window.partitionBy("id")
     end = F.max(F.when(F.col("minutes") == 300, F.col("r_sgv"))).over(w)
     start = F.max(F.when(F.col("minutes") == 30, 1)).over(w)

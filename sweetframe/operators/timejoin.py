@@ -28,37 +28,52 @@ def asof_join(left: DataFrame, right: DataFrame, *, name: str, columns: list[str
     return both.select("__row.*", match.alias(name))
 
 
+def _pairs(left: DataFrame, right: DataFrame, lo: Column, hi: Column, columns: list[str], by: str, ts: str, lo_open: bool, hi_open: bool, bucket: int, how: str) -> DataFrame:
+    """left with its rows' pairs in right, as interval_join gives them; how is inner or left."""
+    touched = left.withColumn("__lo", lo.cast("long")).withColumn("__hi", hi.cast("long"))
+    touched = touched.withColumn("__bucket", F.explode_outer(F.sequence(F.floor(F.col("__lo") / bucket), F.floor(F.col("__hi") / bucket))))
+    other = right.select(F.col(by).alias("__by"), micros(F.col(ts)).alias("__at"), *[F.col(c).alias(f"r_{c}") for c in columns])
+    other = other.withColumn("__rb", F.floor(F.col("__at") / bucket))
+    at = F.col("__at")
+    inside = (at > F.col("__lo") if lo_open else at >= F.col("__lo")) & (at < F.col("__hi") if hi_open else at <= F.col("__hi"))
+    return touched.join(other, (F.col(by) == F.col("__by")) & (F.col("__bucket") == F.col("__rb")) & inside, how)
+
+
 def interval_join(left: DataFrame, right: DataFrame, *, lo: Column, hi: Column, columns: list[str], by: str = "patient_id", ts: str = "ts", lo_open: bool = False, hi_open: bool = False, bucket: int = 6 * HOUR) -> DataFrame:
     """Pairs of left rows and right rows whose time lies between lo and hi (microseconds, over left's columns).
 
     Left rows are entered in each time bucket that their interval touches, so that the join is an equality on patient and
     bucket; right's columns come with the prefix ``r_``.
     """
-    touched = left.withColumn("__lo", lo.cast("long")).withColumn("__hi", hi.cast("long"))
-    touched = touched.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__lo") / bucket), F.floor(F.col("__hi") / bucket))))
-    other = right.select(F.col(by).alias("__by"), micros(F.col(ts)).alias("__at"), *[F.col(c).alias(f"r_{c}") for c in columns])
-    other = other.withColumn("__rb", F.floor(F.col("__at") / bucket))
-    at = F.col("__at")
-    inside = (at > F.col("__lo") if lo_open else at >= F.col("__lo")) & (at < F.col("__hi") if hi_open else at <= F.col("__hi"))
-    pairs = touched.join(other, (F.col(by) == F.col("__by")) & (F.col("__bucket") == F.col("__rb")) & inside)
+    pairs = _pairs(left, right, lo, hi, columns, by, ts, lo_open, hi_open, bucket, "inner")
     return pairs.drop("__lo", "__hi", "__bucket", "__by", "__at", "__rb")
 
 
-def interval_anti(left: DataFrame, right: DataFrame, *, key: str = "id", **bounds) -> DataFrame:
-    """Left rows (unique by key) without a right row in their interval."""
-    hit = interval_join(left, right, columns=[], **bounds).select(F.col(key).alias("__hit")).distinct()
-    return left.join(hit, F.col(key) == F.col("__hit"), "left_anti")
+def interval_agg(left: DataFrame, right: DataFrame, *, lo: Column, hi: Column, columns: list[str], aggregates: dict[str, Column], by: str = "patient_id", ts: str = "ts", lo_open: bool = False, hi_open: bool = False, bucket: int = 6 * HOUR) -> DataFrame:
+    """left with aggregates over the right rows in each row's interval (columns ``r_...``, and ``r_hit``, null where there is none).
+
+    left is read once: its rows, which must differ in some column, are carried through the join and are what is grouped by.
+    """
+    row = left.select(F.struct(*left.columns).alias("__row"), by, lo.cast("long").alias("__from"), hi.cast("long").alias("__to"))
+    pairs = _pairs(row, right.withColumn("hit", F.lit(1)), F.col("__from"), F.col("__to"), [*columns, "hit"], by, ts, lo_open, hi_open, bucket, "left")
+    found = pairs.groupBy("__row").agg(*[c.alias(f"__{name}") for name, c in aggregates.items()])
+    return found.select("__row.*", *[F.col(f"__{name}").alias(name) for name in aggregates])
+
+
+def interval_anti(left: DataFrame, right: DataFrame, **bounds) -> DataFrame:
+    """Left rows without a right row in their interval."""
+    return interval_flag(left, right, "__in", **bounds).where("not __in").drop("__in")
 
 
-def interval_flag(left: DataFrame, right: DataFrame, name: str, *, key: str = "id", **bounds) -> DataFrame:
+def interval_flag(left: DataFrame, right: DataFrame, name: str, **bounds) -> DataFrame:
     """left with a boolean column: is there a right row in its interval?"""
-    hit = interval_join(left, right, columns=[], **bounds).select(F.col(key).alias("__hit")).distinct()
-    return left.join(hit, F.col(key) == F.col("__hit"), "left").withColumn(name, F.col("__hit").isNotNull()).drop("__hit")
+    return interval_agg(left, right, columns=[], aggregates={name: F.count("r_hit") > 0}, **bounds)
 
 
-def nearest(left: DataFrame, right: DataFrame, *, key: str, at: Column, within: int, columns: list[str], hi_open: bool = False) -> DataFrame:
-    """left (unique by key) with r_ columns of the right row nearest to ``at`` (microseconds); the earlier one on ties."""
-    pairs = interval_join(left, right, lo=at - within, hi=at + within, columns=["ts", *columns], hi_open=hi_open)
-    rank = Window.partitionBy(key).orderBy(F.abs(micros(F.col("r_ts")) - at), "r_ts")
-    best = pairs.withColumn("__n", F.row_number().over(rank)).where("__n = 1").select(F.col(key).alias("__key"), *[f"r_{c}" for c in ["ts", *columns]])
-    return left.join(best, F.col(key) == F.col("__key"), "left").drop("__key")
+def nearest(left: DataFrame, right: DataFrame, *, at: Column, within: int, columns: list[str], hi_open: bool = False) -> DataFrame:
+    """left with r_ columns of the right row nearest to ``at`` (microseconds); the earlier one on ties, then the least."""
+    probes = left.withColumn("__at0", at.cast("long"))
+    got = [F.col(f"r_{c}") for c in ["ts", *columns]]
+    near = F.when(F.col("r_hit").isNotNull(), F.struct(F.abs(micros(F.col("r_ts")) - F.col("__row.__at0")).alias("far"), *got))
+    found = interval_agg(probes, right, lo=F.col("__at0") - within, hi=F.col("__at0") + within, columns=["ts", *columns], aggregates={"__near": F.min(near)}, hi_open=hi_open)
+    return found.select(*left.columns, *[F.col(f"__near.r_{c}") for c in ["ts", *columns]])

@@ -49,6 +49,26 @@ def test_interval_bounds_and_plan(sides):
 def test_nearest_takes_the_earlier_on_ties(spark):
     left = spark.createDataFrame([(1, "a", at(10))], "patient_id long, id string, ts timestamp")
     right = spark.createDataFrame([(1, at(12), 1), (1, at(8), 2), (1, at(30), 3)], "patient_id long, ts timestamp, sgv int")
-    got = tj.nearest(left, right, key="id", at=micros(F.col("ts")), within=5 * tj.MINUTE, columns=["sgv"]).first()
+    got = tj.nearest(left, right, at=micros(F.col("ts")), within=5 * tj.MINUTE, columns=["sgv"]).first()
     assert got["r_sgv"] == 2
-    assert tj.nearest(left, right.limit(0), key="id", at=micros(F.col("ts")), within=tj.MINUTE, columns=["sgv"]).first()["r_sgv"] is None
+    assert tj.nearest(left, right.limit(0), at=micros(F.col("ts")), within=tj.MINUTE, columns=["sgv"]).first()["r_sgv"] is None
+
+
+def test_ids_of_two_patients_and_null_times_are_kept_apart(spark):
+    left = spark.createDataFrame([("p", "a", 100), ("q", "a", 100), ("q", "z", None)], "patient_id string, id string, s long").select("patient_id", "id", F.timestamp_seconds("s").alias("ts"))
+    right = spark.createDataFrame([("p", 130, 7.0), ("p", 160, 5.0)], "patient_id string, s long, sgv double").select("patient_id", F.timestamp_seconds("s").alias("ts"), "sgv")
+    lo, hi = micros(F.col("ts")), micros(F.col("ts")) + tj.MINUTE
+    flags = {(r["patient_id"], r["id"]): r["f"] for r in tj.interval_flag(left, right, "f", lo=lo, hi=hi).collect()}
+    assert flags == {("p", "a"): True, ("q", "a"): False, ("q", "z"): False}
+    assert {(r["patient_id"], r["id"]) for r in tj.interval_anti(left, right, lo=lo, hi=hi).collect()} == {("q", "a"), ("q", "z")}
+    least = tj.interval_agg(left, right, lo=lo, hi=hi, columns=["sgv"], aggregates={"m": F.min("r_sgv")}).collect()
+    assert {(r["patient_id"], r["id"]): r["m"] for r in least} == {("p", "a"): 5.0, ("q", "a"): None, ("q", "z"): None}
+    near = {(r["patient_id"], r["id"]): r["r_sgv"] for r in tj.nearest(left, right, at=lo, within=tj.MINUTE, columns=["sgv"]).collect()}
+    assert near == {("p", "a"): 7.0, ("q", "a"): None, ("q", "z"): None}
+
+
+def test_a_stack_of_interval_joins_reads_its_left_side_once(spark):
+    from sweetframe.plans import QUERIES
+
+    plan = QUERIES["isf_check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 6

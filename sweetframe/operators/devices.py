@@ -33,39 +33,64 @@ def parsed(devicestatus: DataFrame) -> DataFrame:
     return devicestatus.withColumn("v", F.try_parse_json("doc"))
 
 
+def _first_object(*paths: str) -> Column:
+    """The first of the paths that holds an object with a field; documents mix no two of them."""
+    return F.coalesce(*[F.when(F.schema_of_variant(F.try_variant_get("v", p, "variant")).startswith("OBJECT<") & (F.schema_of_variant(F.try_variant_get("v", p, "variant")) != "OBJECT<>"), F.try_variant_get("v", p, "variant")) for p in paths])
+
+
+def decided(devicestatus: DataFrame) -> DataFrame:
+    """The documents parsed, with what the controller decided (suggested, recommended) and what it did (enacted) as variants."""
+    rows = parsed(devicestatus)
+    return rows.withColumn("decision", _first_object("$.openaps.suggested", "$.loop.recommended")).withColumn("action", _first_object("$.openaps.enacted", "$.loop.enacted"))
+
+
 def devicestatus_flat(devicestatus: DataFrame) -> DataFrame:
     """One flat row for each document: openaps before loop before pump."""
-    v = F.col("v")
-    return parsed(devicestatus).select(
-        "patient_id", "id", "ts",
-        number(v, "$.openaps.iob.iob", "$.openaps.iob", "$.loop.iob.iob", "$.loop.iob", "$.pump.iob.iob", "$.pump.iob").alias("iob"),
-        number(v, "$.openaps.suggested.COB", "$.loop.cob.cob").alias("cob"),
-        number(v, "$.openaps.suggested.eventualBG", "$.loop.recommended.eventualBG").alias("eventual_bg"),
-        number(v, "$.openaps.suggested.targetBG").alias("target_bg"),
-        F.substring(text(v, "$.openaps.suggested.reason", "$.loop.recommended.reason"), 1, 200).alias("reason"),
-        number(v, "$.openaps.enacted.rate", "$.loop.enacted.rate").alias("enacted_rate"),
-        number(v, "$.pump.battery.percent").alias("pump_battery"), number(v, "$.pump.reservoir").alias("reservoir"),
+    return devicestatus_summary(devicestatus).select("patient_id", "id", "ts", "iob", "cob", "eventual_bg", "target_bg", "reason", "enacted_rate", "pump_battery", "reservoir", "uploader_battery", "is_charging")
+
+
+def devicestatus_summary(devicestatus: DataFrame) -> DataFrame:
+    """One flat row for each document, with the state of controller, pump and phone."""
+    v, d, e = F.col("v"), F.col("decision"), F.col("action")
+    blobs = ("$.openaps.iob", "$.loop.iob", "$.pump.iob")
+    return decided(devicestatus).select(
+        "patient_id", "id", "ts", text(v, "$.device").alias("device"),
+        number(v, *[p for b in blobs for p in (f"{b}.iob", b)]).alias("iob"),
+        number(v, *[f"{b}.basaliob" for b in blobs]).alias("basal_iob"), number(v, *[f"{b}.activity" for b in blobs]).alias("insulin_activity"),
+        F.coalesce(number(d, "$.COB"), number(v, "$.loop.cob.cob")).alias("cob"),
+        number(d, "$.eventualBG").alias("eventual_bg"), number(d, "$.targetBG").alias("target_bg"), F.substring(text(d, "$.reason"), 1, 200).alias("reason"),
+        number(e, "$.rate").alias("enacted_rate"), number(e, "$.duration").alias("enacted_minutes"), number(e, "$.minutesRemaining").alias("enacted_minutes_left"),
+        number(v, "$.pump.battery.percent").alias("pump_battery"), number(v, "$.pump.battery.voltage").alias("pump_voltage"), number(v, "$.pump.reservoir").alias("reservoir"),
+        text(v, "$.pump.status.status").alias("pump_status"), text(v, "$.pump.extended.ActiveProfile").alias("active_profile"), number(v, "$.pump.extended.BaseBasalRate").alias("base_basal"),
+        text(v, "$.pump.extended.LastBolus").alias("last_bolus_at"), number(v, "$.pump.extended.LastBolusAmount").alias("last_bolus"),
+        number(v, "$.pump.extended.TempBasalAbsoluteRate").alias("temp_basal"), text(v, "$.pump.extended.TempBasalStart").alias("temp_basal_start"), text(v, "$.pump.extended.Version").alias("version"),
         number(v, "$.uploaderBattery", "$.uploader.battery").alias("uploader_battery"), flag(v, "$.isCharging").alias("is_charging"),
     )
 
 
+_STATE = ("variable_sens", "sens", "eventualBG", "targetBG", "carbsReq", "insulinReq", "runningDynamicIsf", "algorithm")
+
+
 def algorithm_state(devicestatus: DataFrame) -> DataFrame:
-    """What the controller worked with; rows without any of its fields are left out. suggested, else enacted."""
-    v = F.col("v")
-    of = lambda kind, name: kind(v, f"$.openaps.suggested.{name}", f"$.openaps.enacted.{name}")
-    names = ("variable_sens", "sens", "eventualBG", "targetBG", "carbsReq", "insulinReq", "runningDynamicIsf", "algorithm")
-    present = F.coalesce(*[F.try_variant_get(v, f"$.openaps.{part}.{name}", "variant") for part in ("suggested", "enacted") for name in names]).isNotNull()
-    got = parsed(devicestatus).where(present).select(
-        "patient_id", "id", "ts", of(number, "variable_sens").alias("variable_sens"), of(number, "sens").alias("sens"), of(number, "eventualBG").alias("eventual_bg"), of(number, "targetBG").alias("target_bg"),
-        of(number, "carbsReq").alias("carbs_required"), of(number, "insulinReq").alias("insulin_required"), of(flag, "runningDynamicIsf").alias("dynamic_isf"), of(text, "algorithm").alias("algorithm"),
+    """What the controller worked with, all of it from what it decided, or all from what it did where that tells nothing.
+
+    Rows without any of its fields are left out.
+    """
+    tells = lambda part: F.coalesce(*[F.try_variant_get(part, f"$.{name}", "variant") for name in _STATE]).isNotNull()
+    part = F.when(tells("decision"), F.col("decision")).when(tells("action"), F.col("action"))
+    s = F.col("state")
+    got = decided(devicestatus).withColumn("state", part).where("state is not null").select(
+        "patient_id", "id", "ts", number(s, "$.variable_sens").alias("variable_sens"), number(s, "$.sens").alias("sens"), number(s, "$.eventualBG").alias("eventual_bg"), number(s, "$.targetBG").alias("target_bg"),
+        number(s, "$.carbsReq").alias("carbs_required"), number(s, "$.insulinReq").alias("insulin_required"), flag(s, "$.runningDynamicIsf").alias("dynamic_isf"), text(s, "$.algorithm").alias("algorithm"),
     )
     return got.withColumn("effective_isf_mmol", mmol(F.col("variable_sens"))).withColumn("eventual_mmol", mmol(F.col("eventual_bg")))
 
 
 def bg_predictions(devicestatus: DataFrame) -> DataFrame:
-    """Each predicted trajectory: its length in minutes and its last value."""
-    each = [F.struct(F.lit(k).alias("trajectory"), F.try_variant_get("v", f"$.openaps.suggested.predBGs.{k}", "array<int>").alias("p")) for k in ("IOB", "COB", "UAM", "ZT")]
-    rows = parsed(devicestatus).select("patient_id", "id", "ts", F.explode(F.array(*each)).alias("x")).where("size(x.p) > 0")
+    """Each predicted trajectory of what was decided, or else of what was done: its length in minutes and its last value."""
+    of = lambda part: F.filter(F.array(*[F.struct(F.lit(k).alias("trajectory"), F.try_variant_get(part, f"$.predBGs.{k}", "array<int>").alias("p")) for k in ("IOB", "COB", "UAM", "ZT")]), lambda x: F.size(x["p"]) > 0)
+    rows = decided(devicestatus).select("patient_id", "id", "ts", of("decision").alias("a"), of("action").alias("b"))
+    rows = rows.select("patient_id", "id", "ts", F.explode(F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("b"))).alias("x"))
     return rows.select("patient_id", "id", "ts", "x.trajectory", (F.size("x.p") * 5).alias("minutes"), F.element_at("x.p", -1).alias("last_bg"))
 
 

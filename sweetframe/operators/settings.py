@@ -50,8 +50,10 @@ def settings_diff(events: DataFrame, snapshots: DataFrame, start: str, end: str)
 
 def changed_keys(events: DataFrame) -> DataFrame:
     """The distinct keys in order, the first ten listed."""
-    keys = F.array_sort(F.collect_set("key"))
-    return events.agg(F.size(keys).cast("long").alias("n_keys"), F.array_join(F.slice(keys, 1, 10), ",").alias("first_keys"))
+    keys = events.select("key").where("key is not null").distinct()
+    first = keys.orderBy("key").limit(10).agg(F.lit(None).cast("long").alias("n_keys"), F.array_join(F.array_sort(F.collect_list("key")), ",").alias("first_keys"))
+    number = keys.agg(F.count("*").alias("n_keys"), F.lit(None).cast("string").alias("first_keys"))
+    return number.unionByName(first).agg(F.max("n_keys").alias("n_keys"), F.max("first_keys").alias("first_keys"))
 
 
 def log_entries(log: DataFrame, start: str | None = None, end: str | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLLECTIONS = ("entries", "treatments", "devicestatus", "profile", "status")
@@ -68,11 +68,27 @@ def collection(part: Column, doc: Column) -> Column:
     return F.coalesce(by_name, by_content)
 
 
-def classify(documents: DataFrame) -> DataFrame:
-    """documents (file, part, doc) with their collection; of files that hold the same collection the first by name wins."""
+def classify(documents: DataFrame, upload: str | None = None) -> DataFrame:
+    """documents (file, part, doc, others) with their collection.
+
+    Of an upload's files that hold the same collection the first by name wins; ``upload`` is the column that tells uploads
+    apart, such as the patient; without it all files are one upload.
+    """
     found = documents.withColumn("collection", collection(F.col("part"), F.col("doc"))).where("collection is not null")
-    first = F.min("file").over(Window.partitionBy("collection"))
-    return found.withColumn("__first", first).where("file = __first").drop("__first")
+    keys = [F.col(c) for c in (upload, "collection") if c]
+    first = found.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min("file").alias("__first"))
+    same = F.col("file") == F.col("__first")
+    for i, k in enumerate(keys):
+        same = same & k.eqNullSafe(F.col(f"__k{i}"))
+    return found.join(first, same, "left_semi")
+
+
+def with_status(documents: DataFrame, upload: str = "patient_id") -> DataFrame:
+    """Classified documents and, for each upload with a profile but no status, a status with the profile's units."""
+    at = F.get_json_object("doc", "$.units")
+    of = documents.groupBy(upload).agg(F.max(F.col("collection") == "status").alias("has"), F.max(F.col("collection") == "profile").alias("profile"), F.max(F.when(F.col("collection") == "profile", at)).alias("units"))
+    made = of.where("profile and not has").select(upload, F.lit("made").alias("file"), F.lit("status").alias("part"), F.to_json(F.struct(F.lit("ok").alias("status"), F.struct(F.coalesce("units", F.lit("mg/dl")).alias("units")).alias("settings"))).alias("doc"), F.lit("status").alias("collection"))
+    return documents.unionByName(made, allowMissingColumns=True)
 
 
 def write_dataset(table: DataFrame, path: str) -> None:

@@ -31,6 +31,14 @@ def test_first_file_wins(spark, tmp_path):
     assert collections(spark, tmp_path, {"a.json": json.dumps([ENTRY]), "b.json": json.dumps([ENTRY] * 5)}) == {"entries": 1}
 
 
+def test_uploads_of_patients_are_kept_apart_and_get_a_status(spark):
+    docs = [(1, "a.json", "entries", json.dumps(ENTRY)), (1, "b.json", "entries", json.dumps(ENTRY)), (2, "b.json", "entries", json.dumps(ENTRY)), (2, "c.json", "profile", json.dumps({"store": {}, "units": "mmol"})), (None, "z.json", "entries", json.dumps(ENTRY))]
+    got = ingest.classify(spark.createDataFrame(docs, "patient_id long, file string, part string, doc string"), upload="patient_id")
+    assert sorted((r["patient_id"] or 0, r["file"]) for r in got.collect()) == [(0, "z.json"), (1, "a.json"), (2, "b.json"), (2, "c.json")]
+    made = ingest.with_status(got).where("collection = 'status'").collect()
+    assert [(r["patient_id"], json.loads(r["doc"])["settings"]["units"]) for r in made] == [(2, "mmol")]
+
+
 def test_projection_without_text_time_and_sink(spark, tmp_path):
     (tmp_path / "r.json").write_text("\n".join(json.dumps(x) for x in ({"_id": "1", "sgv": 90, "date": 1704067200000, "type": "sgv", "direction": "Flat", "patient_id": 1}, {"_id": "2", "sgv": 126, "dateString": "2024-01-01T01:00:00+01:00", "type": "sgv", "direction": "odd", "patient_id": 2})))
     got = cohort.read_readings(spark, str(tmp_path / "r.json")).orderBy("id").collect()

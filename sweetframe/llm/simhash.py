@@ -26,7 +26,7 @@ the least one; an empty table gives no rows; other columns come out as they are,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -241,18 +241,33 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(_BANDS, _ROWS))], np.uint64).view(np.int64)
 
 
-def shingle_sets(text: Column, size: int = 5) -> Column:
-    """struct<node, shingles, bands>: the set of the text's shingles, a hash of it, and its band keys."""
+def node_and_bands(text: Column, size: int = 5) -> Column:
+    """struct<node, bands>: a hash of the set of the text's shingles, and its band keys."""
     bounded_batches(SparkSession.active(), rows=500, mb=2)
 
-    @F.pandas_udf("struct<node: bigint, shingles: array<bigint>, bands: array<bigint>>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh64_intdigest
-
+    @F.pandas_udf("struct<node: bigint, bands: array<bigint>>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             own = [np.unique(shingle_hashes(t, size)) for t in texts]
-            node = np.array([xxh64_intdigest(h.tobytes()) for h in own], np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": node, "shingles": [h.view(np.int64) for h in own], "bands": [band_keys(h) for h in own]})
+            yield pd.DataFrame({"node": [_set_hash(h) for h in own], "bands": [band_keys(h) for h in own]})
+
+    return keys.asNondeterministic()(text)
+
+
+def _set_hash(shingles: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(shingles.tobytes())).view(np.int64))
+
+
+def shingle_set(text: Column, size: int = 5) -> Column:
+    """The set of the text's shingles, as an array of hashes."""
+    bounded_batches(SparkSession.active(), rows=500, mb=2)
+
+    @F.pandas_udf("array<bigint>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, size)).view(np.int64) for t in texts])
 
     return sets.asNondeterministic()(text)
 
@@ -266,8 +281,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.where(common * whole >= (F.size("u_set") + F.size("v_set") - common) * part).select("u", "v")
 
 
-def similar_sets(hashed: DataFrame, stars: int = 2) -> DataFrame | None:
-    """(node, component) of the nodes with a similar one; None if there are none. hashed: node, shingles and bands.
+def similar_sets(hashed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame | None:
+    """(node, component) of the nodes with a similar one; None if there are none.
+
+    hashed: node and bands; sets_of gives (node, shingles) of the nodes of a table, which is asked for candidates only.
 
     Nodes that share a band are candidates. All of a band meet one of them first, in ``stars`` rounds, each with another
     one; then every pair of nodes that share a band and still lie in two components is compared. So each candidate pair is
@@ -275,7 +292,7 @@ def similar_sets(hashed: DataFrame, stars: int = 2) -> DataFrame | None:
     """
     entries = hashed.select("node", F.explode("bands").alias("key")).distinct()
     entries = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
-    sets = cut(hashed.select("node", "shingles").join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    sets = cut(sets_of(entries.select("node").distinct()))
     found = tested = None
     for turn in range(stars + 1):
         now = entries.withColumn("component", F.col("node")) if found is None else entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -304,16 +321,27 @@ def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", siz
     Groups are connected by links between texts whose sets of ``size``-word shingles have a Jaccard similarity of 0.8 or
     more. Only keys and hashes are grouped; texts move once, to meet the rows that stay.
     """
-    hashed = cut(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), shingle_sets(F.col(text), size).alias("s")).select("key", "hash", "s.*"))
-    found = similar_sets(hashed)
+    own = lambda: docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    same = lambda a, b: a["key"].eqNullSafe(b["key"]) & a["hash"].eqNullSafe(b["hash"])
+    hashed = cut(own().select("key", "hash", node_and_bands(F.col(f"row.{text}"), size).alias("s")).select("key", "hash", "s.*"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Shingles anew from one text of each node, so that they are never written for all texts."""
+        one = hashed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "hash")).alias("one")).select("node", "one.*")
+        texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+        return texts.join(one, same(texts, one)).select("node", shingle_set(F.col("text"), size).alias("shingles")).dropDuplicates(["node"])
+
+    found = similar_sets(hashed, sets_of)
     rows = hashed.select("key", "hash", "node")
     rows = cut(rows.withColumn("component_id", F.col("node")) if found is None else rows.join(found, "node", "left").select("key", "hash", F.coalesce("component", "node").alias("component_id")))
-    first = rows.groupBy("component_id").agg(F.min(F.struct("key", "hash")).alias("first")).select("first.*")
-    times = rows.groupBy("key", "hash").agg(F.count("*").alias("times"))
-    stay = cut(first.join(times, first["key"].eqNullSafe(times["key"]) & first["hash"].eqNullSafe(times["hash"])).select(first["key"].alias("__key"), first["hash"].alias("__hash"), "times"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("own_key"), F.xxhash64(text).alias("own_hash"))
-    kept = whole.join(stay.hint("shuffle_hash"), whole["own_key"].eqNullSafe(stay["__key"]) & whole["own_hash"].eqNullSafe(stay["__hash"]))
-    if stay.where("times > 1").limit(1).count():  # rows repeated in full: one of them stays
-        nth = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__key"))
-        kept = kept.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("key", "hash")).alias("first"))
+    times = rows.groupBy("component_id", "key", "hash").agg(F.count("*").alias("times")).join(first, "component_id")
+    times = cut(times.select("key", "hash", F.struct("key", "hash").eqNullSafe(F.col("first")).alias("stays"), "times").where("not stays or times > 1"))
+    whole, gone = own(), times.where("not stays").select("key", "hash")
+    kept = whole.join(gone, same(whole, gone), "left_anti")
+    twice = times.where("stays").select("key", "hash")
+    if twice.limit(1).count():  # rows repeated in full: one of them stays
+        nth = F.row_number().over(Window.partitionBy("key", "hash").orderBy("key"))
+        copies = kept.join(twice, same(kept, twice), "left_semi").withColumn("n", nth).where("n = 1").drop("n")
+        kept = kept.join(twice, same(kept, twice), "left_anti").unionByName(copies)
     return kept.select("row.*")

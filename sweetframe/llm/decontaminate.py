@@ -36,6 +36,8 @@ from sweetframe.llm._common import bounded_batches, cut
 _WORD = re.compile(r"[^\W_]+")
 _MIX = 0x9E3779B97F4A7C15
 _BITS, _CHUNK, _STEP = 22, 1 << 20, 8
+_WORK = 1 << 19  # places of probes that are told apart by band at once
+_ITEMS = 1 << 16  # characters of items whose probes are held at once
 _SEPARATOR = 10  # between texts; plain texts don't hold it
 
 
@@ -146,24 +148,33 @@ class Probes:
         places, grams = self.hits(text)
         near = _crowded(places, np.zeros(len(places), np.int64), int(self.need.min()), int(self.reach.max()))
         places, grams = places[near], grams[near]
-        if not len(places):
-            return []
+        out, work, reach, i = set(), np.cumsum(self.times[grams]), int(self.reach.max()), 0
+        while i < len(places):
+            # places of bounded work, and those that a crowd beginning among them can reach
+            j = max(i + 1, int(np.searchsorted(work, (work[i - 1] if i else 0) + _WORK, side="right")))
+            end = int(np.searchsorted(places, places[j - 1] + reach, side="right"))
+            out |= self._full(places[i:end], grams[i:end], len(text))
+            i = j
+        return sorted(out)
+
+    def _full(self, places: np.ndarray, grams: np.ndarray, length: int) -> set[tuple[int, int]]:
+        """The bands in which enough of these places crowd, of a text of that length."""
         times = self.times[grams]
         entry = np.repeat(self.first[grams] - (np.cumsum(times) - times), times) + np.arange(times.sum())
         place, probe = np.repeat(places, times), self.probe[entry].astype(np.int64)
         band = (place - self.at[entry]) // _STEP
         # band b covers the diagonals 8 b .. 8 b + 15, so that each diagonal lies in two and any 9 in a row in one
         least, wide = int(band.min()) - 1, int(band.max() - band.min()) + 2
-        row = (probe * wide + band - least) * (len(text) + 1) + place
-        row = np.unique(np.concatenate([row, row - (len(text) + 1)]))
-        key, place = row // (len(text) + 1), row % (len(text) + 1)
+        row = (probe * wide + band - least) * (length + 1) + place
+        row = np.unique(np.concatenate([row, row - (length + 1)]))
+        key, place = row // (length + 1), row % (length + 1)
         probe, out = key // wide, set()
         for need in np.unique(self.need):
             for reach in np.unique(self.reach[self.need == need]):
                 own = (self.need[probe] == need) & (self.reach[probe] == reach)
                 full = np.unique(key[own][_crowded(place[own], key[own], int(need), int(reach))])
                 out |= set(zip((full // wide).tolist(), ((full % wide + least) * _STEP).tolist(), strict=True))
-        return sorted(out)
+        return out
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(text, item, edits, start, end, probe) of the best stretch for each text and probe that has one."""
@@ -392,25 +403,33 @@ def _verified(pieces: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
     pairs = pairs.where((F.col("shared") >= need) | (F.length("plain") < s.least))
     told = pairs.select("row", "at", "no", "item", "plain").join(pieces.select("row", "at", "piece", "starts"), ["row", "at"])
 
+    def of_items(pairs: pd.DataFrame) -> list[tuple]:
+        """All pieces and items of the pairs at once; what isn't among the pairs belongs to other rows."""
+        out = []
+        wanted = dict(zip(zip(pairs["row"], pairs["at"], pairs["no"], strict=True), pairs["item"], strict=True))
+        items = pairs.drop_duplicates("no")
+        probes = Probes(list(zip(items["no"], items["plain"], strict=True)), s)
+        first = dict(zip(reversed(probes.item), range(len(probes.item) - 1, -1, -1), strict=True))
+        pieces = pairs.drop_duplicates(["row", "at"])
+        pieces = list(zip(pieces["row"], pieces["at"], pieces["piece"], pieces["starts"], strict=True))
+        for i in range(0, len(pieces), 1_000):
+            for n, no, edits, a, b, probe in probes.matches([p[2] for p in pieces[i : i + 1_000]]):
+                row, at, piece, starts = pieces[i + n]
+                if (row, at, no) in wanted:
+                    out.append((row, wanted[row, at, no], f"{no} {probe - first[no]}", edits, *source_span(starts, piece, a, b)))
+        return out
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out, long = [], pdf["plain"].str.len() >= s.least
             for row, item, piece, starts, text in pdf.loc[~long, ["row", "item", "piece", "starts", "plain"]].itertuples(index=False):
                 if piece == text:
                     out.append((row, item, f"at {starts[0]}", 0, *source_span(starts, piece, 0, len(piece))))
-            # all pieces and items of the batch at once; what isn't among the pairs belongs to other rows
             pairs = pdf[long]
-            wanted = dict(zip(zip(pairs["row"], pairs["at"], pairs["no"], strict=True), pairs["item"], strict=True))
-            items = pairs.drop_duplicates("no")
-            probes = Probes(list(zip(items["no"], items["plain"], strict=True)), s)
-            first = dict(zip(reversed(probes.item), range(len(probes.item) - 1, -1, -1), strict=True))
-            pieces = pairs.drop_duplicates(["row", "at"])
-            pieces = list(zip(pieces["row"], pieces["at"], pieces["piece"], pieces["starts"], strict=True))
-            for i in range(0, len(pieces), 1_000):
-                for n, no, edits, a, b, probe in probes.matches([p[2] for p in pieces[i : i + 1_000]]):
-                    row, at, piece, starts = pieces[i + n]
-                    if (row, at, no) in wanted:
-                        out.append((row, wanted[row, at, no], f"{no} {probe - first[no]}", edits, *source_span(starts, piece, a, b)))
+            each = pairs.drop_duplicates("no")
+            portion = dict(zip(each["no"], each["plain"].str.len().cumsum() // _ITEMS, strict=True))
+            for _, some in pairs.groupby(pairs["no"].map(portion)):
+                out += of_items(some)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     return told.mapInPandas(verify, FOUND)

@@ -48,6 +48,19 @@ def test_matches_equal_brute_force(seed):
         assert any(sellers(p, texts[n][a:b]) == edits for i, p in enumerate(probes.text) if probes.item[i] == item)
 
 
+def test_bounded_work_changes_nothing(monkeypatch):
+    rng = random.Random(99)
+    prose = lambda n: d.plain(" ".join(word(rng) for _ in range(n)))
+    shared = prose(30)
+    probes = d.Probes([(i, d.plain(f"{prose(8)} {shared} {prose(8)}")) for i in range(20)], d.Settings())
+    texts = [d.plain(f"{prose(5)} {edited(rng, shared, i % 8)} {prose(9)}") for i in range(20)] + [" ".join([shared] * 5)]
+    whole = list(probes.matches(texts))
+    assert len(whole) > 200
+    for work in (1, 1_000, 30_000):
+        monkeypatch.setattr(d, "_WORK", work)
+        assert list(probes.matches(texts)) == whole
+
+
 def test_source_spans_and_plain_form():
     text = "  Ab-C_d  İx É!!9"
     assert d.plain(text) == " ".join(d._WORD.findall(d.lowered(text))) and len(d.lowered(text)) == len(text)

@@ -67,8 +67,14 @@ def confidence(n: Column) -> Column:
     return F.when(n < 3, "low").when(n < 8, "medium").otherwise("high")
 
 
-def local(ts: Column, tz: str = "UTC") -> Column:
-    return ts if tz == "UTC" else F.from_utc_timestamp(ts, tz)
+def local(ts: Column, tz: str | Column = "UTC") -> Column:
+    """The local time; tz is a zone or a column of zones."""
+    return ts if isinstance(tz, str) and tz == "UTC" else F.from_utc_timestamp(ts, tz)
+
+
+def iso_z(ts: Column) -> Column:
+    """The time as text, to the second."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'.000Z'")
 
 
 def micros(ts: Column) -> Column:

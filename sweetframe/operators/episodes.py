@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sweetframe.functions.scalars import local, micros
+from sweetframe.functions.scalars import iso_z, local, micros
 from sweetframe.operators.timejoin import MINUTE, interval_anti, interval_flag
 
 
@@ -118,6 +118,7 @@ def change_points(signal: DataFrame) -> DataFrame:
 
 
 def with_switches(points: DataFrame, switches: DataFrame) -> DataFrame:
-    """points with the number of the patient's profile switches and the newest one's time."""
-    listed = switches.groupBy("patient_id").agg(F.count("*").alias("switches"), F.max("ts").alias("last_switch"))
+    """points with the patient's profile switches: their number, the newest one's time and, as text, all times in order."""
+    times = F.array_join(F.transform(F.sort_array(F.collect_list("ts")), iso_z), ",")
+    listed = switches.groupBy("patient_id").agg(F.count("*").alias("switches"), F.max("ts").alias("last_switch"), times.alias("switch_times"))
     return points.join(listed, "patient_id", "left").withColumn("switches", F.coalesce("switches", F.lit(0)).cast("long"))

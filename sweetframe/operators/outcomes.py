@@ -221,20 +221,38 @@ def af_recommendation(events: DataFrame, current_af: int = 100) -> DataFrame:
     return got.select("patient_id", F.lit(current_af).alias("current_af"), new.alias("recommended_af"), "recommendation", "overall_ratio", "in_target_ratio", "above_target_ratio", sure.alias("confidence"), n.alias("matched"))
 
 
+def meals(treatments: DataFrame) -> DataFrame:
+    """Treatments with carbs, or of a kind that stands for a meal."""
+    return treatments.where((F.col("carbs") > 0) | F.col("event_type").isin("Carb Correction", "Meal Bolus", "Snack Bolus"))
+
+
 def meal_analysis(treatments: DataFrame, readings: DataFrame, hours: int = 4, low: int = 70, high: int = 180) -> DataFrame:
     """Each meal: glucose before, peak, time to it, rise, end and notes; without readings after, the value before stands in."""
-    meals = treatments.where((F.col("carbs") > 0) | F.col("event_type").isin("Carb Correction", "Meal Bolus", "Snack Bolus"))
-    pre = asof_pre_bg(meals, readings)
+    return _responses(meals(treatments), readings, ["carbs", "insulin"], hours, low, high)
+
+
+def meal_at(times: DataFrame, treatments: DataFrame, readings: DataFrame, hours: int = 4, minutes: int = 30, low: int = 70, high: int = 180) -> DataFrame:
+    """The response after each of times (patient_id, id, ts), with the meal logged up to ``minutes`` before or less after.
+
+    That is the nearest meal, then the earliest, then the one of least id; null where there is none.
+    """
+    found = nearest(times.select("patient_id", "id", "ts"), meals(treatments), at=_at(), within=minutes * MINUTE, columns=["id", "carbs", "insulin"], hi_open=True)
+    named = found.drop("r_ts").withColumnsRenamed({"r_id": "meal_id", "r_carbs": "carbs", "r_insulin": "insulin"})
+    return _responses(named, readings, ["meal_id", "carbs", "insulin"], hours, low, high)
+
+
+def _responses(rows: DataFrame, readings: DataFrame, keep: list[str], hours: int, low: int, high: int) -> DataFrame:
+    pre = asof_pre_bg(rows, readings)
     pairs = interval_join(pre, readings, lo=_at(), hi=_at() + hours * HOUR, columns=["ts", "id", "sgv"], lo_open=True)
     # the first of equal peaks: the largest value, then the least time
-    after = pairs.groupBy(F.col("id").alias("__id")).agg(F.max(F.struct("r_sgv", (-micros(F.col("r_ts"))).alias("back"))).alias("peak"), F.max(F.struct("r_ts", "r_id", "r_sgv"))["r_sgv"].alias("end"))
-    got = pre.join(after, F.col("id") == F.col("__id"), "left")
+    after = pairs.groupBy(F.col("patient_id").alias("__by"), F.col("id").alias("__id")).agg(F.max(F.struct("r_sgv", (-micros(F.col("r_ts"))).alias("back"))).alias("peak"), F.max(F.struct("r_ts", "r_id", "r_sgv"))["r_sgv"].alias("end"))
+    got = pre.join(after, (F.col("patient_id") == F.col("__by")) & (F.col("id") == F.col("__id")), "left")
     peak, end = F.coalesce(F.col("peak.r_sgv"), F.col("pre_bg"), F.lit(0)), F.coalesce("end", "pre_bg", F.lit(0))
     got = got.withColumn("peak_mgdl", peak).withColumn("end_mgdl", end).withColumn("rise_mgdl", F.when(F.col("peak").isNull(), 0).otherwise(F.col("peak_mgdl") - F.coalesce("pre_bg", F.col("peak_mgdl"))))
     minutes = F.when(F.col("peak").isNull(), 0).otherwise(F.floor((-F.col("peak.back") - _at()) / MINUTE)).cast("long")
     has = F.col("peak").isNotNull()
     notes = F.array_join(F.array_compact(F.array(F.when(~has, "no readings after"), F.when(has & (F.col("rise_mgdl") > 80), "large rise"), F.when(has & (F.col("peak_mgdl") > 250), "peak above 250"), F.when(has & (F.col("end_mgdl") < low), "ended low"), F.when(has & (F.col("pre_bg") < low), "started low"))), "; ")
-    return got.select("patient_id", "id", "ts", "carbs", "insulin", "pre_bg", "peak_mgdl", minutes.alias("minutes_to_peak"), "rise_mgdl", "end_mgdl", (has & F.col("end_mgdl").between(low, high)).alias("in_range_at_end"), notes.alias("notes"))
+    return got.select("patient_id", "id", "ts", *keep, "pre_bg", "peak_mgdl", minutes.alias("minutes_to_peak"), "rise_mgdl", "end_mgdl", (has & F.col("end_mgdl").between(low, high)).alias("in_range_at_end"), notes.alias("notes"))
 
 
 def nearest_reading(times: DataFrame, readings: DataFrame, minutes: int = 15) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweetframe.functions.scalars import local, micros, pct
@@ -64,7 +64,7 @@ def daily_tdd(treatments: DataFrame) -> DataFrame:
     return treatments.where("insulin > 0").groupBy("patient_id", F.to_date("ts").alias("day")).agg(F.sum("insulin").alias("tdd"), F.count("*").alias("n"))
 
 
-def daily_profiles(readings: DataFrame, tz: str = "UTC") -> DataFrame:
+def daily_profiles(readings: DataFrame, tz: str | Column = "UTC") -> DataFrame:
     got = readings.groupBy("patient_id", F.to_date(local(F.col("ts"), tz)).alias("day")).agg(F.count("*").alias("n"), F.avg("sgv").alias("mean_mgdl"), pct(F.col("sgv").between(70, 180)).alias("tir_percent"), F.min("sgv").alias("nadir"))
     return got.withColumn("flag", F.when(F.col("nadir") < 54, "<54").when(F.col("nadir") < 70, "<70").otherwise(""))
 

@@ -143,3 +143,15 @@ def synthesis_insights(features: DataFrame) -> DataFrame:
         (c("spikes") >= 5, [lit("frequent_spikes"), lit("high"), c("spikes").cast("double")]),
     ]
     return _fired(features, rules, ("insight", "confidence", "value"))
+
+
+def synthesis_questions(features: DataFrame, days_examined: int = 7) -> DataFrame:
+    """What to ask the care team, in order of place; spikes count once a day examined."""
+    c, lit = F.col, F.lit
+    rules = [
+        ((c("overnight_lows") >= 3) & (c("tbr_lt54_percent") > 1.0), [lit(0), lit("first_lever_for_severe_lows"), c("tbr_lt54_percent")]),
+        (c("isf_ratio").between(0.85, 1.15) & (c("effective_ratio") > 1.15) & c("effective_confidence").isin("medium", "high"), [lit(1), lit("lower_adjustment_factor"), c("effective_ratio")]),
+        (c("in_target_ratio").between(0.85, 1.15) & (c("above_target_ratio") > 1.30) & (c("above_target_n") >= 5), [lit(2), lit("dampen_curve_at_high_glucose"), c("above_target_ratio")]),
+        (c("spikes") >= 5, [lit(3), lit("bolus_earlier_before_meals"), F.least(c("spikes"), lit(days_examined)).cast("double")]),
+    ]
+    return _fired(features, rules, ("place", "question", "value"))

@@ -13,7 +13,7 @@ def latest_snapshots(snapshots: DataFrame, n: int = 30) -> DataFrame:
 
 def snapshot_status(snapshots: DataFrame) -> DataFrame:
     last = F.max(F.struct("captured_at", "id", "version"))["version"]
-    return snapshots.agg(F.count("*").alias("n"), F.min("captured_at").alias("earliest"), F.max("captured_at").alias("latest"), last.alias("latest_version"))
+    return snapshots.agg(F.count("*").alias("n"), F.min("captured_at").alias("earliest"), F.max("captured_at").alias("latest"), last.alias("latest_version"), F.when(F.count("*") == 0, "no snapshots").otherwise("").alias("note"))
 
 
 def setting_at(requests: DataFrame, snapshots: DataFrame) -> DataFrame:

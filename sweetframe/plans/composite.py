@@ -121,4 +121,17 @@ def synthesis_insights(spark, d):
     return reports.synthesis_insights(_features(spark, d))
 
 
+@query(
+    "synthesis_questions",
+    f"""WITH f AS ({FEATURES})
+SELECT patient_id, CAST(0 AS INT) AS place, 'first_lever_for_severe_lows' AS question, tbr_lt54_percent AS value FROM f WHERE overnight_lows >= 3 AND tbr_lt54_percent > 1
+UNION ALL SELECT patient_id, 1, 'lower_adjustment_factor', effective_ratio FROM f WHERE isf_ratio BETWEEN 0.85 AND 1.15 AND effective_ratio > 1.15 AND effective_confidence IN ('medium', 'high')
+UNION ALL SELECT patient_id, 2, 'dampen_curve_at_high_glucose', above_target_ratio FROM f WHERE in_target_ratio BETWEEN 0.85 AND 1.15 AND above_target_ratio > 1.3 AND above_target_n >= 5
+UNION ALL SELECT patient_id, 3, 'bolus_earlier_before_meals', least(spikes, 7) FROM f WHERE spikes >= 5""",
+    "value",
+)
+def synthesis_questions(spark, d):
+    return reports.synthesis_questions(_features(spark, d))
+
+
 _ = (o, s)  # their SQL must be registered before this module's

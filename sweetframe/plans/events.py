@@ -98,9 +98,9 @@ def picked(found: str) -> str:
 WITH RECURSIVE sig AS ({found}),
 g AS (SELECT patient_id, min(i) AS start FROM sig GROUP BY 1
   UNION ALL SELECT g.patient_id, (SELECT min(n.i) FROM sig n WHERE n.patient_id = g.patient_id AND n.i >= {best} + n.w) FROM g WHERE g.start IS NOT NULL)
-SELECT p.patient_id, p.i AS place, p.ts, p.shift, CASE WHEN p.shift > 0 THEN 'up' ELSE 'down' END AS direction, coalesce(s.switches, 0) AS switches, s.last_switch
+SELECT p.patient_id, p.i AS place, p.ts, p.shift, CASE WHEN p.shift > 0 THEN 'up' ELSE 'down' END AS direction, coalesce(s.switches, 0) AS switches, s.last_switch, s.switch_times
 FROM (SELECT patient_id, {best} AS best FROM g WHERE start IS NOT NULL) b JOIN sig p ON p.patient_id = b.patient_id AND p.i = b.best
-LEFT JOIN (SELECT patient_id, count(*) AS switches, max(ts) AS last_switch FROM t WHERE event_type = 'Profile Switch' GROUP BY 1) s ON s.patient_id = p.patient_id"""
+LEFT JOIN (SELECT patient_id, count(*) AS switches, max(ts) AS last_switch, string_agg(strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z'), ',' ORDER BY ts) AS switch_times FROM t WHERE event_type = 'Profile Switch' GROUP BY 1) s ON s.patient_id = p.patient_id"""
 
 
 @query("change_points_bg", picked(signal(HOURLY, 0.25)), "shift")
@@ -207,7 +207,7 @@ def snapshots_latest(spark, d):
     return settings.latest_snapshots(cohort.snapshots(spark, d)).select("id", "captured_at", "version")
 
 
-@query("snapshot_status", f"SELECT count(*) AS n, min(captured_at) AS earliest, max(captured_at) AS latest, arg_max(version, (captured_at, id)) AS latest_version FROM {SNAPSHOTS}")
+@query("snapshot_status", f"SELECT count(*) AS n, min(captured_at) AS earliest, max(captured_at) AS latest, arg_max(version, (captured_at, id)) AS latest_version, CASE WHEN count(*) = 0 THEN 'no snapshots' ELSE '' END AS note FROM {SNAPSHOTS}")
 def snapshot_status(spark, d):
     return settings.snapshot_status(cohort.snapshots(spark, d))
 

@@ -198,21 +198,35 @@ def af_recommendation(spark, d):
     return outcomes.af_recommendation(_events(spark, d))
 
 
-@query(
-    "meal_analysis",
-    f"""SELECT patient_id, id, ts, carbs, insulin, pre_bg, coalesce(peak, pre_bg, 0) AS peak_mgdl, CASE WHEN peak IS NULL THEN 0 ELSE (epoch_us(peak_ts) - epoch_us(ts)) // 60000000 END AS minutes_to_peak,
+def responses(rows: str, keep: str) -> str:
+    return f"""SELECT patient_id, id, ts, {keep}, pre_bg, coalesce(peak, pre_bg, 0) AS peak_mgdl, CASE WHEN peak IS NULL THEN 0 ELSE (epoch_us(peak_ts) - epoch_us(ts)) // 60000000 END AS minutes_to_peak,
       CASE WHEN peak IS NULL THEN 0 ELSE peak - coalesce(pre_bg, peak) END AS rise_mgdl, coalesce(end_bg, pre_bg, 0) AS end_mgdl, peak IS NOT NULL AND end_bg BETWEEN 70 AND 180 AS in_range_at_end,
       concat_ws('; ', CASE WHEN peak IS NULL THEN 'no readings after' END, CASE WHEN peak - coalesce(pre_bg, peak) > 80 THEN 'large rise' END, CASE WHEN peak > 250 THEN 'peak above 250' END, CASE WHEN peak IS NOT NULL AND end_bg < 70 THEN 'ended low' END, CASE WHEN peak IS NOT NULL AND pre_bg < 70 THEN 'started low' END) AS notes
     FROM (SELECT m.*, (SELECT max(sgv) FROM r WHERE r.patient_id = m.patient_id AND r.ts > m.ts AND epoch_us(r.ts) <= epoch_us(m.ts) + {4 * H}) AS peak,
       (SELECT arg_min(ts, (-sgv, ts)) FROM r WHERE r.patient_id = m.patient_id AND r.ts > m.ts AND epoch_us(r.ts) <= epoch_us(m.ts) + {4 * H}) AS peak_ts,
       (SELECT arg_max(sgv, ts) FROM r WHERE r.patient_id = m.patient_id AND r.ts > m.ts AND epoch_us(r.ts) <= epoch_us(m.ts) + {4 * H}) AS end_bg
-      FROM ({with_pre("SELECT * FROM t WHERE carbs > 0 OR event_type IN ('Carb Correction', 'Meal Bolus', 'Snack Bolus')")}) m)""",
-    "carbs insulin",
-)
+      FROM ({with_pre(rows)}) m)"""
+
+
+MEAL = "carbs > 0 OR event_type IN ('Carb Correction', 'Meal Bolus', 'Snack Bolus')"
+
+
+@query("meal_analysis", responses(f"SELECT * FROM t WHERE {MEAL}", "carbs, insulin"), "carbs insulin")
 def meal_analysis(spark, d):
     return outcomes.meal_analysis(_t(spark, d), readings(spark, d))
 
 
+LOOKED_UP = f"""SELECT q.patient_id, q.id, q.ts, n.best.id AS meal_id, n.best.carbs AS carbs, n.best.insulin AS insulin FROM (SELECT * FROM t WHERE event_type = 'Bolus') q LEFT JOIN (
+  SELECT b.id, arg_min({{'id': m.id, 'carbs': m.carbs, 'insulin': m.insulin}}, (abs(epoch_us(m.ts) - epoch_us(b.ts)), m.ts, m.id)) AS best FROM t b JOIN (SELECT * FROM t WHERE {MEAL}) m
+    ON m.patient_id = b.patient_id AND epoch_us(m.ts) >= epoch_us(b.ts) - {H // 2} AND epoch_us(m.ts) < epoch_us(b.ts) + {H // 2} WHERE b.event_type = 'Bolus' GROUP BY 1) n USING (id)"""
+
+
+@query("meal_lookup", responses(LOOKED_UP, "meal_id, carbs, insulin"), "carbs insulin")
+def meal_lookup(spark, d):
+    """The times of plain boluses, each with the meal logged about then."""
+    return outcomes.meal_at(_t(spark, d).where("event_type = 'Bolus'"), _t(spark, d), readings(spark, d))
+
+
 @query(
     "nearest_reading",
     "SELECT q.patient_id, q.id, q.ts, sgv, (epoch_us(rts) - epoch_us(q.ts)) // 60000000 AS minutes_off FROM t q LEFT JOIN (SELECT b.id, arg_min(r.sgv, (abs(epoch_us(r.ts) - epoch_us(b.ts)), r.ts)) AS sgv, arg_min(r.ts, (abs(epoch_us(r.ts) - epoch_us(b.ts)), r.ts)) AS rts FROM t b JOIN r ON r.patient_id = b.patient_id AND epoch_us(r.ts) >= epoch_us(b.ts) - 900000000 AND epoch_us(r.ts) < epoch_us(b.ts) + 900000000 GROUP BY 1) n USING (id)".replace("(epoch_us(rts) - epoch_us(q.ts)) // 60000000", "CAST(floor((epoch_us(rts) - epoch_us(q.ts)) / 60000000) AS BIGINT)"),

@@ -5,6 +5,7 @@ Every table has a patient key and a timestamp; operators are partitioned by pati
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,10 @@ TREATMENTS_JSON = (
     "notes STRING, enteredBy STRING, glucose DOUBLE, glucoseType STRING, patient_id LONG"
 )
 
+SNAPSHOTS = "id LONG, captured_at TIMESTAMP, version STRING, full_json STRING"
+CHANGES = "snapshot_id LONG, line LONG, key STRING, new_value STRING, detected_at TIMESTAMP"
+LOG = "id LONG, ts TIMESTAMP, event_type STRING, values_json STRING"
+
 # Trend arrows by direction.
 ARROWS = {
     "DoubleUp": "↑↑", "SingleUp": "↑", "FortyFiveUp": "↗", "Flat": "→", "FortyFiveDown": "↘", "SingleDown": "↓", "DoubleDown": "↓↓",
@@ -29,6 +34,16 @@ def read_treatments(spark: SparkSession, path: str) -> DataFrame:
     return project_treatments(spark.read.schema(TREATMENTS_JSON).json(path))
 
 
+def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of settings or log entries as Parquet; one without rows where nothing was ever stored."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def project_readings(raw: DataFrame) -> DataFrame:
     """Reading documents as readings: names, timestamps (from the text, else from epoch milliseconds), derived columns."""
     ts = F.coalesce(F.try_to_timestamp("dateString"), F.timestamp_millis("date"))
@@ -100,10 +115,33 @@ def profiles(patients: DataFrame) -> DataFrame:
     return patients.select("patient_id").distinct().select("patient_id", F.lit("Default").alias("default_profile"), F.create_map(F.lit("Default"), sub).alias("store"))
 
 
+def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile document for each customer, of six shapes by the key.
+
+    0: mmol/L; 1: mg/dL in a zone of its own; 2: the named profile is absent; 3: nothing named, zeros, no zone;
+    4: no entries, an unknown zone; 5: no profiles.
+    """
+    key = F.col("c_custkey")
+    k, sens, cr = key % 6, (40 + key % 50).cast("double"), (5 + key % 9).cast("double")
+    entry = lambda start, value: F.struct(F.lit(start).alias("time"), value.cast("double").alias("value"))
+    listed = lambda *entries: F.filter(F.array(*entries), lambda e: k != 4)
+    none = lambda value: F.when(k == 3, F.lit(0.0)).otherwise(value)
+    sub = F.struct(
+        none(F.lit(4.0)).alias("dia"), F.when(k == 1, "mg/dl").when(k == 2, "MGDL").when(k != 3, "mmol").alias("units"), F.when(k == 1, "America/New_York").when(k == 4, "Not/AZone").when(k != 3, "UTC").alias("timezone"),
+        listed(entry("00:00", F.lit(0.8)), entry("06:30", F.lit(1.1))).alias("basal"), listed(entry("00:00", none(F.when(k == 0, sens / 10).otherwise(sens)))).alias("sens"), listed(entry("00:00", none(cr))).alias("carbratio"),
+        F.filter(listed(entry("00:00", cr)), lambda e: F.lit(False)).alias("target_low"), F.filter(listed(entry("00:00", cr)), lambda e: F.lit(False)).alias("target_high"),
+    )
+    store = F.map_filter(F.create_map(F.when(k == 2, "Night").otherwise("Default"), sub), lambda name, of: k != 5)
+    named = F.when(k == 2, "Day").when(k != 3, "Default")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.cast("long").alias("patient_id"), named.alias("default_profile"), store.alias("store"))
+
+
 def profile_settings(profiles: DataFrame) -> DataFrame:
-    """(patient_id, dia_hours, isf_mmol, cr, units, tz) of the active sub-profile: its first entries; zero means none."""
-    sub = F.coalesce(F.try_element_at("store", F.col("default_profile")), F.try_element_at(F.map_values("store"), F.lit(1)))
-    active = profiles.withColumn("sub", sub)
+    """(patient_id, dia_hours, isf_mmol, cr, units, tz) of the active sub-profile: its first entries; zero means none.
+
+    A document without the profile that it names tells nothing: an action time of 5 hours and UTC stand in.
+    """
+    active = profiles.withColumn("sub", F.try_element_at("store", F.coalesce("default_profile", F.lit("Default"))))
     first = lambda name: F.nullif(F.try_element_at(F.col(f"sub.{name}"), F.lit(1))["value"], F.lit(0.0))
     in_mgdl = F.lower("sub.units").isin("mg/dl", "mgdl")
     return active.select(
@@ -114,8 +152,8 @@ def profile_settings(profiles: DataFrame) -> DataFrame:
 
 
 def profile_schedules(profiles: DataFrame) -> DataFrame:
-    """One row for each entry of each schedule of the active sub-profile."""
-    sub = F.coalesce(F.try_element_at("store", F.col("default_profile")), F.try_element_at(F.map_values("store"), F.lit(1)))
+    """One row for each entry of each schedule of the active sub-profile, or of the first one where it is absent."""
+    sub = F.coalesce(F.try_element_at("store", F.coalesce("default_profile", F.lit("Default"))), F.try_element_at(F.map_values("store"), F.lit(1)))
     active = profiles.select("patient_id", sub.alias("sub"))
     names = ("basal", "sens", "carbratio", "target_low", "target_high")
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("schedule"), F.col(f"sub.{n}").alias("entries")) for n in names]))

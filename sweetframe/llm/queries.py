@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweetframe.llm import chat, decontaminate, language_id, licenses, mixing, quality, secrets, simhash, suffix_tree, url_filter
+from sweetframe.llm import chat, decontaminate, divergence, language_id, licenses, mixing, quality, secrets, simhash, suffix_tree, url_filter
 from sweetframe.llm._common import crc_mod, cut, table
 
 #: Where the vocabulary files of public tokenizers lie; read on the driver only.
@@ -77,6 +77,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(written(F.col("found.strong")), 256).alias("base_sha256"), written(every).alias("spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_scan": op10_secret_scan,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -151,5 +156,31 @@ rated AS (
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM rated
+""",
+    "op11_source_divergence": """
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents),
+said AS (SELECT doc, lang, source, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM said GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+cells AS (SELECT lang, source, term, count(*) AS n FROM said JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS size FROM groups LEFT JOIN cells USING (lang, source) GROUP BY ALL),
+langs AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(total) AS HUGEINT) AS lang_size FROM kept GROUP BY lang),
+prices AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 2) // (size + 2 * v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (total + 2) // (lang_size + 2 * v) AS q
+  FROM sizes JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN cells USING (lang, source, term)),
+told AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT p.lang, p.source, o.source AS other, sum((p.p - o.p) * (p.p - o.p) // (p.p + o.p)) AS value
+             FROM prices p JOIN prices o ON p.lang = o.lang AND p.term = o.term AND p.source <> o.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.other = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM prices WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM told)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """,
 }

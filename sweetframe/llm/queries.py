@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweetframe.llm import chat, decontaminate, divergence, language_id, licenses, mixing, quality, secrets, simhash, suffix_tree, url_filter
-from sweetframe.llm._common import crc_mod, cut, table
+from sweetframe.llm import chat, decontaminate, divergence, language_id, licenses, mixing, periodic, quality, secrets, simhash, suffix_tree, url_filter
+from sweetframe.llm._common import NOT_SPACE, crc_mod, cut, table
 
 #: Where the vocabulary files of public tokenizers lie; read on the driver only.
 TOKENIZERS = os.environ.get("SWEETFRAME_TOKENIZERS", "/opt/tokenizers")
@@ -81,6 +81,30 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def looped(text: Column, doc_id: Column) -> Column:
+    """The contract's texts: a tenth of the documents, by crc32 of the id, repeat a stretch up to their end."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, words = F.floor(h / 10), F.regexp_extract_all(text, F.lit(NOT_SPACE), F.lit(0))
+    n = F.nullif(F.size(words), F.lit(0))
+    a = F.pmod(g, n)
+    turns = 3 + F.pmod(g, F.lit(8))
+    p = 1 + F.floor((n - a) / turns)
+    again = F.slice(F.flatten(F.array_repeat(F.slice(words, a.cast("int") + 1, p.cast("int")), turns.cast("int"))), 1, (n - a).cast("int"))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & F.rlike(text, F.lit(NOT_SPACE)), F.array_join(F.concat(F.slice(words, 1, a.cast("int")), again), " ")).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", looped(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.periodic_runs(docs)
+    more = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(more(r, best), r).otherwise(best))  # runs come by start, then period
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    digests = F.sha2(lines, 256).alias("runs_sha256"), F.sha2(periodic.collapsed(F.col("text"), F.col("runs")), 256).alias("collapsed_sha256")
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), *digests)
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -93,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_scan": op10_secret_scan,
     "op11_source_divergence": op11_source_divergence,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -182,5 +207,32 @@ told AS (
   SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM prices WHERE n > 0 AND p > q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM told)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+""",
+    "op12_periodic_runs": """
+WITH hashed AS (  -- crc32 of the id's digits, bit by bit
+  SELECT doc_id, text, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda c, d: list_reduce(list_concat([xor(c, d)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE z END)))) AS h
+  FROM documents),
+original AS (SELECT row_number() OVER () AS doc, doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM hashed),
+placed AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM original),
+docs AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+words AS (SELECT doc, n, i, CASE WHEN i >= a THEN w[1 + a + (i - a) % p] ELSE w[1 + i] END AS word FROM docs, LATERAL (SELECT unnest(range(n)) AS i)),
+matches AS (
+  SELECT x.doc, y.i - x.i AS q, x.i AS i, x.i - row_number() OVER (PARTITION BY x.doc, y.i - x.i ORDER BY x.i) AS island
+  FROM words x JOIN words y ON x.doc = y.doc AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT doc, min(i) AS start, count(*) + q AS length, q FROM matches GROUP BY doc, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT doc, start, length, min(q) AS period FROM stretches GROUP BY doc, start, length),
+of_doc AS (
+  SELECT doc, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc),
+best AS (
+  SELECT a.* FROM runs a WHERE NOT EXISTS (
+    FROM runs b WHERE a.doc = b.doc AND (b.length * a.period > a.length * b.period
+      OR b.length * a.period = a.length * b.period AND (b.start < a.start OR b.start = a.start AND b.period < a.period)))),
+gone AS (SELECT DISTINCT doc, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc, i) GROUP BY doc)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN of_doc USING (doc) LEFT JOIN best USING (doc) LEFT JOIN kept USING (doc)
 """,
 }

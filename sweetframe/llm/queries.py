@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweetframe.llm import chat, decontaminate, divergence, language_id, licenses, mixing, periodic, quality, secrets, simhash, suffix_tree, url_filter
+from sweetframe.llm import chat, decontaminate, divergence, language_id, licenses, mixing, oddsketch, periodic, quality, secrets, simhash, suffix_tree, url_filter
 from sweetframe.llm._common import NOT_SPACE, crc_mod, cut, table
 
 #: Where the vocabulary files of public tokenizers lie; read on the driver only.
@@ -105,6 +105,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
 
 
+def op13_odd_sketch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_source_divergence": op11_source_divergence,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_odd_sketch_groups": op13_odd_sketch_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -234,5 +239,20 @@ kept AS (SELECT doc, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JO
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM docs LEFT JOIN of_doc USING (doc) LEFT JOIN best USING (doc) LEFT JOIN kept USING (doc)
+""",
+    "op13_odd_sketch_groups": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS shingle FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.other)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """,
 }

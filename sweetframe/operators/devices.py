@@ -1,4 +1,9 @@
-"""Projections of nested controller documents: typed leaves with fallbacks, one row for each document."""
+"""Controller documents: parsed once into a table of typed columns, which all projections then read.
+
+``typed`` is the only function that sees JSON. It reads each document as a variant, picks the structs that count (of several
+places the first that holds something), takes each leaf once and keeps it where it has the type that is asked for: text that
+looks like a number is none. Stored as Parquet at ingestion, a projection of a few fields reads those columns only.
+"""
 
 from __future__ import annotations
 
@@ -7,91 +12,121 @@ from pyspark.sql import functions as F
 
 from sweetframe.functions.scalars import mmol
 
-_NUMBERS = ("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT", "DECIMAL")
-
-
-def number(doc: Column, *paths: str) -> Column:
-    """The first of the paths that holds a number; text that looks like one doesn't count."""
-    return F.coalesce(*[_typed(doc, p, "double", _NUMBERS) for p in paths])
+_NUMBER = "^(BIGINT|DOUBLE|FLOAT|INT|SMALLINT|TINYINT|DECIMAL)"
+TRAJECTORIES = ("IOB", "COB", "UAM", "ZT")
 
+#: The leaves of a document by column, from its root v, what was decided d, what was done e, or the blob of insulin on board b.
+NUMBERS = {
+    "basal_iob": "b.basaliob", "insulin_activity": "b.activity", "decided_cob": "d.COB", "loop_cob": "v.loop.cob.cob",
+    "enacted_rate": "e.rate", "enacted_minutes": "e.duration", "enacted_minutes_left": "e.minutesRemaining",
+    "pump_battery": "v.pump.battery.percent", "pump_voltage": "v.pump.battery.voltage", "reservoir": "v.pump.reservoir", "base_basal": "v.pump.extended.BaseBasalRate",
+    "last_bolus": "v.pump.extended.LastBolusAmount", "temp_basal": "v.pump.extended.TempBasalAbsoluteRate", "phone_battery": "v.uploaderBattery", "old_phone_battery": "v.uploader.battery",
+    "blob_iob": "b.iob", "blob_number": "b",
+}
+TEXTS = {
+    "device": "v.device", "pump_status": "v.pump.status.status", "active_profile": "v.pump.extended.ActiveProfile", "last_bolus_at": "v.pump.extended.LastBolus",
+    "temp_basal_start": "v.pump.extended.TempBasalStart", "version": "v.pump.extended.Version",
+}
+#: Fields of what was decided or done that say how the controller worked. Any of them makes a state.
+STATE_NUMBERS = {
+    "current_bg": "bg", "eventual_bg": "eventualBG", "target_bg": "targetBG", "variable_sens": "variable_sens", "isf_for_carbs": "isfMgdlForCarbs",
+    "sensitivity_ratio": "sensitivityRatio", "insulin_required": "insulinReq", "carbs_required": "carbsReq", "smb_units": "units",
+}
+STATE_TEXTS = {"algorithm": "algorithm", "tick": "tick", "reason": "reason"}
+STATE_FLAGS = {"dynamic_isf": "runningDynamicIsf"}
+_WHOLE = ("current_bg", "eventual_bg", "target_bg")
 
-def text(doc: Column, *paths: str) -> Column:
-    return F.coalesce(*[_typed(doc, p, "string", ("STRING",)) for p in paths])
 
+def _leaf(path: str) -> Column:
+    root, _, rest = path.partition(".")
+    return F.try_variant_get(root, f"$.{rest}" if rest else "$", "variant")
 
-def flag(doc: Column, *paths: str) -> Column:
-    return F.coalesce(*[_typed(doc, p, "boolean", ("BOOLEAN",)) for p in paths])
 
+def _leaves(paths: dict[str, str], kind: str) -> Column:
+    """struct of the leaves that have the type; one expression for all, so that generated code stays small."""
+    shape = {"double": _NUMBER, "string": "^STRING", "boolean": "^BOOLEAN"}[kind]
+    values = F.transform(F.array(*[_leaf(p) for p in paths.values()]), lambda x: F.when(F.regexp_like(F.schema_of_variant(x), F.lit(shape)), F.try_variant_get(x, "$", kind)))
+    return F.transform(F.array(values), lambda found: F.struct(*[found[i].alias(name) for i, name in enumerate(paths)]))[0]
 
-def _typed(doc: Column, path: str, kind: str, shapes: tuple[str, ...]) -> Column:
-    leaf = F.try_variant_get(doc, path, "variant")
-    return F.when(F.regexp_like(F.schema_of_variant(leaf), F.lit("^(" + "|".join(shapes) + ")")), F.try_variant_get(doc, path, kind))
 
+def _holds(x: Column) -> Column:
+    """Whether a variant is something: neither null nor an empty object, list or text, zero or false."""
+    shape = F.schema_of_variant(x)
+    empty = shape.isin("VOID", "OBJECT<>", "ARRAY<VOID>") | ((shape == "STRING") & (F.try_variant_get(x, "$", "string") == "")) | ((shape == "BOOLEAN") & ~F.try_variant_get(x, "$", "boolean"))
+    zero = F.regexp_like(shape, F.lit(_NUMBER)) & (F.try_variant_get(x, "$", "double") == 0)
+    return F.coalesce(~(empty | zero), F.lit(False))
 
-def parsed(devicestatus: DataFrame) -> DataFrame:
-    """The document as a variant; null where it isn't JSON."""
-    return devicestatus.withColumn("v", F.try_parse_json("doc"))
 
+def _first(keep: Column, *paths: str) -> Column:
+    """The first of the paths whose value passes keep, a condition on ``x``; evaluated once for all."""
+    return F.get(F.filter(F.array(*[_leaf(p) for p in paths]), lambda x: keep(x)), F.lit(0))
 
-def _first_object(*paths: str) -> Column:
-    """The first of the paths that holds an object with a field; documents mix no two of them."""
-    return F.coalesce(*[F.when(F.schema_of_variant(F.try_variant_get("v", p, "variant")).startswith("OBJECT<") & (F.schema_of_variant(F.try_variant_get("v", p, "variant")) != "OBJECT<>"), F.try_variant_get("v", p, "variant")) for p in paths])
 
+def _object(x: Column) -> Column:
+    shape = F.schema_of_variant(x)
+    return F.coalesce(shape.startswith("OBJECT<") & (shape != "OBJECT<>"), F.lit(False))
 
-def decided(devicestatus: DataFrame) -> DataFrame:
-    """The documents parsed, with what the controller decided (suggested, recommended) and what it did (enacted) as variants."""
-    rows = parsed(devicestatus)
-    return rows.withColumn("decision", _first_object("$.openaps.suggested", "$.loop.recommended")).withColumn("action", _first_object("$.openaps.enacted", "$.loop.enacted"))
 
+def _state(part: str) -> Column:
+    """struct of the state's fields; null where the part has none of them, not even as null."""
+    names = STATE_NUMBERS | STATE_TEXTS | STATE_FLAGS
+    has = F.size(F.array_compact(F.array(*[_leaf(f"{part}.{x}") for x in names.values()]))) > 0
+    of = {"double": STATE_NUMBERS, "string": STATE_TEXTS, "boolean": STATE_FLAGS}
+    return F.when(has, F.struct(*[_leaves({k: f"{part}.{p}" for k, p in paths.items()}, kind).alias(kind) for kind, paths in of.items()], _leaves({"sens": f"{part}.sens"}, "double").alias("more")))
 
-def devicestatus_flat(devicestatus: DataFrame) -> DataFrame:
-    """One flat row for each document: openaps before loop before pump."""
-    return devicestatus_summary(devicestatus).select("patient_id", "id", "ts", "iob", "cob", "eventual_bg", "target_bg", "reason", "enacted_rate", "pump_battery", "reservoir", "uploader_battery", "is_charging")
 
+def typed(devicestatus: DataFrame) -> DataFrame:
+    """(patient_id, id, ts, ...) documents with all their fields as typed columns; nulls where they aren't JSON.
 
-def devicestatus_summary(devicestatus: DataFrame) -> DataFrame:
-    """One flat row for each document, with the state of controller, pump and phone."""
-    v, d, e = F.col("v"), F.col("decision"), F.col("action")
-    blobs = ("$.openaps.iob", "$.loop.iob", "$.pump.iob")
-    return decided(devicestatus).select(
-        "patient_id", "id", "ts", text(v, "$.device").alias("device"),
-        number(v, *[p for b in blobs for p in (f"{b}.iob", b)]).alias("iob"),
-        number(v, *[f"{b}.basaliob" for b in blobs]).alias("basal_iob"), number(v, *[f"{b}.activity" for b in blobs]).alias("insulin_activity"),
-        F.coalesce(number(d, "$.COB"), number(v, "$.loop.cob.cob")).alias("cob"),
-        number(d, "$.eventualBG").alias("eventual_bg"), number(d, "$.targetBG").alias("target_bg"), F.substring(text(d, "$.reason"), 1, 200).alias("reason"),
-        number(e, "$.rate").alias("enacted_rate"), number(e, "$.duration").alias("enacted_minutes"), number(e, "$.minutesRemaining").alias("enacted_minutes_left"),
-        number(v, "$.pump.battery.percent").alias("pump_battery"), number(v, "$.pump.battery.voltage").alias("pump_voltage"), number(v, "$.pump.reservoir").alias("reservoir"),
-        text(v, "$.pump.status.status").alias("pump_status"), text(v, "$.pump.extended.ActiveProfile").alias("active_profile"), number(v, "$.pump.extended.BaseBasalRate").alias("base_basal"),
-        text(v, "$.pump.extended.LastBolus").alias("last_bolus_at"), number(v, "$.pump.extended.LastBolusAmount").alias("last_bolus"),
-        number(v, "$.pump.extended.TempBasalAbsoluteRate").alias("temp_basal"), text(v, "$.pump.extended.TempBasalStart").alias("temp_basal_start"), text(v, "$.pump.extended.Version").alias("version"),
-        number(v, "$.uploaderBattery", "$.uploader.battery").alias("uploader_battery"), flag(v, "$.isCharging").alias("is_charging"),
+    The blob of insulin on board is that of openaps, else of loop, if it holds something, else the pump's, whole. The state
+    comes from what was decided, or from what was done if that has no field of it.
+    """
+    blob = F.coalesce(_first(_holds, "v.openaps.iob", "v.loop.iob"), _leaf("v.pump.iob"))
+    rows = devicestatus.select("patient_id", "id", "ts", F.try_parse_json("doc").alias("v"))
+    rows = rows.select("*", _first(_object, "v.openaps.suggested", "v.loop.recommended").alias("d"), _first(_object, "v.openaps.enacted", "v.loop.enacted").alias("e"), blob.alias("b"))
+    predictions = lambda part: F.filter(F.array(*[F.struct(F.lit(k).alias("trajectory"), F.try_variant_get(part, f"$.predBGs.{k}", "array<int>").alias("values")) for k in TRAJECTORIES]), lambda x: F.size(x["values"]) > 0)
+    of_part = lambda made: F.coalesce(made("d"), made("e"))
+    there = lambda *paths: F.size(F.filter(F.array(*[_leaf(p) for p in paths]), _holds)) > 0
+    rows = rows.select(
+        "patient_id", "id", "ts", _leaves(NUMBERS, "double").alias("n"), _leaves(TEXTS, "string").alias("t"), _leaves({"is_charging": "v.isCharging"}, "boolean").alias("f"), of_part(_state).alias("s"),
+        _leaves({k: f"d.{STATE_NUMBERS[k]}" for k in ("eventual_bg", "target_bg")}, "double").alias("d_n"), _leaves({"reason": "d.reason"}, "string").alias("d_t"), predictions("d").alias("p_d"), predictions("e").alias("p_e"),
+        F.when(there("v.openaps"), "openaps").when(there("v.loop"), "loop").otherwise("pump").alias("source"), F.transform(F.array(_leaf("v.openaps.suggested"), _leaf("v.openaps.iob"), _leaf("v.loop"), _leaf("v.pump")), lambda x: x.isNotNull()).alias("has"),
+        _leaves({"suggested_variable": "v.openaps.suggested.variable_sens", "suggested_sens": "v.openaps.suggested.sens", "suggested_cob": "v.openaps.suggested.COB", "suggested_eventual": "v.openaps.suggested.eventualBG", "openaps_iob": "v.openaps.iob.iob"}, "double").alias("c"),
+    )
+    whole = lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
+    state = [(whole(F.col(f"s.double.{k}")) if k in _WHOLE else F.col(f"s.double.{k}")).alias(k) for k in STATE_NUMBERS] + [F.col(f"s.string.{k}").alias(k) for k in STATE_TEXTS] + [F.col(f"s.boolean.{k}").alias(k) for k in STATE_FLAGS]
+    kept = [k for k in NUMBERS if k not in ("decided_cob", "loop_cob", "phone_battery", "old_phone_battery", "blob_iob", "blob_number")]
+    return rows.select(
+        "patient_id", "id", "ts", *[F.col(f"t.{k}").alias(k) for k in TEXTS], F.coalesce("n.blob_iob", "n.blob_number").alias("iob"), F.coalesce("n.decided_cob", "n.loop_cob").alias("cob"), *[F.col(f"n.{k}").alias(k) for k in kept],
+        F.coalesce("n.phone_battery", "n.old_phone_battery").alias("uploader_battery"), "f.is_charging", F.col("d_n.eventual_bg").alias("decided_eventual_bg"), F.col("d_n.target_bg").alias("decided_target_bg"), F.substring("d_t.reason", 1, 200).alias("decided_reason"),
+        F.when(F.col("s").isNotNull(), F.struct(*state, F.col("s.more.sens").alias("sens"))).alias("state"), F.when(F.size("p_d") > 0, F.col("p_d")).otherwise(F.col("p_e")).alias("predictions"), "source",
+        (F.col("has")[0] | F.col("has")[1] | F.col("has")[2]).alias("has_loop"), F.col("has")[3].alias("has_pump"), "c.*",
     )
 
 
-_STATE = ("variable_sens", "sens", "eventualBG", "targetBG", "carbsReq", "insulinReq", "runningDynamicIsf", "algorithm")
+def devicestatus_flat(documents: DataFrame) -> DataFrame:
+    """One flat row for each typed document: openaps before loop before pump."""
+    return devicestatus_summary(documents).select("patient_id", "id", "ts", "iob", "cob", "eventual_bg", "target_bg", "reason", "enacted_rate", "pump_battery", "reservoir", "uploader_battery", "is_charging")
 
 
-def algorithm_state(devicestatus: DataFrame) -> DataFrame:
-    """What the controller worked with, all of it from what it decided, or all from what it did where that tells nothing.
+def devicestatus_summary(documents: DataFrame) -> DataFrame:
+    """One flat row for each typed document, with the state of controller, pump and phone."""
+    own = ("device", "iob", "basal_iob", "insulin_activity", "cob")
+    rest = ("enacted_rate", "enacted_minutes", "enacted_minutes_left", "pump_battery", "pump_voltage", "reservoir", "pump_status", "active_profile", "base_basal", "last_bolus_at", "last_bolus", "temp_basal", "temp_basal_start", "version", "uploader_battery", "is_charging")
+    decided = [F.col(f"decided_{k}").alias(k) for k in ("eventual_bg", "target_bg", "reason")]
+    return documents.select("patient_id", "id", "ts", *own, *decided, *rest)
 
-    Rows without any of its fields are left out.
-    """
-    tells = lambda part: F.coalesce(*[F.try_variant_get(part, f"$.{name}", "variant") for name in _STATE]).isNotNull()
-    part = F.when(tells("decision"), F.col("decision")).when(tells("action"), F.col("action"))
-    s = F.col("state")
-    got = decided(devicestatus).withColumn("state", part).where("state is not null").select(
-        "patient_id", "id", "ts", number(s, "$.variable_sens").alias("variable_sens"), number(s, "$.sens").alias("sens"), number(s, "$.eventualBG").alias("eventual_bg"), number(s, "$.targetBG").alias("target_bg"),
-        number(s, "$.carbsReq").alias("carbs_required"), number(s, "$.insulinReq").alias("insulin_required"), flag(s, "$.runningDynamicIsf").alias("dynamic_isf"), text(s, "$.algorithm").alias("algorithm"),
-    )
+
+def algorithm_state(documents: DataFrame) -> DataFrame:
+    """What the controller worked with, of typed documents that say so; all of it from one struct."""
+    got = documents.where("state is not null").select("patient_id", "id", "ts", "state.*")
     return got.withColumn("effective_isf_mmol", mmol(F.col("variable_sens"))).withColumn("eventual_mmol", mmol(F.col("eventual_bg")))
 
 
-def bg_predictions(devicestatus: DataFrame) -> DataFrame:
+def bg_predictions(documents: DataFrame) -> DataFrame:
     """Each predicted trajectory of what was decided, or else of what was done: its length in minutes and its last value."""
-    of = lambda part: F.filter(F.array(*[F.struct(F.lit(k).alias("trajectory"), F.try_variant_get(part, f"$.predBGs.{k}", "array<int>").alias("p")) for k in ("IOB", "COB", "UAM", "ZT")]), lambda x: F.size(x["p"]) > 0)
-    rows = decided(devicestatus).select("patient_id", "id", "ts", of("decision").alias("a"), of("action").alias("b"))
-    rows = rows.select("patient_id", "id", "ts", F.explode(F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("b"))).alias("x"))
-    return rows.select("patient_id", "id", "ts", "x.trajectory", (F.size("x.p") * 5).alias("minutes"), F.element_at("x.p", -1).alias("last_bg"))
+    rows = documents.select("patient_id", "id", "ts", F.explode("predictions").alias("x"))
+    return rows.select("patient_id", "id", "ts", "x.trajectory", (F.size("x.values") * 5).alias("minutes"), F.element_at("x.values", -1).alias("last_bg"))
 
 
 def _newest(rows: DataFrame, n: int) -> DataFrame:
@@ -99,22 +134,27 @@ def _newest(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("age", F.row_number().over(w)).where(F.col("age") <= n)
 
 
-def iob_cob_latest(devicestatus: DataFrame) -> DataFrame:
-    """The newest of the last five documents that has insulin or carbs on board, and where it came from."""
-    v = F.col("v")
-    sources = {"openaps": ("$.openaps.iob.iob", "$.openaps.iob"), "loop": ("$.loop.iob.iob", "$.loop.iob"), "pump": ("$.pump.iob.iob", "$.pump.iob")}
-    label = F.coalesce(*[F.when(number(v, *paths).isNotNull(), name) for name, paths in sources.items()], F.lit("openaps"))
-    iob = number(v, *[p for paths in sources.values() for p in paths])
-    rows = _newest(parsed(devicestatus), 5).select("patient_id", "ts", "age", iob.alias("iob"), number(v, "$.openaps.suggested.COB", "$.loop.cob.cob").alias("cob"), label.alias("source"))
-    best = rows.where("iob is not null or cob is not null").groupBy("patient_id").agg(F.min_by(F.struct("ts", "iob", "cob", "source"), "age").alias("b"))
-    every = devicestatus.select("patient_id").distinct().join(best, "patient_id", "left")
-    return every.select("patient_id", "b.ts", "b.iob", "b.cob", F.coalesce("b.source", F.lit("unavailable")).alias("source"))
+def iob_cob_latest(documents: DataFrame) -> DataFrame:
+    """The newest of the last five typed documents that has insulin or carbs on board, and whose it is."""
+    rows = _newest(documents.select("patient_id", "id", "ts", "iob", "cob", "source"), 5)
+    newest = F.min_by(F.struct("ts", "iob", "cob", "source"), F.when(F.col("iob").isNotNull() | F.col("cob").isNotNull(), F.col("age")))
+    best = rows.groupBy("patient_id").agg(newest.alias("b"))
+    return best.select("patient_id", "b.ts", "b.iob", "b.cob", F.coalesce("b.source", F.lit("unavailable")).alias("source"))
 
 
-def device_status_best(devicestatus: DataFrame) -> DataFrame:
-    """Of the last ten documents: the newest with loop data, else with pump data, else the newest."""
-    has = lambda path: F.try_variant_get("v", path, "variant").isNotNull()
-    tier = F.when(has("$.openaps.suggested") | has("$.openaps.iob") | has("$.loop"), 0).when(has("$.pump"), 1).otherwise(2)
-    rows = _newest(parsed(devicestatus), 10).withColumn("tier", tier)
+def device_status_best(documents: DataFrame) -> DataFrame:
+    """Of the last ten typed documents: the newest with loop data, else with pump data, else the newest."""
+    tier = F.when(F.col("has_loop"), 0).when(F.col("has_pump"), 1).otherwise(2)
+    rows = _newest(documents.select("patient_id", "id", "ts", tier.alias("tier")), 10)
     w = Window.partitionBy("patient_id").orderBy("tier", "age")
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").select("patient_id", "id", "ts", "tier")
+
+
+def sensitivity(documents: DataFrame, units_mmol: bool = True) -> DataFrame:
+    """(patient_id, id, ts, sens_mmol, iob, cob, eventual_bg): the controller's sensitivity, variable_sens before sens.
+
+    variable_sens is in mg/dL; sens in the profile's units. Only positive numbers count.
+    """
+    variable, fixed = F.col("suggested_variable"), F.col("suggested_sens")
+    sens = F.coalesce(F.when(variable > 0, mmol(variable)), F.when(fixed > 0, fixed if units_mmol else mmol(fixed)))
+    return documents.select("patient_id", "id", "ts", sens.alias("sens_mmol"), F.col("openaps_iob").alias("iob"), F.col("suggested_cob").alias("cob"), F.col("suggested_eventual").alias("eventual_bg"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweetframe.functions.scalars import high_risk, local, low_risk, micros, pct, wilson
+from sweetframe.operators import trace
 
 
 def valid(readings: DataFrame) -> DataFrame:
@@ -103,6 +104,15 @@ def cogi(readings: DataFrame) -> DataFrame:
     return readings.groupBy("patient_id").agg(_cogi(pct(v.between(70, 180)), pct(v < 70), _cv()).alias("cogi"))
 
 
+def one_pass(readings: DataFrame) -> DataFrame:
+    """(patient_id, n, sd, cv_percent, j_index, m_value, cogi): what needs neither order nor earlier values, in one pass."""
+    v = F.col("sgv")
+    return readings.groupBy("patient_id").agg(*_named({
+        "n": F.count("*"), "sd": F.stddev_samp("sgv"), "cv_percent": _cv(), "j_index": 0.001 * F.pow(F.avg("sgv") + _sd(), F.lit(2)),
+        "m_value": F.avg(F.pow(F.abs(10 * F.log10(v / 120.0)), F.lit(3))), "cogi": _cogi(pct(v.between(70, 180)), pct(v < 70), _cv()),
+    }))
+
+
 def tir_with_ci(readings: DataFrame) -> DataFrame:
     """Shares of five bands and of all below and above, each with its Wilson interval."""
     v, n = F.col("sgv"), F.count("*")
@@ -128,9 +138,8 @@ def period_metrics(readings: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def data_sufficiency(readings: DataFrame, days: int = 30) -> DataFrame:
     """Share of the expected 5-minute readings, the longest gap, and whether they suffice for a report."""
-    gaps = readings.withColumn("gap", micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(Window.partitionBy("patient_id").orderBy("ts")))
     expected = 288 * max(1, days)
-    got = gaps.groupBy("patient_id").agg(F.count("*").alias("n"), F.count_distinct(F.to_date("ts")).alias("days_with_data"), (F.coalesce(F.max("gap"), F.lit(0)) / 3.6e9).alias("longest_gap_hours"))
+    got = readings.groupBy("patient_id").agg(F.count("*").alias("n"), F.count_distinct(F.to_date("ts")).alias("days_with_data")).join(longest_gap(readings), "patient_id")
     active = F.least(F.lit(100.0), 100.0 * F.col("n") / expected)
     got = got.withColumn("expected", F.lit(expected)).withColumn("pct_active", active).withColumn("meets_consensus", (F.lit(days) >= 14) & (F.col("pct_active") >= 70))
     note = F.when(F.col("meets_consensus"), "sufficient").otherwise(F.concat_ws("; ", F.when(F.lit(days) < 14, "fewer than 14 days"), F.when(F.col("pct_active") < 70, "less than 70 % active")))
@@ -138,5 +147,5 @@ def data_sufficiency(readings: DataFrame, days: int = 30) -> DataFrame:
 
 
 def longest_gap(readings: DataFrame) -> DataFrame:
-    gap = micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(Window.partitionBy("patient_id").orderBy("ts"))
-    return readings.withColumn("gap", gap).groupBy("patient_id").agg((F.coalesce(F.max("gap"), F.lit(0)) / 3.6e9).alias("longest_gap_hours"))
+    gap = {"max_gap": micros(F.col("b.ts")) - micros(F.col("a.ts"))}
+    return trace.steps(readings, gap, order=("ts",)).select("patient_id", (F.coalesce("max_gap", F.lit(0)) / 3.6e9).alias("longest_gap_hours"))

@@ -51,21 +51,6 @@ def post_bolus_min(boluses: DataFrame, readings: DataFrame, dia_hours: float = 5
     return interval_agg(boluses, readings, lo=_at(), hi=hi, columns=["sgv"], aggregates={"min_bg": F.min("r_sgv")}, lo_open=not closed)
 
 
-def sensitivity(devicestatus: DataFrame, units_mmol: bool = True) -> DataFrame:
-    """(patient_id, id, ts, sens_mmol, iob, cob, eventual_bg): the controller's sensitivity, variable_sens before sens.
-
-    variable_sens is in mg/dL; sens in the profile's units. Only positive numbers count.
-    """
-    doc = F.parse_json("doc")
-    number = lambda path: F.try_variant_get(doc, path, "double")
-    variable, fixed = number("$.openaps.suggested.variable_sens"), number("$.openaps.suggested.sens")
-    own = fixed if units_mmol else mmol(fixed)
-    sens = F.coalesce(F.when(variable > 0, mmol(variable)), F.when(fixed > 0, own))
-    return devicestatus.select(
-        "patient_id", "id", "ts", sens.alias("sens_mmol"), number("$.openaps.iob.iob").alias("iob"), number("$.openaps.suggested.COB").alias("cob"), number("$.openaps.suggested.eventualBG").alias("eventual_bg")
-    )
-
-
 def asof_sens_strict(boluses: DataFrame, sens: DataFrame, tolerance_min: float = 15) -> DataFrame:
     """boluses with sens_mmol: the last sensitivity strictly before the bolus, rows without one skipped."""
     got = asof_join(boluses, sens.where("sens_mmol is not null"), name="s", columns=["sens_mmol"], tolerance_min=tolerance_min, allow_exact=False)
@@ -79,15 +64,29 @@ def asof_devicestatus(boluses: DataFrame, sens: DataFrame, tolerance_min: float
     return got.select("*", *[F.col(f"s.{c}").alias(c) for c in columns]).drop("s")
 
 
+def realized(boluses: DataFrame) -> DataFrame:
+    """Boluses with pre_bg and min_bg that brought glucose down, with isf, mg/dL by unit; only those in (0, 500]."""
+    return boluses.withColumn("isf", (F.col("pre_bg") - F.col("min_bg")) / F.col("insulin")).where("isf > 0 and isf <= 500")
+
+
+def assessed_corrections(treatments: DataFrame, readings: DataFrame, dia_hours: float = 5.0, minutes: int = 60) -> DataFrame:
+    """All correction boluses with pre_bg, min_bg, and whether carbs lie within ``minutes``: carbs_near, at whatever time,
+    and carbs_apart, not at the bolus's own. What both kinds of isolated corrections are taken from, in one pass."""
+    carbs = treatments.where("carbs > 0").select("patient_id", "ts")
+    near = {"carbs_near": F.count("r_ts") > 0, "carbs_apart": F.count(F.when(F.col("r_ts") != F.col("__row.ts"), 1)) > 0}
+    reach = minutes * MINUTE
+    b = interval_agg(correction_boluses(treatments), carbs, lo=_at() - reach, hi=_at() + reach, columns=["ts"], aggregates=near)
+    return post_bolus_min(asof_pre_bg(b, readings), readings, dia_hours)
+
+
 def isf_samples(treatments: DataFrame, readings: DataFrame, dia_hours: float = 5.0) -> DataFrame:
-    """Realized sensitivity, mg/dL by unit, of each isolated correction; only those in (0, 500]."""
-    got = post_bolus_min(asof_pre_bg(isolated_corrections(treatments), readings), readings, dia_hours)
-    return got.withColumn("isf", (F.col("pre_bg") - F.col("min_bg")) / F.col("insulin")).where("isf > 0 and isf <= 500")
+    """Realized sensitivity of each isolated correction."""
+    return realized(post_bolus_min(asof_pre_bg(isolated_corrections(treatments), readings), readings, dia_hours))
 
 
-def isf_check(treatments: DataFrame, readings: DataFrame, settings: DataFrame) -> DataFrame:
+def isf_check(samples: DataFrame, settings: DataFrame) -> DataFrame:
     """Mean realized sensitivity against the profile's."""
-    got = isf_samples(treatments, readings).groupBy("patient_id").agg(F.count("*").alias("n"), F.avg("isf").alias("isf_mgdl"))
+    got = samples.groupBy("patient_id").agg(F.count("*").alias("n"), F.avg("isf").alias("isf_mgdl"))
     got = settings.select("patient_id", "isf_mmol").join(got, "patient_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     derived = mmol(F.col("isf_mgdl"))
     return got.select("patient_id", "n", "isf_mgdl", derived.alias("derived_isf_mmol"), F.col("isf_mmol").alias("profile_isf_mmol"), (derived / F.col("isf_mmol")).alias("ratio"), confidence(F.col("n")).alias("confidence"))
@@ -96,10 +95,12 @@ def isf_check(treatments: DataFrame, readings: DataFrame, settings: DataFrame) -
 def effective_isf_samples(treatments: DataFrame, readings: DataFrame, sens: DataFrame, dia_hours: float = 5.0) -> DataFrame:
     """Realized and the controller's sensitivity of each isolated correction with a drop; sens_mmol null if unmatched."""
     boluses = isolated_corrections(treatments, same_time_counts=True)
-    got = post_bolus_min(asof_pre_bg(boluses, readings), readings, dia_hours)
-    raw = (F.col("pre_bg") - F.col("min_bg")) / F.col("insulin")
-    got = got.withColumn("isf", raw).where("isf > 0 and isf <= 500")
-    got = asof_sens_strict(got, sens)
+    return effective(realized(post_bolus_min(asof_pre_bg(boluses, readings), readings, dia_hours)), sens)
+
+
+def effective(realized: DataFrame, sens: DataFrame) -> DataFrame:
+    """Realized corrections with the controller's sensitivity just before, and their band."""
+    got = asof_sens_strict(realized, sens)
     return got.withColumn("realized_mmol", mmol(F.col("isf"))).withColumn("band", target_band(F.col("pre_bg")))
 
 

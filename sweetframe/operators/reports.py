@@ -100,9 +100,11 @@ def synthesis_features(readings: DataFrame, current: DataFrame, iob_cob: DataFra
     counts = patterns.groupBy("patient_id").agg(of_type("overnight_low").alias("overnight_lows"), of_type("dawn_phenomenon").alias("dawn_rises"), of_type("post_meal_spike").alias("spikes"))
     of_band = lambda b, c: F.max(F.when(F.col("band") == b, F.col(c)))
     by_band = bands.groupBy("patient_id").agg(of_band("in_target", "ratio").alias("in_target_ratio"), of_band("above_target", "ratio").alias("above_target_ratio"), of_band("above_target", "n").alias("above_target_n"))
-    last_day = F.to_date(F.max("ts").over(Window.partitionBy("patient_id")))
-    yesterday = readings.withColumn("__last", last_day).where(F.to_date("ts") == F.date_sub("__last", 1))
-    cv = yesterday.groupBy("patient_id").agg(F.when(F.count("*") >= 10, 100 * F.coalesce(F.stddev_samp("sgv"), F.lit(0.0)) / F.avg("sgv")).alias("yesterday_cv"))
+    day = F.to_date("ts")
+    days = readings.groupBy("patient_id", day.alias("day")).agg(F.count("*").alias("n"), F.avg("sgv").alias("mean"), F.stddev_samp("sgv").alias("sd"))
+    last = F.max("day").over(Window.partitionBy("patient_id"))  # over one row a day
+    before = days.withColumn("last", last).where(F.col("day") == F.date_sub("last", 1))
+    cv = before.select("patient_id", F.when(F.col("n") >= 10, 100 * F.coalesce("sd", F.lit(0.0)) / F.col("mean")).alias("yesterday_cv"))
     state = algorithm.groupBy("patient_id").agg(F.max(F.struct("ts", "id", "carbs_required", "eventual_bg")).alias("a")).select("patient_id", F.col("a.carbs_required").alias("carbs_required"), F.col("a.eventual_bg").alias("eventual_bg"))
     out = metrics.glucose_stats(readings).select("patient_id", "cv_percent", "tbr_lt54_percent")
     for part in (

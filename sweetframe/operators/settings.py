@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sweetframe.functions.scalars import micros
+
 
 def latest_snapshots(snapshots: DataFrame, n: int = 30) -> DataFrame:
     """The newest n (a report, so a limit is its point)."""
@@ -16,24 +19,36 @@ def snapshot_status(snapshots: DataFrame) -> DataFrame:
     return snapshots.agg(F.count("*").alias("n"), F.min("captured_at").alias("earliest"), F.max("captured_at").alias("latest"), last.alias("latest_version"), F.when(F.count("*") == 0, "no snapshots").otherwise("").alias("note"))
 
 
-def setting_at(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
+def _ranges(times: DataFrame, ts: str, parts: int) -> list[float]:
+    """Cut points, in microseconds, that part the times into about equally many rows each."""
+    shares = [i / parts for i in range(1, parts)]
+    cuts = times.select(micros(F.col(ts)).cast("double").alias("at")).approxQuantile("at", shares, 0.2 / parts) if shares else []
+    return [-float("inf"), *sorted(set(cuts)), float("inf")]
+
+
+def setting_at(requests: DataFrame, snapshots: DataFrame, parts: int | None = None) -> DataFrame:
     """requests (id, key, ts) with the snapshot at or before ts, whether it has the key, and its value.
 
-    One request stream and one snapshot stream are merged by time within (year, month) partitions; the last snapshot of
-    each earlier month is carried in by a small month table, so that no partition sees the whole history.
+    Requests and snapshots are merged by time within ranges of about equally many rows, as many as shuffle partitions or
+    ``parts``, whatever their spread over time; the last snapshot of each range is carried on to the next ones by a table
+    of one row a range. Only ids travel; each document is fetched once for all requests that found it.
     """
-    month = lambda c: F.date_trunc("month", c)
-    docs = snapshots.select(F.col("captured_at").alias("ts"), F.lit(0).alias("side"), F.struct("captured_at", F.col("id").alias("snapshot_id"), "full_json").alias("s"), F.col("id").alias("tie"))
-    asks = requests.withColumn("row", F.struct(*requests.columns)).select("ts", F.lit(1).alias("side"), "row")
-    both = docs.unionByName(asks, allowMissingColumns=True).withColumn("month", month(F.col("ts")))
-    inside = Window.partitionBy("month").orderBy("ts", "side", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("m", F.last("s", ignorenulls=True).over(inside)).where("side = 1")
-    months = both.groupBy("month").agg(F.max(F.struct("ts", "tie", "s")).alias("x")).select("month", F.when(F.col("x.s").isNotNull(), F.col("x.s")).alias("own"))
-    ends = docs.groupBy(month(F.col("ts")).alias("month")).agg(F.max(F.struct("ts", "tie", "s"))["s"].alias("end"))
-    carried = months.select("month").join(ends, "month", "left").withColumn("carried", F.last("end", ignorenulls=True).over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1))).select("month", "carried")
-    whole = found.join(carried, "month", "left").withColumn("m", F.coalesce("m", "carried"))
-    values = F.from_json("m.full_json", "map<string, string>")
-    return whole.select("row.*", F.col("m.snapshot_id").alias("snapshot_id"), F.coalesce(F.map_contains_key(values, F.col("row.key")), F.lit(False)).alias("found"), F.try_element_at(values, F.col("row.key")).alias("value"))
+    parts = parts or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = snapshots.where("captured_at is not null").select(F.col("captured_at").alias("ts"), F.lit(0).alias("side"), F.struct("captured_at", F.col("id").alias("snapshot_id")).alias("s"))
+    asks = requests.select("ts", F.lit(1).alias("side"), F.struct(*requests.columns).alias("row"))
+    both = docs.unionByName(asks, allowMissingColumns=True).withColumn("at", micros(F.col("ts")).cast("double"))
+    ranges = _ranges(both, "ts", parts)
+    dealt = Bucketizer(splits=ranges, inputCol="at", outputCol="range", handleInvalid="keep").transform(both) if len(ranges) > 2 else both.withColumn("range", F.lit(0.0))
+    inside = Window.partitionBy("range").orderBy("ts", "side", "s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = dealt.withColumn("m", F.last("s", ignorenulls=True).over(inside)).where("side = 1 and ts is not null")
+    ends = dealt.groupBy("range").agg(F.max("s").alias("end"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    carried = ends.select("range", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    told = found.join(F.broadcast(carried), "range").select("row", F.coalesce("m", "carried")["snapshot_id"].alias("snapshot_id"))
+    told = told.unionByName(requests.where("ts is null").select(F.struct(*requests.columns).alias("row")), allowMissingColumns=True)
+    values = snapshots.select(F.col("id").alias("own_id"), F.from_json("full_json", "map<string, string>").alias("values"))
+    whole = told.join(values, F.col("snapshot_id") == F.col("own_id"), "left")
+    return whole.select("row.*", "snapshot_id", F.coalesce(F.map_contains_key("values", F.col("row.key")), F.lit(False)).alias("found"), F.try_element_at("values", F.col("row.key")).alias("value"))
 
 
 def setting_history(events: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:

@@ -6,26 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweetframe.functions.scalars import micros
+from sweetframe.operators import trace
 
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
 
 
-def asof_join(left: DataFrame, right: DataFrame, *, name: str, columns: list[str], by: str = "patient_id", ts: str = "ts", tie: str = "id", tolerance_min: float | None = None, allow_exact: bool = True) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, *, name: str, columns: list[str], by: str = "patient_id", ts: str = "ts", tie: str = "id", tolerance_min: float | None = None, allow_exact: bool = True, width: int = trace.WEEK) -> DataFrame:
     """left with a struct column ``name``: the last right row at or before (or strictly before) the left row's time.
 
-    Both sides are put in one stream by time and the last right row is carried forward: one shuffle by patient and no
-    blow-up of rows. Right rows of one time are taken in the order of ``tie``.
+    Both sides are put in one stream by time and the last right row is carried forward: no blow-up of rows. Right rows of
+    one time are taken in the order of ``tie``. The stream is cut into chunks of a week (``width``); into a chunk go the last
+    right row of earlier ones or, with a tolerance, the right rows that lie so shortly before it. Left rows without a time match nothing.
     """
     far = 0 if allow_exact else 2  # right rows of the same time come before or after the left row
-    got = right.select(by, ts, F.lit(far).alias("__side"), F.col(tie).cast("string").alias("__tie"), F.struct(F.col(ts).alias("ts"), *columns).alias("__right"))
+    order = [F.col(ts), F.col("__side"), F.col("__tie")]
+    reach = None if tolerance_min is None else int(tolerance_min * MINUTE)
+    got = right.where(F.col(ts).isNotNull()).select(by, ts, F.lit(far).alias("__side"), F.col(tie).cast("string").alias("__tie"), F.struct(F.col(ts).alias("ts"), *columns).alias("__right"))
     own = left.withColumn("__side", F.lit(1)).withColumn("__row", F.struct(*left.columns)).select(by, ts, "__side", "__row")
-    order = Window.partitionBy(by).orderBy(ts, "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = own.unionByName(got, allowMissingColumns=True).withColumn("__m", F.last("__right", ignorenulls=True).over(order)).where("__side = 1")
-    match = F.col("__m")
-    if tolerance_min is not None:
-        match = F.when(micros(F.col(ts)) - micros(F.col("__m.ts")) <= int(tolerance_min * MINUTE), match)
-    return both.select("__row.*", match.alias(name))
+    chunk = trace.chunk(F.col(ts), width)
+    if reach is not None:
+        to = F.sequence(chunk, F.floor((micros(F.col(ts)) + reach) / width))
+        both = own.withColumn("__chunk", chunk).unionByName(got.withColumn("__chunk", F.explode(to)), allowMissingColumns=True)
+        inside = Window.partitionBy(by, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        match = F.last("__right", ignorenulls=True).over(inside)
+        found = both.withColumn("__m", match).where("__side = 1")
+        near = F.when(micros(F.col(ts)) - micros(F.col("__m.ts")) <= reach, F.col("__m"))
+        return found.select("__row.*", near.alias(name))
+    both = own.unionByName(got, allowMissingColumns=True)
+    found = trace.last_so_far(both.where(F.col(ts).isNotNull()), F.col("__right"), name, by=by, order=(ts, "__side", "__tie"), ts=ts, width=width).where("__side = 1").select("__row.*", name)
+    unplaced = left.where(F.col(ts).isNull())
+    return found.unionByName(unplaced, allowMissingColumns=True)
 
 
 def _pairs(left: DataFrame, right: DataFrame, lo: Column, hi: Column, columns: list[str], by: str, ts: str, lo_open: bool, hi_open: bool, bucket: int, how: str) -> DataFrame:
@@ -52,11 +63,12 @@ def interval_join(left: DataFrame, right: DataFrame, *, lo: Column, hi: Column,
 def interval_agg(left: DataFrame, right: DataFrame, *, lo: Column, hi: Column, columns: list[str], aggregates: dict[str, Column], by: str = "patient_id", ts: str = "ts", lo_open: bool = False, hi_open: bool = False, bucket: int = 6 * HOUR) -> DataFrame:
     """left with aggregates over the right rows in each row's interval (columns ``r_...``, and ``r_hit``, null where there is none).
 
-    left is read once: its rows, which must differ in some column, are carried through the join and are what is grouped by.
+    left is read once: its rows are numbered, and carried through the join as what the aggregates of a number have first.
+    Equal rows stay apart, and columns may be of any type.
     """
-    row = left.select(F.struct(*left.columns).alias("__row"), by, lo.cast("long").alias("__from"), hi.cast("long").alias("__to"))
+    row = left.select(F.monotonically_increasing_id().alias("__n"), F.struct(*left.columns).alias("__row"), by, lo.cast("long").alias("__from"), hi.cast("long").alias("__to"))
     pairs = _pairs(row, right.withColumn("hit", F.lit(1)), F.col("__from"), F.col("__to"), [*columns, "hit"], by, ts, lo_open, hi_open, bucket, "left")
-    found = pairs.groupBy("__row").agg(*[c.alias(f"__{name}") for name, c in aggregates.items()])
+    found = pairs.groupBy("__n").agg(F.first("__row").alias("__row"), *[c.alias(f"__{name}") for name, c in aggregates.items()])
     return found.select("__row.*", *[F.col(f"__{name}").alias(name) for name in aggregates])
 
 

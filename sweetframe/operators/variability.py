@@ -2,69 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sweetframe.functions.scalars import micros
-from sweetframe.operators import metrics
+from sweetframe.operators import metrics, trace
+from sweetframe.scratch import written
 
-BY_TIME = ("patient_id", "ts")
 
-
-def _in_order():
-    return Window.partitionBy("patient_id").orderBy("ts", "id")
+_STEP = {  # a: the reading before, b: the reading; steps of no time don't count
+    "sum_length": lambda dt, dv: F.when(dt > 0, F.sqrt(dt * dt + dv * dv)),
+    "sum_time": lambda dt, dv: F.when(dt > 0, dt),
+}
 
 
 def gvp(readings: DataFrame) -> DataFrame:
     """Glycemic variability percentage: how much longer the trace is than a flat one."""
-    w = _in_order()
-    steps = readings.withColumn("dt", (micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(w)) / 6e7).withColumn("dv", F.col("sgv") - F.lag("sgv").over(w))
-    sums = steps.groupBy("patient_id").agg(
-        F.sum(F.when(F.col("dt") > 0, F.sqrt(F.col("dt") * F.col("dt") + F.col("dv") * F.col("dv")))).alias("length"), F.sum(F.when(F.col("dt") > 0, F.col("dt"))).alias("time")
-    )
-    return sums.select("patient_id", F.coalesce((F.col("length") / F.col("time") - 1) * 100, F.lit(0.0)).alias("gvp"))
+    dt, dv = (micros(F.col("b.ts")) - micros(F.col("a.ts"))) / 6e7, F.col("b.sgv") - F.col("a.sgv")
+    sums = trace.steps(readings, {k: f(dt, dv) for k, f in _STEP.items()}, columns=("ts", "sgv"))
+    return sums.select("patient_id", F.coalesce((F.col("sum_length") / F.col("sum_time") - 1) * 100, F.lit(0.0)).alias("gvp"))
+
+
+def turning_points(readings: DataFrame) -> DataFrame:
+    """(patient_id, ts, id, sgv) where the trace turns; of a level top or bottom the first reading."""
+    near = trace.beside(readings.select("patient_id", "ts", "id", "sgv"), ["sgv"])
+    v, before, after = F.col("sgv"), F.col("before.sgv"), F.col("after.sgv")
+    return near.where(((v > before) & (v >= after)) | ((v < before) & (v <= after))).select("patient_id", "ts", "id", "sgv")
 
 
 def mage(readings: DataFrame, threshold_sd: float = 1.0) -> DataFrame:
     """Mean amplitude of the excursions between turning points that exceed the standard deviation."""
-    w = _in_order()
-    sd = F.stddev_samp("sgv").over(Window.partitionBy("patient_id"))
-    beside = readings.select("patient_id", "ts", "id", "sgv", F.lag("sgv").over(w).alias("before"), F.lead("sgv").over(w).alias("after"), sd.alias("sd"))
-    turn = ((F.col("sgv") > F.col("before")) & (F.col("sgv") >= F.col("after"))) | ((F.col("sgv") < F.col("before")) & (F.col("sgv") <= F.col("after")))
-    swings = beside.where(turn).withColumn("swing", F.abs(F.col("sgv") - F.lag("sgv").over(w)))
-    mean = swings.groupBy("patient_id").agg(F.avg(F.when(F.col("swing") > threshold_sd * F.col("sd"), F.col("swing"))).alias("m"))
-    return readings.select("patient_id").distinct().join(mean, "patient_id", "left").select("patient_id", F.coalesce("m", F.lit(0.0)).alias("mage"))
+    sd = readings.groupBy("patient_id").agg(F.stddev_samp("sgv").alias("sd"))
+    return _mage(turning_points(readings), sd, threshold_sd)
+
+
+def _mage(turns: DataFrame, sd: DataFrame, threshold_sd: float = 1.0) -> DataFrame:
+    """turns: turning points; sd: (patient_id, sd) of all patients."""
+    swings = trace.beside(turns, ["sgv"]).select("patient_id", F.abs(F.col("sgv") - F.col("before.sgv")).alias("swing"))
+    mean = swings.join(sd, "patient_id").groupBy("patient_id").agg(F.avg(F.when(F.col("swing") > threshold_sd * F.col("sd"), F.col("swing"))).alias("m"))
+    return sd.join(mean, "patient_id", "left").select("patient_id", F.coalesce("m", F.lit(0.0)).alias("mage"))
 
 
-def _shifted(readings: DataFrame, minutes: int, slack: int = 5) -> DataFrame:
-    """(patient_id, minute, now, past): each reading's minute and the value ``minutes`` earlier, the first hit from -slack to +slack."""
+#: Minutes back that the shifted metrics compare with, by name.
+LAGS = {"modd": 24 * 60, "conga_1h": 60, "conga_2h": 120, "conga_4h": 240}
+
+
+def shifted(readings: DataFrame, lags: dict[str, int] = LAGS, slack: int = 5) -> DataFrame:
+    """(patient_id, lag, now, past): each reading's value and that of some minutes before, the first hit from -slack to +slack.
+
+    All lags and offsets are entered as keys of one table of probes, which meets the readings' minutes once.
+    """
     minute = F.floor(micros(F.col("ts")) / 60_000_000)
     by_minute = readings.groupBy("patient_id", minute.alias("minute")).agg(F.max(F.struct("ts", "id", "sgv")).alias("last")).select("patient_id", "minute", F.col("last.sgv").alias("past"))
-    probes = readings.select("patient_id", "id", F.col("sgv").alias("now"), minute.alias("at"), F.explode(F.sequence(F.lit(-slack), F.lit(slack))).alias("offset")).withColumn("minute", F.col("at") - minutes + F.col("offset"))
-    hits = probes.join(by_minute, ["patient_id", "minute"])
-    return hits.groupBy("patient_id", "id").agg(F.min(F.struct("offset", "past", "now")).alias("m")).select("patient_id", "m.past", "m.now")
+    back = F.array(*[F.struct(F.lit(name).alias("lag"), F.lit(o).alias("offset"), F.lit(o - m).alias("shift")) for name, m in lags.items() for o in range(-slack, slack + 1)])
+    probes = readings.select("patient_id", "id", F.col("sgv").alias("now"), minute.alias("at"), F.explode(back).alias("b"))
+    hits = probes.select("patient_id", "id", "now", "b.lag", "b.offset", (F.col("at") + F.col("b.shift")).alias("minute")).join(by_minute, ["patient_id", "minute"])
+    return hits.groupBy("patient_id", "lag", "id").agg(F.min(F.struct("offset", "past", "now")).alias("m")).select("patient_id", "lag", "m.past", "m.now")
+
+
+def _gated(counted: DataFrame, pairs: DataFrame, names: list[str], least_matches: int = 10) -> DataFrame:
+    """The shifted metrics and their numbers of matches, 0 where there are too few. counted: (patient_id, n)."""
+    d = F.col("now") - F.col("past")
+    of = lambda name, x: F.when(F.col("lag") == name, x)
+    value = {n: F.avg(of(n, F.abs(d))) if n == "modd" else F.stddev_samp(of(n, d)) for n in names}
+    got = pairs.groupBy("patient_id").agg(*[v.alias(n) for n, v in value.items()], *[F.count(of(n, d)).alias(f"matches_{n}") for n in names])
+    enough = {n: (F.col("n") >= (50 if n == "modd" else 20)) & (F.col(f"matches_{n}") >= least_matches) for n in names}
+    out = counted.select("patient_id", "n").join(got, "patient_id", "left")
+    return out.select("patient_id", *[F.when(enough[n], F.col(n)).otherwise(0.0).alias(n) for n in names], *[F.coalesce(f"matches_{n}", F.lit(0)).cast("long").alias(f"matches_{n}") for n in names])
 
 
-def _gated(readings: DataFrame, shifted: DataFrame, value, name: str, least_rows: int, least_matches: int = 10) -> DataFrame:
-    n = readings.groupBy("patient_id").agg(F.count("*").alias("n"))
-    got = shifted.groupBy("patient_id").agg(value.alias("v"), F.count("*").alias("matches"))
-    enough = (F.col("n") >= least_rows) & (F.col("matches") >= least_matches)
-    return n.join(got, "patient_id", "left").select("patient_id", F.when(enough, F.col("v")).otherwise(0.0).alias(name), F.coalesce("matches", F.lit(0)).cast("long").alias("matches"))
+def _one(readings: DataFrame, name: str, minutes: int) -> DataFrame:
+    counted = readings.groupBy("patient_id").agg(F.count("*").alias("n"))
+    return _gated(counted, shifted(readings, {name: minutes}), [name]).withColumnRenamed(f"matches_{name}", "matches")
 
 
 def modd(readings: DataFrame) -> DataFrame:
     """Mean absolute difference to the reading of a day before."""
-    return _gated(readings, _shifted(readings, 24 * 60), F.avg(F.abs(F.col("now") - F.col("past"))), "modd", 50)
+    return _one(readings, "modd", 24 * 60)
 
 
 def conga(readings: DataFrame, hours: int) -> DataFrame:
     """Standard deviation of the differences to the reading of some hours before."""
-    return _gated(readings, _shifted(readings, hours * 60), F.stddev_samp(F.col("now") - F.col("past")), f"conga_{hours}h", 20)
+    return _one(readings, f"conga_{hours}h", hours * 60)
 
 
 def glucose_variability(readings: DataFrame) -> DataFrame:
-    """All variability metrics in one row for each patient."""
-    out = metrics.cv_percent(readings)
-    for part in (mage(readings), modd(readings).drop("matches"), metrics.j_index(readings), metrics.m_value(readings), gvp(readings), *(conga(readings, h).drop("matches") for h in (1, 2, 4)), metrics.cogi(readings)):
+    """All variability metrics in one row for each patient.
+
+    The readings' four columns are written once and read by the one-row aggregates, the turning points, the steps and the
+    probe join.
+    """
+    r = written(readings.select("patient_id", "ts", "id", "sgv"))
+    sums = written(metrics.one_pass(r))
+    out = sums.select("patient_id", "cv_percent", "j_index", "m_value", "cogi")
+    for part in (_mage(turning_points(r), sums.select("patient_id", "sd")), gvp(r), _gated(sums, shifted(r), list(LAGS))):
         out = out.join(part, "patient_id")
-    return out
+    return out.select("patient_id", "cv_percent", "mage", "modd", "j_index", "m_value", "gvp", "conga_1h", "conga_2h", "conga_4h", "cogi")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
+from pyspark.sql import functions as F
+
 from sweetframe.operators import devices, episodes, outcomes, profiles, reports
 from sweetframe.plans import events
 from sweetframe.plans import glucose as g
 from sweetframe.plans import outcomes as o
 from sweetframe.plans import sources as s
 from sweetframe.plans._base import ORACLE_SQL, TABLES, query, readings
+from sweetframe.scratch import written
 from sweetframe.sources import cohort
 
 CELLS = " UNION ALL ".join(
@@ -35,10 +40,50 @@ def inner(name: str) -> str:
     return "SELECT *" + ORACLE_SQL[name].split(TABLES + "\nSELECT *", 1)[1]
 
 
-def _summary(spark, d):
-    r, t = readings(spark, d), cohort.treatments(spark, d)
-    hypo = episodes.hypo_report(episodes.hypo_episodes(r, t), r)
-    return reports.clinic_summary(r, hypo, profiles.insulin_carb_summary(t), episodes.change_points(events._bg_signal(spark, d)), t.where("event_type = 'Profile Switch'"))
+class Shared:
+    """The tables that the parts of a report share, each read from its source once and written for all parts.
+
+    Readings have the four or five columns that reports use; corrections have glucose before and after and their carbs;
+    patients are one row each. What a part gives by patient is written too, so that the report's last join reads small
+    tables only and no part runs twice.
+    """
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+        self.readings = written(readings(spark, d).select("patient_id", "id", "ts", "sgv", "direction"), "patient_id", "ts")
+        self.treatments = written(cohort.treatments(spark, d), "patient_id", "ts")
+
+    @cached_property
+    def documents(self):
+        return cohort.documents(self.spark, self.d)
+
+    @cached_property
+    def patients(self):
+        return written(self.readings.select("patient_id").distinct())
+
+    @cached_property
+    def settings(self):
+        return written(cohort.profile_settings(cohort.profiles(self.patients)))
+
+    @cached_property
+    def corrections(self):
+        kept = outcomes.realized(outcomes.assessed_corrections(self.treatments, self.readings)).where("not carbs_near or not carbs_apart")
+        return written(kept.select("patient_id", "id", "ts", "insulin", "pre_bg", "min_bg", "isf", "carbs_near", "carbs_apart"))
+
+    @cached_property
+    def effective(self):
+        return written(outcomes.effective(self.corrections.where("not carbs_near"), devices.sensitivity(self.documents)))
+
+    @cached_property
+    def hourly(self):
+        return written(profiles.hourly_mean(self.readings).select("patient_id", F.col("hour").alias("ts"), F.col("mean_mgdl").alias("value")))
+
+
+def _summary(shared):
+    r, t = shared.readings, shared.treatments
+    hypo = episodes.hypo_report(written(episodes.hypo_episodes(r, t)), r)
+    points = episodes.change_points(episodes.change_point_signal(shared.hourly, 0.25))
+    return reports.clinic_summary(r, hypo, profiles.insulin_carb_summary(t), points, t.where("event_type = 'Profile Switch'"))
 
 
 FINDINGS = {
@@ -58,22 +103,24 @@ FINDINGS = {
     "mean_mgdl cv_percent gmi_percent tir_percent tbr_lt70_percent tbr_lt54_percent tar_gt180_percent tar_gt250_percent titr_percent gri pct_active insulin_per_day carbs_per_day boluses_per_day",
 )
 def clinic_summary(spark, d):
-    return _summary(spark, d)
+    return _summary(Shared(spark, d))
 
 
 @query("clinic_packet")
 def clinic_packet(spark, d):
-    return reports.clinic_packet(_summary(spark, d), readings(spark, d))
+    shared = Shared(spark, d)
+    return reports.clinic_packet(written(_summary(shared)), shared.readings)
 
 
 def _features(spark, d):
-    r, t, ds = readings(spark, d), cohort.treatments(spark, d), cohort.devicestatus(spark, d)
-    samples = outcomes.effective_isf_samples(t, r, outcomes.sensitivity(ds))
-    settings = cohort.profile_settings(cohort.profiles(r))
-    return reports.synthesis_features(
-        r, profiles.current_glucose(r), devices.iob_cob_latest(ds), devices.algorithm_state(ds), outcomes.isf_check(t, r, settings), outcomes.effective_isf_check(samples, r), outcomes.effective_isf_bands(samples, r),
-        outcomes.carb_ratio_check(outcomes.carb_ratio_samples(t, r), settings), profiles.detect_patterns(r), episodes.compression_lows(episodes.compression_candidates(r, t)),
+    x = Shared(spark, d)
+    r, t = x.readings, x.treatments
+    cr = outcomes.carb_ratio_check(outcomes.carb_ratio_samples(t, r), x.settings)
+    parts = (
+        written(profiles.current_glucose(r)), devices.iob_cob_latest(x.documents), devices.algorithm_state(x.documents), written(outcomes.isf_check(x.corrections.where("not carbs_apart"), x.settings)),
+        written(outcomes.effective_isf_check(x.effective, x.patients)), written(outcomes.effective_isf_bands(x.effective, x.patients)), written(cr), written(profiles.detect_patterns(r)), episodes.compression_lows(episodes.compression_candidates(r, t)),
     )
+    return reports.synthesis_features(r, *parts)
 
 
 FEATURES = f"""
@@ -134,4 +181,4 @@ def synthesis_questions(spark, d):
     return reports.synthesis_questions(_features(spark, d))
 
 
-_ = (o, s)  # their SQL must be registered before this module's
+_ = (events, o, s)  # their SQL must be registered before this module's

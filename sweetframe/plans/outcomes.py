@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sweetframe.operators import outcomes
+from sweetframe.operators import devices, outcomes
 from sweetframe.plans._base import query, readings
 from sweetframe.sources import cohort
 
@@ -31,7 +31,7 @@ def _t(spark, d):
 
 
 def _sens(spark, d):
-    return outcomes.sensitivity(cohort.devicestatus(spark, d))
+    return devices.sensitivity(cohort.documents(spark, d))
 
 
 def _settings(spark, d):
@@ -92,7 +92,7 @@ CONFIDENCE = "CASE WHEN n < 3 THEN 'low' WHEN n < 8 THEN 'medium' ELSE 'high' EN
 
 @query("isf_check", f"SELECT *, derived_isf_mmol / profile_isf_mmol AS ratio, {CONFIDENCE} FROM (SELECT p.patient_id, count(isf) AS n, avg(isf) AS isf_mgdl, round(avg(isf) / 18.0, 1) AS derived_isf_mmol, 2.8::DOUBLE AS profile_isf_mmol FROM (SELECT DISTINCT patient_id FROM r) p LEFT JOIN ({samples(False)}) s USING (patient_id) GROUP BY 1)", "isf_mgdl derived_isf_mmol profile_isf_mmol ratio")
 def isf_check(spark, d):
-    return outcomes.isf_check(_t(spark, d), readings(spark, d), _settings(spark, d))
+    return outcomes.isf_check(outcomes.isf_samples(_t(spark, d), readings(spark, d)), _settings(spark, d))
 
 
 EFFECTIVE = f"SELECT *, round(isf / 18.0, 1) AS realized_mmol, CASE WHEN pre_bg < 100 THEN 'below_target' WHEN pre_bg < 180 THEN 'in_target' ELSE 'above_target' END AS band FROM ({with_sens(samples(True))})"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sweetframe.operators import devices, metrics, scans
 from sweetframe.plans._base import query, readings
+from sweetframe.scratch import written
 from sweetframe.sources import cohort, ingest
 
 SPAN = "'2024-01-05'", "'2024-01-20'"
@@ -120,31 +121,70 @@ IOB = "CASE WHEN k % 3 > 0 THEN v / 8 WHEN k % 2 = 0 THEN v / 4 END"
 
 @query("devicestatus_flat", f"SELECT patient_id, id, ts, {IOB} AS iob, CASE WHEN has_suggested THEN v10 END AS cob, CASE WHEN has_suggested THEN v + 50 END AS eventual_bg, CASE WHEN has_suggested THEN 100.0 END::DOUBLE AS target_bg, CASE WHEN has_suggested THEN 'a reason' END AS reason, NULL::DOUBLE AS enacted_rate, CASE WHEN k % 2 = 0 THEN k END::DOUBLE AS pump_battery, CASE WHEN k % 2 = 0 THEN v * 2 END AS reservoir, k::DOUBLE AS uploader_battery, k % 2 = 1 AS is_charging FROM ds", "iob cob eventual_bg target_bg pump_battery reservoir uploader_battery")
 def devicestatus_flat(spark, d):
-    return devices.devicestatus_flat(cohort.devicestatus(spark, d))
+    return devices.devicestatus_flat(cohort.documents(spark, d))
 
 
-@query("algorithm_state", "SELECT patient_id, id, ts, CASE WHEN k % 5 < 4 THEN 40 + v END AS variable_sens, CASE WHEN k % 5 = 4 THEN 2.5::DOUBLE END AS sens, v + 50 AS eventual_bg, 100.0::DOUBLE AS target_bg, CASE WHEN v > 190 THEN 12.0::DOUBLE END AS carbs_required, NULL::DOUBLE AS insulin_required, k % 2 = 0 AS dynamic_isf, NULL::VARCHAR AS algorithm, round(CASE WHEN k % 5 < 4 THEN 40 + v END / 18.0, 1) AS effective_isf_mmol, round((v + 50) / 18.0, 1) AS eventual_mmol FROM ds WHERE has_suggested", "variable_sens sens eventual_bg target_bg carbs_required effective_isf_mmol eventual_mmol")
+@query("algorithm_state", "SELECT patient_id, id, ts, CASE WHEN k % 5 < 4 THEN 40 + v END AS variable_sens, CASE WHEN k % 5 = 4 THEN 2.5::DOUBLE END AS sens, v + 50 AS eventual_bg, 100.0::DOUBLE AS target_bg, CASE WHEN v > 190 THEN 12.0::DOUBLE END AS carbs_required, NULL::DOUBLE AS insulin_required, k % 2 = 0 AS dynamic_isf, NULL::VARCHAR AS algorithm, NULL::DOUBLE AS current_bg, NULL::DOUBLE AS isf_for_carbs, NULL::DOUBLE AS sensitivity_ratio, NULL::DOUBLE AS smb_units, NULL::VARCHAR AS tick, 'a reason' AS reason, round(CASE WHEN k % 5 < 4 THEN 40 + v END / 18.0, 1) AS effective_isf_mmol, round((v + 50) / 18.0, 1) AS eventual_mmol FROM ds WHERE has_suggested", "variable_sens sens eventual_bg target_bg carbs_required effective_isf_mmol eventual_mmol")
 def algorithm_state(spark, d):
-    return devices.algorithm_state(cohort.devicestatus(spark, d))
+    return devices.algorithm_state(cohort.documents(spark, d))
+
+
+SHAPES = "SELECT patient_id, event_id AS id, ts, k, k % 8 AS s, floor(value) AS v FROM e WHERE event_type = 'error'"
+
+
+def _by_shape(kind: str, **of_shapes: str) -> str:
+    """CASE over the shapes: s0='...' gives the value of shape 0; null for others."""
+    cases = " ".join(f"WHEN {shape[1:]} THEN {value}" for shape, value in of_shapes.items())
+    return f"CAST(CASE s {cases} END AS {kind})"
+
+
+ALL_COLUMNS = {
+    "device": _by_shape("VARCHAR", s0="'pod-' || k"), "iob": _by_shape("DOUBLE", s0="v + 0.25", s1="v + 0.5", s2="CASE WHEN v <> 0 THEN v END", s3="k", s5="v + 0.125"),
+    "basal_iob": _by_shape("DOUBLE", s0="-0.5", s4="k", s5="0.5"), "insulin_activity": _by_shape("DOUBLE", s0="0.0125", s3="0.25"), "cob": _by_shape("DOUBLE", s0="k + 0.5", s1="k"),
+    "eventual_bg": _by_shape("DOUBLE", s0="-(v + 0.5)", s1="v"), "target_bg": _by_shape("DOUBLE", s0="110"), "reason": _by_shape("VARCHAR", s0="'because ' || k"),
+    "enacted_rate": _by_shape("DOUBLE", s0="1.25", s1="0.35", s3="0.15"), "enacted_minutes": _by_shape("DOUBLE", s0="45"), "enacted_minutes_left": _by_shape("DOUBLE", s0="15"),
+    "pump_battery": _by_shape("DOUBLE", s0="k", s5="k"), "pump_voltage": _by_shape("DOUBLE", s0="1.5"), "reservoir": _by_shape("DOUBLE", s0="v + 0.75", s2="4"),
+    "pump_status": _by_shape("VARCHAR", s0="'normal ' || k"), "active_profile": _by_shape("VARCHAR", s0="'P' || k"), "base_basal": _by_shape("DOUBLE", s0="0.55"), "last_bolus_at": _by_shape("VARCHAR", s0="'t' || k"),
+    "last_bolus": _by_shape("DOUBLE", s0="1.15"), "temp_basal": _by_shape("DOUBLE", s0="0.65"), "temp_basal_start": _by_shape("VARCHAR", s0="'s' || k"), "version": _by_shape("VARCHAR", s0="'v' || k"),
+    "uploader_battery": _by_shape("DOUBLE", s0="k", s1="k"), "is_charging": _by_shape("BOOLEAN", s0="true"),
+}
+
+
+@query("devicestatus_all_columns", f"SELECT patient_id, id, ts, {', '.join(f'{sql} AS {c}' for c, sql in ALL_COLUMNS.items())} FROM ({SHAPES})", " ".join(c for c, sql in ALL_COLUMNS.items() if "DOUBLE" in sql))
+def devicestatus_all_columns(spark, d):
+    return devices.devicestatus_summary(written(devices.typed(cohort.devicestatus_shapes(spark, d))))
+
+
+STATES = {
+    "current_bg": _by_shape("DOUBLE", s0="v"), "eventual_bg": _by_shape("DOUBLE", s0="-v", s1="v"), "target_bg": _by_shape("DOUBLE", s0="110"), "variable_sens": _by_shape("DOUBLE", s0="v"),
+    "isf_for_carbs": _by_shape("DOUBLE", s0="61"), "sensitivity_ratio": _by_shape("DOUBLE", s0="1.5", s3="0.85"), "insulin_required": _by_shape("DOUBLE", s0="0.75", s2="k + 0.5"), "carbs_required": _by_shape("DOUBLE", s0="k"),
+    "smb_units": _by_shape("DOUBLE", s0="0.4"), "algorithm": _by_shape("VARCHAR", s0="'A' || k"), "tick": _by_shape("VARCHAR", s0="'+' || k"), "reason": _by_shape("VARCHAR", s0="'because ' || k"),
+    "dynamic_isf": _by_shape("BOOLEAN", s0="false"), "sens": _by_shape("DOUBLE", s0="2.25", s3="3.5"), "effective_isf_mmol": _by_shape("DOUBLE", s0="round(v / 18.0, 1)"), "eventual_mmol": _by_shape("DOUBLE", s0="round(-v / 18.0, 1)", s1="round(v / 18.0, 1)"),
+}
+
+
+@query("algorithm_state_shapes", f"SELECT patient_id, id, ts, {', '.join(f'{sql} AS {c}' for c, sql in STATES.items())} FROM ({SHAPES}) WHERE s < 5", " ".join(c for c, sql in STATES.items() if "DOUBLE" in sql))
+def algorithm_state_shapes(spark, d):
+    return devices.algorithm_state(written(devices.typed(cohort.devicestatus_shapes(spark, d))))
 
 
 @query("bg_predictions", "SELECT patient_id, id, ts, 'IOB' AS trajectory, CAST(15 AS INT) AS minutes, CAST(v + 40 AS INT) AS last_bg FROM ds WHERE has_suggested")
 def bg_predictions(spark, d):
-    return devices.bg_predictions(cohort.devicestatus(spark, d))
+    return devices.bg_predictions(cohort.documents(spark, d))
 
 
 @query(
     "iob_cob_latest",
-    f"SELECT p.patient_id, ts, iob, cob, coalesce(source, 'unavailable') AS source FROM (SELECT DISTINCT patient_id FROM ds) p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY n) AS m FROM (SELECT patient_id, ts, {IOB} AS iob, CASE WHEN has_suggested THEN v10 END AS cob, CASE WHEN k % 3 > 0 THEN 'openaps' WHEN k % 2 = 0 THEN 'pump' ELSE 'openaps' END AS source, {NTH} AS n FROM ds) WHERE n <= 5 AND (iob IS NOT NULL OR cob IS NOT NULL)) b ON b.patient_id = p.patient_id AND m = 1",
+    f"SELECT p.patient_id, ts, iob, cob, coalesce(source, 'unavailable') AS source FROM (SELECT DISTINCT patient_id FROM ds) p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY n) AS m FROM (SELECT patient_id, ts, {IOB} AS iob, CASE WHEN has_suggested THEN v10 END AS cob, CASE WHEN k % 3 > 0 OR has_suggested THEN 'openaps' ELSE 'pump' END AS source, {NTH} AS n FROM ds) WHERE n <= 5 AND (iob IS NOT NULL OR cob IS NOT NULL)) b ON b.patient_id = p.patient_id AND m = 1",
     "iob cob",
 )
 def iob_cob_latest(spark, d):
-    return devices.iob_cob_latest(cohort.devicestatus(spark, d))
+    return devices.iob_cob_latest(cohort.documents(spark, d))
 
 
 @query("device_status_best", f"SELECT patient_id, id, ts, tier FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY tier, n) AS m FROM (SELECT *, CAST(CASE WHEN has_suggested OR k % 3 > 0 THEN 0 WHEN k % 2 = 0 THEN 1 ELSE 2 END AS INT) AS tier, {NTH} AS n FROM ds) WHERE n <= 10) WHERE m = 1")
 def device_status_best(spark, d):
-    return devices.device_status_best(cohort.devicestatus(spark, d))
+    return devices.device_status_best(cohort.documents(spark, d))
 
 
 @query("ingest_classify", "SELECT collection, count(*) AS n FROM (SELECT CASE event_type WHEN 'purchase' THEN 'treatments' WHEN 'error' THEN 'devicestatus' ELSE 'entries' END AS collection FROM events) GROUP BY 1")

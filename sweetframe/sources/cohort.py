@@ -9,6 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sweetframe.operators import devices
+from sweetframe.scratch import written
+
 READINGS_JSON = "_id STRING, sgv INT, date LONG, dateString STRING, direction STRING, type STRING, device STRING, patient_id LONG"
 TREATMENTS_JSON = (
     "_id STRING, eventType STRING, created_at STRING, insulin DOUBLE, carbs DOUBLE, duration DOUBLE, absolute DOUBLE, percent DOUBLE, "
@@ -108,6 +111,33 @@ def devicestatus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("patient_id", F.col("event_id").alias("id"), "ts", doc.alias("doc"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controller documents as ingestion stores them: parsed once, typed columns as Parquet."""
+    return written(devices.typed(devicestatus(spark, sf_dir)))
+
+
+def devicestatus_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A controller document of one of eight shapes for each 'error' event, by k % 8, as different uploaders send them.
+
+    0: all fields; 1: a loop's; 2: nothing decided, only done; 3: decided with two rare fields, done with more; 4: blobs and
+    texts of wrong types; 5: an empty blob before the pump's; 6: no JSON; 7: an empty document.
+    """
+    e = _events(spark, sf_dir).where("event_type = 'error'").withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("v", F.floor("value"))
+    shapes = (
+        """{"device":"pod-%k","isCharging":true,"uploaderBattery":%k,"uploader":{"battery":3},"openaps":{"iob":{"iob":%v.25,"basaliob":-0.5,"activity":0.0125},"suggested":{"bg":%v.9,"eventualBG":-%v.5,"targetBG":110,"tick":"+%k","COB":%k.5,"variable_sens":%v,"isfMgdlForCarbs":61,"sensitivityRatio":1.5,"insulinReq":0.75,"carbsReq":%k,"units":0.4,"reason":"because %k","runningDynamicIsf":false,"algorithm":"A%k","sens":2.25,"predBGs":{"IOB":[%v,91,92],"ZT":[93]}},"enacted":{"rate":1.25,"duration":45,"minutesRemaining":15,"bg":1,"predBGs":{"COB":[1]}}},"pump":{"battery":{"percent":%k,"voltage":1.5},"reservoir":%v.75,"status":{"status":"normal %k"},"extended":{"ActiveProfile":"P%k","BaseBasalRate":0.55,"LastBolus":"t%k","LastBolusAmount":1.15,"TempBasalAbsoluteRate":0.65,"TempBasalStart":"s%k","Version":"v%k"},"iob":77}}""",
+        """{"loop":{"iob":{"iob":%v.5},"cob":{"cob":%k},"recommended":{"eventualBG":%v,"predBGs":{"UAM":[5,%k]}},"enacted":{"rate":0.35}},"uploader":{"battery":%k}}""",
+        """{"openaps":{"iob":%v,"suggested":{},"enacted":{"insulinReq":%k.5,"reason":null,"COB":9,"predBGs":{"COB":[7,8,%v]}}},"pump":{"reservoir":4}}""",
+        """{"openaps":{"suggested":{"sensitivityRatio":0.85,"tick":-2,"sens":3.5},"enacted":{"bg":%v,"variable_sens":90,"rate":0.15}},"pump":{"iob":{"iob":%k,"activity":0.25}}}""",
+        """{"device":5,"isCharging":"yes","uploaderBattery":"88","openaps":{"iob":{"basaliob":%k,"iob":"1.5"},"suggested":{"COB":"4","eventualBG":true,"reason":12}},"pump":{"iob":%v,"battery":90,"status":"fine"}}""",
+        """{"openaps":{"iob":{},"suggested":[]},"loop":{"iob":0},"pump":{"iob":{"iob":%v.125,"basaliob":0.5},"battery":{"percent":%k}}}""",
+        "{no json %k",
+        "{}",
+    )
+    doc = F.get(F.array(*map(F.lit, shapes)), F.col("k") % 8)
+    filled = F.replace(F.replace(doc, F.lit("%k"), F.col("k").cast("string")), F.lit("%v"), F.col("v").cast("string"))
+    return e.select("patient_id", F.col("event_id").alias("id"), "ts", filled.alias("doc"))
+
+
 def profiles(patients: DataFrame) -> DataFrame:
     """One constant profile document for each patient."""
     schedule = lambda value: F.array(F.struct(F.lit("00:00").alias("time"), F.lit(value).alias("value")))

@@ -5,18 +5,22 @@ the longest run of words ending there that occurs in some template (the matching
 suffix links all shorter runs with the places where templates hold them. So each template has its own longest runs, also
 where another template shares the wording and more. Runs of at least ``least`` words are chained: runs on one template that
 come in the template's order with small gaps form a covered span, and a span that covers enough of the template's words (or
-one long run) gives the template's label. A span inside another one that covers as many words or more, and more of its template, gives none: a
-notice that names one variant of a licence reads like those that name others.
+one long run) gives the template's label, if it holds a telling run: ``least`` words in a row that only templates of this
+label have. Openings that several licences share ("this work is licensed under") tell nothing. A span inside another one
+that covers as many words or more, and more of its template, gives none: a notice that names one variant of a licence reads
+like those that name others.
 
 Defined cases: null and empty texts have no words and score 0; of equal spans of several labels each gives its label;
 repeated rows get the same answer each; very long texts are streamed like others; words outside all templates reset the
-automaton; an empty table gives no rows.
+automaton; an empty table gives no rows. Only a column is added, under the name that the caller gives it, so that no name
+can clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -169,7 +173,15 @@ class Scanner:
         self.phrases = [(split_words(p), label) for p, label in phrases]
         self.ids = {w: i for i, w in enumerate(sorted({w for ws in [*words, *(p for p, _ in self.phrases)] for w in ws}))}
         self.sizes = [len(w) for w in words]
-        self.automaton = SuffixAutomaton([[self.ids[w] for w in ws] for ws in words])
+        sequences = [[self.ids[w] for w in ws] for ws in words]
+        self.automaton = SuffixAutomaton(sequences)
+        windows = [[tuple(x[i : i + least]) for i in range(len(x) - least + 1)] for x in sequences]
+        owners: dict[tuple[int, ...], set[str]] = {}
+        for label, own in zip(self.labels, windows, strict=True):
+            for window in own:
+                owners.setdefault(window, set()).add(label)
+        #: By template: how many windows before each place only this label's templates have.
+        self.telling = [[0, *accumulate(len(owners[w]) == 1 for w in own)] for own in windows]
 
     def places(self, ids: np.ndarray) -> list[tuple[int, str]]:
         """Each place where a phrase's words stand consecutively."""
@@ -203,17 +215,18 @@ class Scanner:
         for t, a, b, n in self.runs(ids):
             by_template.setdefault(t, []).append((a, b, n))
         for t, runs in by_template.items():
-            chains: list[list[int]] = []  # first word, end in the text, end in the template, words covered, longest run
+            chains: list[list[int]] = []  # first word, end in the text, end in the template, words covered, longest run, telling windows
             near: list[list[int]] = []  # those that end within the gap of the run's start, or later
             for a, b, n in sorted(runs):
                 near = [c for c in near if a - c[1] <= self.gap]
+                tells = self.telling[t][b + n - self.least + 1] - self.telling[t][b]
                 fit = next((c for c in reversed(near) if a >= c[1] and b >= c[2] and a - c[1] <= self.gap and b - c[2] <= self.gap), None)
                 if fit:
-                    fit[1:] = [a + n, b + n, fit[3] + n, max(fit[4], n)]
+                    fit[1:] = [a + n, b + n, fit[3] + n, max(fit[4], n), fit[5] + tells]
                 else:
-                    chains.append([a, a + n, b + n, n, n])
+                    chains.append([a, a + n, b + n, n, n, tells])
                     near.append(chains[-1])
-            out += [(c[0], -c[1], c[3], c[3] / self.sizes[t], self.labels[t]) for c in chains if c[3] >= self.cover * self.sizes[t] or c[4] >= self.long_run]
+            out += [(c[0], -c[1], c[3], c[3] / self.sizes[t], self.labels[t]) for c in chains if c[5] and (c[3] >= self.cover * self.sizes[t] or c[4] >= self.long_run)]
         # by start, the widest and best first: whatever may drop a span comes before it
         kept: list[tuple[int, int, int, float, str]] = []
         open_: list[tuple[int, int, int, float, str]] = []

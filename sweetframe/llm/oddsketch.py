@@ -1,18 +1,18 @@
 """MinHash near-duplicate groups with odd sketches.
 
 A text is the set of its distinct word shingles; two texts are linked if the Jaccard similarity of their sets is
-``similar`` or more. Of each set 180 MinHash samples are taken. Sets that share one of 30 bands of six samples are
-candidates, which a pair at 0.85 does with a probability of 1 - 7e-7 and a nearer one more surely. The samples are also folded into an odd sketch,
-1,024 bits of which each sample flips one: samples that two sets share cancel in the XOR of their sketches, so that its
-population count tells how many differ, and with it the similarity, the more precisely the higher it is. Candidates whose
-count lies beyond what a pair at ``similar`` shows, but for one pair in a million, are let go; the others are confirmed on
-the full sets, so that no link is false.
-
-Equal sets are one node (told by 128 bits), so that copies cost nothing. Large groups of near copies are linked by stars first: each
-node meets one hub, of the hubs of its bands the nearest by sketch; a band's hub is its node with the most band mates, as the text that copies were made
-from shares more bands with each of them than they do with each other. Only nodes of a band that the stars leave in different
-components are then compared by sketch, inside the tasks, and only pairs that pass are shuffled. A band of more than ``_BLOCK`` such
-nodes is compared in pairs of blocks, each in a task of its own.
+``similar`` or more. Of each set 175 or 180 MinHash samples are taken. Sets that share a band of samples (30 bands of six
+for 0.85, 35 of five for 0.8) are candidates, which a pair at ``similar`` misses once in a million and nearer ones less
+often. The samples are also folded into an odd sketch, 1,024 bits of which each sample flips one: samples that two sets
+share cancel in the XOR of their sketches, so that its population count tells how many differ, and with it the similarity,
+the more precisely the higher it is. Candidates whose count lies beyond what a pair at ``similar`` shows, but for one pair
+in a million, are let go; the others are confirmed on the full sets, so that no link is false.
+
+Equal sets are one node (told by 128 bits), so that copies cost nothing. Large groups of near copies are linked by stars
+first: each node meets one hub, of the hubs of its bands the nearest by sketch; a band's hub is its node with the most band
+mates, as the text that copies were made from shares more bands with each of them than they do with each other. Only nodes
+of a band that the stars leave in different components are then compared by sketch, inside the tasks, and only pairs that
+pass are shuffled. A band of more than ``_BLOCK`` such nodes is compared in pairs of blocks, each in a task of its own.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and stay alone even if their id is shared; a
 text with fewer words than a shingle has one, all its words; repeated rows stay, each with the same answer; a null id never
@@ -24,62 +24,72 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sweetframe.llm._common import bounded_batches, cut
 from sweetframe.llm.components import components
 from sweetframe.llm.simhash import shingle_hashes
 
-_BANDS, _ROWS, _BITS = 30, 6, 1024
-_FACTORS = np.random.default_rng(20240613).integers(0, 2**63, _BANDS * _ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BITS, _MISS = 1024, 1e-6
+_FACTORS = np.random.default_rng(20240613).integers(0, 2**63, 180, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 1 << 13  # nodes of a band that are compared in one task
 _SHORT = 32  # slots of up to so many rows are compared all at once
 _SMALL = 1 << 20  # rows of ids and hashes up to which they are broadcast
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
-    """The least of the set's hashes under each of the hash functions."""
-    least = np.full(len(_FACTORS), np.uint64(2**64 - 1))
+@cache
+def bands_for(similar: tuple[int, int]) -> tuple[int, int]:
+    """(bands, samples of a band) with which a pair that similar shares no band once in a million."""
+    s = similar[0] / similar[1]
+    if not 0.8 <= s <= 1:
+        raise ValueError("bands of few samples are for similarities of 0.8 or more")
+    rows = 6 if s >= 0.85 else 5
+    return (ceil(log(_MISS) / log1p(-(s**rows))) if s < 1 else 1), rows
+
+
+def samples(shingles: np.ndarray, n: int = 180) -> np.ndarray:
+    """The least of the set's hashes under each of n hash functions."""
+    factors = _FACTORS[:n]
+    least = np.full(n, np.uint64(2**64 - 1))
     for i in range(0, len(shingles), 256):
-        np.minimum(least, (shingles[i : i + 256, None] * _FACTORS).min(axis=0), out=least)
+        np.minimum(least, (shingles[i : i + 256, None] * factors).min(axis=0), out=least)
     return least
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """A signed 64-bit key of each band of the samples."""
+def band_keys(own: np.ndarray, rows: int) -> np.ndarray:
+    """A signed 64-bit key of each band of so many samples."""
     from xxhash import xxh64_intdigest
 
-    return np.array([xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(own.reshape(_BANDS, _ROWS))], np.uint64).view(np.int64)
+    return np.array([xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(own.reshape(-1, rows))], np.uint64).view(np.int64)
 
 
 def odd_sketch(own: np.ndarray) -> bytes:
     """The samples' parity bitmap: each sample, with its place, flips one bit."""
-    x = (own ^ (own >> np.uint64(31))) + _FACTORS
+    x = (own ^ (own >> np.uint64(31))) + _FACTORS[: len(own)]
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     bits = ((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - _BITS.bit_length() + 1)
     return np.packbits((np.bincount(bits.astype(np.int64), minlength=_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def estimate(differing: np.ndarray | int) -> np.ndarray | float:
-    """The similarity that a population count of the XOR of two sketches stands for."""
+def estimate(differing: np.ndarray | int, n: int = 180) -> np.ndarray | float:
+    """The similarity that a population count of the XOR of two sketches of n samples stands for."""
     flips = np.log1p(-np.minimum(2 * np.asarray(differing) / _BITS, 1 - 1 / _BITS)) / np.log1p(-2 / _BITS)
-    return 1 - flips / 2 / len(_FACTORS)
+    return 1 - flips / 2 / n
 
 
 @cache
-def most_differing(similar: float, miss: float = 1e-6) -> int:
-    """The least count that a pair with that similarity exceeds with a probability of at most ``miss``.
+def most_differing(similar: float, samples: int = 180) -> int:
+    """The least count that a pair with that similarity exceeds once in a million at most.
 
     The number of differing samples is binomial, each flips two bits at random places.
     """
-    from math import comb
-
-    k, n = len(_FACTORS), _BITS
+    k, n = samples, _BITS
     up, down = (n - np.arange(n + 1)) / n, np.arange(n + 1) / n
     now, total = np.zeros(n + 1), np.zeros(n + 1)
     now[0] = 1
@@ -91,15 +101,16 @@ def most_differing(similar: float, miss: float = 1e-6) -> int:
             new[:-1] += now[1:] * down[1:]
             now = new
     beyond = total[::-1].cumsum()[::-1]  # P(count >= i)
-    return int(np.flatnonzero(beyond <= miss)[0]) - 1
+    return int(np.flatnonzero(beyond <= _MISS)[0]) - 1
 
 
 def shingle_set(text: str | bytes | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def signature(text: Column, size: int = 3) -> Column:
+def signature(text: Column, size: int, similar: tuple[int, int]) -> Column:
     """struct<node, n_shingles, bands, sketch> of the set of the text's shingles; without words, a null node and no bands."""
+    bands, of_band = bands_for(similar)
     bounded_batches(SparkSession.active(), rows=500, mb=2)
 
     @F.pandas_udf("struct<node: binary, n_shingles: bigint, bands: array<bigint>, sketch: binary>")
@@ -111,8 +122,8 @@ def signature(text: Column, size: int = 3) -> Column:
             for t in texts:
                 own = shingle_set(t, size)
                 if len(own):
-                    least = samples(own)
-                    rows.append((xxh3_128_digest(own.tobytes()), len(own), band_keys(least), odd_sketch(least)))
+                    least = samples(own, bands * of_band)
+                    rows.append((xxh3_128_digest(own.tobytes()), len(own), band_keys(least, of_band), odd_sketch(least)))
                 else:
                     rows.append((None, 0, [], None))
             yield pd.DataFrame(rows, columns=["node", "n_shingles", "bands", "sketch"])
@@ -233,19 +244,10 @@ class _Sets:
         return pairs.join(u, "u").join(v, "v").where(common * whole >= (F.size("u_set") + F.size("v_set") - common) * part).select("u", "v")
 
 
-def near_groups(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 3, similar: tuple[int, int] = (85, 100)) -> DataFrame:
-    """(key, n_shingles, component_id, kept) of each row of docs.
-
-    component_id: the least key that the row's text reaches over links; kept: whether that is the row's own key.
-    similar: the least Jaccard similarity of a link as a fraction, 0.85 or more (below, bands would miss links).
-    """
-    if similar[0] * 20 < similar[1] * 17:
-        raise ValueError("30 bands of six samples are for similarities of 0.85 or more")
-    most = most_differing(similar[0] / similar[1])
-    texts = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias("text"))
-    signed = cut(texts.select("id", "hash", signature(F.col("text"), size).alias("s")).select("id", "hash", "s.*"))
-    sets = _Sets(texts, signed.select("id", "hash", "node"), size, similar)
-
+def _linked(signed: DataFrame, sets: _Sets, similar: tuple[int, int]) -> DataFrame:
+    """(node, component) of the nodes that have a similar one."""
+    bands, of_band = bands_for(similar)
+    most = most_differing(similar[0] / similar[1], bands * of_band)
     entries = signed.select("node", F.explode("bands").alias("band")).distinct()
     shared = entries.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1")
     entries = cut(entries.join(shared, "band"))
@@ -275,10 +277,49 @@ def near_groups(docs: DataFrame, *, text: str = "text", key: str = "doc_id", siz
     if not pairs.isEmpty():
         more = cut(sets.confirmed(pairs))
         found = cut(components(links.unionByName(more)))
+    return found
+
+
+def _signed(docs: DataFrame, text: str, key: str, size: int, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(id, hash, node, n_shingles, bands, sketch) of the rows, written; and the nodes' components."""
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias("text"))
+    signed = cut(texts.select("id", "hash", signature(F.col("text"), size, similar).alias("s")).select("id", "hash", "s.*"))
+    return signed, _linked(signed, _Sets(texts, signed.select("id", "hash", "node"), size, similar), similar)
+
+
+def near_groups(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 3, similar: tuple[int, int] = (85, 100)) -> DataFrame:
+    """(key, n_shingles, component_id, kept) of each row of docs.
 
+    component_id: the least key that the row's text reaches over links; kept: whether that is the row's own key.
+    similar: the least Jaccard similarity of a link as a fraction, 0.8 or more.
+    """
+    signed, found = _signed(docs, text, key, size, similar)
     least = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(ids, "component").select(F.col("node").alias("own_node"), "component_id")
     out = signed.join(named, F.col("node") == F.col("own_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5, similar: tuple[int, int] = (80, 100)) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the least key (nulls first, then the least text hash).
+
+    Texts without words are a group of their own. Only keys and hashes are grouped; texts move once, to meet the rows that
+    go, if those are too many to broadcast. Columns of any name stay.
+    """
+    signed, found = _signed(docs, text, key, size, similar)
+    same = lambda a, b: a["key"].eqNullSafe(b["key"]) & a["hash"].eqNullSafe(b["hash"])
+    rows = signed.join(found, "node", "left").select(F.col("id").alias("key"), "hash", F.coalesce("component", "node", F.lit(b"")).alias("component"))
+    rows = cut(rows.groupBy("component", "key", "hash").agg(F.count("*").alias("times")))
+    first = rows.groupBy("component").agg(F.min(F.struct("key", "hash")).alias("first"))
+    times = rows.join(first, "component").select("key", "hash", F.struct("key", "hash").eqNullSafe(F.col("first")).alias("stays"), "times")
+    times = cut(times.where("not stays or times > 1"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
+    gone, twice = times.where("not stays").select("key", "hash"), times.where("stays").select("key", "hash")
+    kept = whole.join(gone, same(whole, gone), "left_anti")
+    if not twice.isEmpty():  # rows repeated in full: one of them stays
+        nth = F.row_number().over(Window.partitionBy("key", "hash").orderBy("key"))
+        copies = kept.join(twice, same(kept, twice), "left_semi").withColumn("n", nth).where("n = 1").drop("n")
+        kept = kept.join(twice, same(kept, twice), "left_anti").unionByName(copies)
+    return kept.select("row.*")

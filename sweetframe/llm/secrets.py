@@ -7,7 +7,7 @@ between them. The join is an interval join by a sorted sweep over the parts of e
 
 Defined cases: null and empty texts have no span; spans are in code points, end exclusive; spans of one kind don't
 overlap; a weak part that overlaps a strong span is not reported again; equal spans of two kinds are both reported, in the
-order of the kinds; very long texts and parts are scanned whole; repeated rows get the same answer each; an empty table
+order of the kinds; ties of parts link alike, as every part within reach counts; very long texts and parts are scanned whole; repeated rows get the same answer each; an empty table
 gives no rows. Only a column is added, under the name that the caller gives it, so that no name can clash.
 """
 
@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from math import log2
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -30,17 +32,25 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 
-# Weak parts. An identifier names an account or a key, a key is a string with digits and letters of both cases (or long
-# and mixed), an endpoint is an address that credentials go to.
+# Weak parts. An identifier names an account or a key, a key is a string with letters of both cases and two digits, or one
+# digit and characters that are spread as those of random strings are, an endpoint is an address that credentials go to.
 _ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|key_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}=*(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}", re.ASCII)
 _SCOPE_END = re.compile(r"\n[\x20\x09-\x0D]*\n")
-_KEY_HINT = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9].*[0-9])", re.ASCII | re.DOTALL)
+_KEY_HINT = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])", re.ASCII | re.DOTALL)
+_TWO_DIGITS = re.compile(r"[0-9].*[0-9]", re.DOTALL)
+_BITS = 3.5  # of entropy a character: random strings of 16 characters have about 3.8, longer ones more
 
 Span = tuple[int, int, int]  # start, kind, end
 
 
+def entropy(part: str) -> float:
+    """Bits a character by the part's own counts of characters."""
+    n = len(part)
+    return -sum(k / n * log2(k / n) for k in Counter(part).values())
+
+
 def strong_spans(text: str) -> list[Span]:
     low = text.lower()
     spans: list[Span] = []
@@ -61,7 +71,7 @@ def weak_parts(text: str) -> list[Span]:
         if "://" in text:
             parts += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
     if any(c in text for c in "0123456789"):
-        parts += [(m.start(), 4, m.end()) for m in _KEY.finditer(text) if _KEY_HINT.match(m[0])]
+        parts += [(m.start(), 4, m.end()) for m in _KEY.finditer(text) if _KEY_HINT.match(m[0]) and (_TWO_DIGITS.search(m[0]) or entropy(m[0].rstrip("=")) >= _BITS)]
     return sorted(parts)
 
 

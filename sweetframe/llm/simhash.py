@@ -4,15 +4,8 @@ Texts become fingerprints by a majority vote over the hashes of their word shing
 near fingerprints: each is entered under the small Hamming ball around each of its segments, whatever shares a table entry
 is compared in full, and pairs within a given distance are linked. Groups are the connected components of those links.
 
-The near-dedup stage (``one_of_each``) decides by the shingle sets themselves: candidates share one of 30 bands of six
-MinHash values, which a pair with a Jaccard similarity of 0.8 does with a probability of 0.9999, and links are candidates
-whose similarity, counted exactly, is 0.8 or more.
-
-Two layouts are given for groups by fingerprints alone. ``NARROW`` has 64 bits in two segments of 32: at most 4 differing bits leave at most 2 in one half,
-and balls of radius 1 around both halves meet, so that no link is missed. ``WIDE`` is for word shingles with a similarity
-of 0.8 or more, which 64 bits can't tell from less: two sets of shingles with Jaccard similarity j differ in a share
-acos(2 j / (1 + j)) / pi of the bits, 0.15 at 0.8, so of 256 bits in 39 on average; links are made up to 46. Its tables on
-six segments of 18 bits find a pair at 0.8 with a probability of 0.98, and nearer ones more surely.
+``NARROW`` has 64 bits in two segments of 32: at most 4 differing bits leave at most 2 in one half, and balls of radius 1
+around both halves meet, so that no link is missed.
 
 Equal fingerprints are merged first, so that copies cost nothing; a table entry yields a spanning forest of its links, not
 all its pairs. An entry's memory is a few words for each distinct fingerprint in it.
@@ -26,13 +19,13 @@ the least one; an empty table gives no rows; other columns come out as they are,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweetframe.llm._common import bounded_batches, cut, freed
@@ -77,29 +70,6 @@ def fingerprint(text: Column, size: int = 5, seed: int = 42) -> Column:
     return prints.asNondeterministic()(text)
 
 
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Further hash bits of each hash, by a multiply-xorshift finisher; k = 0: the hashes themselves."""
-    if not k:
-        return hashes
-    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_fingerprint(text: Column, size: int = 5, words: int = 4, seed: int = 42) -> Column:
-    """The text's fingerprint of ``words`` x 64 bits as an array, over the set of its shingles."""
-    bounded_batches(SparkSession.active())
-
-    @F.pandas_udf("array<bigint>")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            sets = (np.unique(shingle_hashes(t, size, seed)) for t in texts)
-            yield pd.Series([[majority(_mixed(h, k)) for k in range(words)] for h in sets])
-
-    return prints.asNondeterministic()(text)
-
-
 @dataclass(frozen=True)
 class Layout:
     """words: 64-bit words of a fingerprint. segments: (word, first bit, bits). Two balls of ``radius`` meet at twice that."""
@@ -111,7 +81,6 @@ class Layout:
 
 
 NARROW = Layout(1, ((0, 0, 32), (0, 32, 32)), 1, 4)
-WIDE = Layout(4, ((0, 0, 18), (0, 18, 18), (0, 36, 18), (1, 0, 18), (1, 18, 18), (1, 36, 18)), 1, 46)
 
 
 def _ball(bits: int, radius: int) -> np.ndarray:
@@ -224,124 +193,3 @@ def group(rows: DataFrame, layout: Layout = NARROW, key: str = "doc_id") -> Data
 
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-#: Of the near-dedup stage: bands of ``_ROWS`` minima each, and the least Jaccard similarity of a link as a fraction.
-_BANDS, _ROWS, _SIMILAR = 30, 6, (4, 5)
-_FACTORS = np.random.default_rng(20240229).integers(0, 2**63, _BANDS * _ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A signed 64-bit key of each band: two sets with similarity j share a band's key with probability j ** _ROWS."""
-    from xxhash import xxh64_intdigest
-
-    least = np.full(len(_FACTORS), np.uint64(2**64 - 1))
-    for i in range(0, len(shingles), 1_024):
-        np.minimum(least, (shingles[i : i + 1_024, None] * _FACTORS).min(axis=0), out=least)
-    return np.array([xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(_BANDS, _ROWS))], np.uint64).view(np.int64)
-
-
-def node_and_bands(text: Column, size: int = 5) -> Column:
-    """struct<node, bands>: a hash of the set of the text's shingles, and its band keys."""
-    bounded_batches(SparkSession.active(), rows=500, mb=2)
-
-    @F.pandas_udf("struct<node: bigint, bands: array<bigint>>")
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            own = [np.unique(shingle_hashes(t, size)) for t in texts]
-            yield pd.DataFrame({"node": [_set_hash(h) for h in own], "bands": [band_keys(h) for h in own]})
-
-    return keys.asNondeterministic()(text)
-
-
-def _set_hash(shingles: np.ndarray) -> int:
-    from xxhash import xxh64_intdigest
-
-    return int(np.uint64(xxh64_intdigest(shingles.tobytes())).view(np.int64))
-
-
-def shingle_set(text: Column, size: int = 5) -> Column:
-    """The set of the text's shingles, as an array of hashes."""
-    bounded_batches(SparkSession.active(), rows=500, mb=2)
-
-    @F.pandas_udf("array<bigint>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.unique(shingle_hashes(t, size)).view(np.int64) for t in texts])
-
-    return sets.asNondeterministic()(text)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard similarity of 0.8 or more, counted exactly."""
-    u, v = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
-    common = F.size(F.array_intersect("u_set", "v_set"))
-    part, whole = _SIMILAR
-    near = pairs.join(u, "u").join(v, "v").where(F.least(F.size("u_set"), F.size("v_set")) * whole >= F.greatest(F.size("u_set"), F.size("v_set")) * part)
-    return near.where(common * whole >= (F.size("u_set") + F.size("v_set") - common) * part).select("u", "v")
-
-
-def similar_sets(hashed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame | None:
-    """(node, component) of the nodes with a similar one; None if there are none.
-
-    hashed: node and bands; sets_of gives (node, shingles) of the nodes of a table, which is asked for candidates only.
-
-    Nodes that share a band are candidates. All of a band meet one of them first, in ``stars`` rounds, each with another
-    one; then every pair of nodes that share a band and still lie in two components is compared. So each candidate pair is
-    verified or already connected by verified links, while a large group of near copies costs a few comparisons a node.
-    """
-    entries = hashed.select("node", F.explode("bands").alias("key")).distinct()
-    entries = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
-    sets = cut(sets_of(entries.select("node").distinct()))
-    found = tested = None
-    for turn in range(stars + 1):
-        now = entries.withColumn("component", F.col("node")) if found is None else entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("one"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        if turn < stars:
-            pairs = now.join(mixed.select("key", "one.node", "one.component").toDF("key", "other", "other_component"), "key").where("component <> other_component")
-        else:
-            now = cut(now.join(mixed.select("key"), "key"))
-            parts = now.select("key", "component").distinct()
-            both = parts.join(parts.withColumnRenamed("component", "other_component"), "key").where("component < other_component")
-            pairs = now.join(both, ["key", "component"]).join(now.toDF(*(f"other_{c}" if c != "key" else c for c in now.columns)), ["key", "other_component"]).withColumnRenamed("other_node", "other")
-        pairs = pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        if pairs.isEmpty():  # the one of a band may be an earlier turn's; the last turn has all pairs
-            continue
-        links = cut(_verified(pairs, sets))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not links.isEmpty():
-            found = cut(components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))))
-    return found
-
-
-def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the least key (nulls first, then the least text hash).
-
-    Groups are connected by links between texts whose sets of ``size``-word shingles have a Jaccard similarity of 0.8 or
-    more. Only keys and hashes are grouped; texts move once, to meet the rows that stay.
-    """
-    own = lambda: docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
-    same = lambda a, b: a["key"].eqNullSafe(b["key"]) & a["hash"].eqNullSafe(b["hash"])
-    hashed = cut(own().select("key", "hash", node_and_bands(F.col(f"row.{text}"), size).alias("s")).select("key", "hash", "s.*"))
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        """Shingles anew from one text of each node, so that they are never written for all texts."""
-        one = hashed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "hash")).alias("one")).select("node", "one.*")
-        texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
-        return texts.join(one, same(texts, one)).select("node", shingle_set(F.col("text"), size).alias("shingles")).dropDuplicates(["node"])
-
-    found = similar_sets(hashed, sets_of)
-    rows = hashed.select("key", "hash", "node")
-    rows = cut(rows.withColumn("component_id", F.col("node")) if found is None else rows.join(found, "node", "left").select("key", "hash", F.coalesce("component", "node").alias("component_id")))
-    first = rows.groupBy("component_id").agg(F.min(F.struct("key", "hash")).alias("first"))
-    times = rows.groupBy("component_id", "key", "hash").agg(F.count("*").alias("times")).join(first, "component_id")
-    times = cut(times.select("key", "hash", F.struct("key", "hash").eqNullSafe(F.col("first")).alias("stays"), "times").where("not stays or times > 1"))
-    whole, gone = own(), times.where("not stays").select("key", "hash")
-    kept = whole.join(gone, same(whole, gone), "left_anti")
-    twice = times.where("stays").select("key", "hash")
-    if twice.limit(1).count():  # rows repeated in full: one of them stays
-        nth = F.row_number().over(Window.partitionBy("key", "hash").orderBy("key"))
-        copies = kept.join(twice, same(kept, twice), "left_semi").withColumn("n", nth).where("n = 1").drop("n")
-        kept = kept.join(twice, same(kept, twice), "left_anti").unionByName(copies)
-    return kept.select("row.*")

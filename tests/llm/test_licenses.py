@@ -65,17 +65,23 @@ def plain_runs(scanner, text, templates, least):
     return sorted(out)
 
 
-def plain_spans(runs, templates, sizes, gap=8, cover=0.5, long_run=12):
+def plain_spans(runs, templates, sizes, gap=8, cover=0.5, long_run=12, least=5):
     spans = []
+    words = [" ".join(plain_words(t)) for _, t in templates]
+
+    def tells(t, b, n):
+        w = words[t].split()[b : b + n]
+        return any(all(label == templates[t][0] for (label, _), other in zip(templates, words, strict=True) if f" {' '.join(w[i : i + least])} " in f" {other} ") for i in range(n - least + 1))
+
     for t in {r[0] for r in runs}:
         chains = []
         for _, a, b, n in sorted(r for r in runs if r[0] == t):
             fit = [c for c in chains if 0 <= a - c["end"] <= gap and 0 <= b - c["at"] <= gap]
             if fit:
-                fit[-1].update(end=a + n, at=b + n, words=fit[-1]["words"] + n, most=max(fit[-1]["most"], n))
+                fit[-1].update(end=a + n, at=b + n, words=fit[-1]["words"] + n, most=max(fit[-1]["most"], n), tells=fit[-1]["tells"] or tells(t, b, n))
             else:
-                chains.append({"first": a, "end": a + n, "at": b + n, "words": n, "most": n})
-        spans += [(templates[t][0], c["first"], c["end"], c["words"], c["words"] / sizes[t]) for c in chains if c["words"] >= cover * sizes[t] or c["most"] >= long_run]
+                chains.append({"first": a, "end": a + n, "at": b + n, "words": n, "most": n, "tells": tells(t, b, n)})
+        spans += [(templates[t][0], c["first"], c["end"], c["words"], c["words"] / sizes[t]) for c in chains if c["tells"] and (c["words"] >= cover * sizes[t] or c["most"] >= long_run)]
     inside = lambda x, y: y[1] <= x[1] and x[2] <= y[2] and y[3] >= x[3] and y[4] > x[4]
     return sorted((x[0], x[1], x[2], x[4]) for x in spans if not any(inside(x, y) for y in spans))
 
@@ -99,7 +105,7 @@ def test_spans_equal_brute_force_on_shared_wording():
         ids = np.array([scanner.ids.get(w.encode(), -1) for w in text.split()], np.int32)
         runs = plain_runs(scanner, text, templates, 3)
         assert scanner.runs(ids) == runs
-        assert scanner.spans(ids) == plain_spans(runs, templates, scanner.sizes, cover=0.3, long_run=9)
+        assert scanner.spans(ids) == plain_spans(runs, templates, scanner.sizes, cover=0.3, long_run=9, least=3)
 
 
 def test_method_adds_templates_without_their_names():
@@ -152,3 +158,15 @@ def test_a_clause_repeated_often_does_not_part_a_chain():
     scanner = licenses.Scanner((("often", " ".join(template)),), (), cover=0.1)
     found = scanner.scan(" ".join(["x", *first, "x", *clause, "x", *last, "x"]))["spans"]
     assert [(f["first"], f["end"], f["cover"]) for f in found] == [(1, 28, 25 / len(template))]
+
+
+def test_every_template_has_telling_runs_and_openings_alone_tell_nothing():
+    scanner = licenses.default_scanner()
+    assert all(t[-1] > 0 for t in scanner.telling)
+    clean = {
+        "This work is licensed under the GNU General Public License, version 3.": ["gpl"], "This work is licensed under the MIT License.": ["mit"], "This work is licensed under a commercial agreement with the publisher.": [],
+        "This work is licensed under a Creative Commons license of the author's choice.": [], "To view a copy of this license, visit our office.": [], "This program is free software; you can redistribute it and/or modify it as you like.": [],
+        "Permission is hereby granted, free of charge, to any person who visits the museum on Sunday.": [], "THE SOFTWARE IS PROVIDED AS IS and we are glad about that.": [], "The above copyright notice and this permission notice hang on the wall.": [],
+    }
+    for text, labels in clean.items():
+        assert scanner.scan("Some words. " + text + " And more words.")["labels"] == labels, text

@@ -77,7 +77,7 @@ def test_nulls_empty_texts_repeated_rows_and_clashing_columns(spark):
     assert [tuple(r) for r in oddsketch.near_groups(df, text="hash", key="node").collect()] == [(7, 1, 7, True)]
     assert run(spark, []) == []
     with pytest.raises(ValueError):
-        run(spark, [], similar=(8, 10))
+        run(spark, [], similar=(7, 10))
 
 
 def test_sketches_estimate_similarities_and_the_limit_holds():
@@ -94,6 +94,7 @@ def test_sketches_estimate_similarities_and_the_limit_holds():
             own.append(int(np.bitwise_count(sketch(a) ^ sketch(b)).sum()))
         counts[j] = np.array(own)
         assert abs(np.mean(oddsketch.estimate(counts[j])) - j) < 0.02
+    assert oddsketch.bands_for((85, 100)) == (30, 6) and oddsketch.bands_for((4, 5)) == (35, 5)
     assert counts[0.85].max() <= most and counts[0.95].max() < counts[0.5].min() and (counts[0.5] > most).mean() > 0.9
     assert np.std(oddsketch.estimate(counts[0.95])) < np.std(oddsketch.estimate(counts[0.5]))
 
@@ -113,3 +114,44 @@ def test_slots_give_just_the_near_pairs_of_two_groups():
     meet = lambda i, j: slot[i] == slot[j] and group[i] != group[j] and (side[i] == 2 or side[i] != side[j])
     want = {(i, j) for j in range(n) for i in range(j) if meet(i, j) and near(i, j)}
     assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == want and len(a) == len(want) > 100
+
+
+def test_one_of_each_keeps_clean_rows_and_one_of_each_group(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(5, long, "a"), (3, long, "b"), (9, long.replace("w7 ", "w8 "), "c"), (4, "quite another text", "d"), (4, "quite another text", "d"), (None, None, "e"), (7, "", "f"), (8, "a b c d e f g h i j", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)
+    out = oddsketch.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["fp"]) for r in out.collect())
+    assert got == [(False, 3, "b"), (False, 4, "d"), (False, 8, None), (True, 0, "e")]
+    assert oddsketch.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_decides_by_exact_similarity(spark):
+    rng = np.random.default_rng(11)
+    texts, want = {}, {}
+    for i in range(400):  # pairs of 100 shingles that share 89 (0.802) or 88 (0.786): words cut at both ends
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 115)]
+        shift = 11 if i % 2 else 12
+        texts[2 * i], texts[2 * i + 1] = " ".join(w[:104]), " ".join(w[shift : shift + 104])
+        a, b = shingles(texts[2 * i], 5), shingles(texts[2 * i + 1], 5)
+        want[i] = len(a & b) >= 0.8 * len(a | b)
+        assert want[i] == bool(i % 2)
+    texts |= {900: "a b c d e f g h", 901: "a b c d e f g h i"}  # 4 of 5 shingles
+    chain = [f"c{i}" for i in range(400)]  # neighbours at 0.9, ends apart: one group
+    texts |= {1000 + k: " ".join(chain[5 * k : 5 * k + 104]) for k in range(40)}
+    for i in range(100):  # two of three are similar, the third shares bands with them
+        w = [f"t{x}" for x in rng.integers(0, 10**9, 130)]
+        texts |= {2000 + 3 * i + k: " ".join(w[a : a + 104]) for k, a in enumerate((0, 14, 18))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in oddsketch.one_of_each(docs).collect()}
+    missed = [i for i in range(400) if want[i] and 2 * i + 1 in kept]
+    assert not missed and all(2 * i in kept for i in range(400))
+    assert all(2 * i + 1 in kept for i in range(400) if not want[i])
+    assert {k for k in kept if k >= 900} == {900, 1000} | {2000 + 3 * i + k for i in range(100) for k in (0, 1)}
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 1, 2, 3, 4), (2, "a b c d e f g", 1, 2, 3, 4), (3, "x y", 5, 6, 7, 8)], "doc_id long, text string, times int, key int, hash int, row int")
+    out = oddsketch.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.where("doc_id <> 2").collect()))

@@ -1,7 +1,9 @@
-import numpy as np
-
 import corpus_pipeline
-from sweetframe.llm import decontaminate, language_id, mixing, secrets, simhash
+from sweetframe.llm import decontaminate, language_id, mixing, secrets
+
+
+def lower(text):
+    return text.translate({c: c + 32 for c in range(65, 91)})
 
 
 def test_stages_equal_brute_force_on_a_small_table(spark):
@@ -17,13 +19,16 @@ def test_stages_equal_brute_force_on_a_small_table(spark):
         results[name] = {r["doc_id"]: r for r in now.collect()}
     assert set(results["language ID"]) == {i for i, r in rows.items() if language_id.letter_runs(r["text"])}
 
-    words = {i: [simhash.majority(simhash._mixed(np.unique(simhash.shingle_hashes(r["text"], 5)), k)) % 2**64 for k in range(4)] for i, r in results["language ID"].items()}
-    near = lambda x, y: sum((a ^ b).bit_count() for a, b in zip(words[x], words[y])) <= simhash.WIDE.most
+    # brute force over all pairs: of each group linked by similar sets the least id stays
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, r in results["language ID"].items() if (w := lower(r["text"]).split())}
+    group = {i: i for i in sets}
+    for x in sorted(sets):
+        for y in sorted(sets):
+            if x < y and group[x] != group[y] and len(sets[x] & sets[y]) * 5 >= 4 * len(sets[x] | sets[y]):
+                old, new = max(group[x], group[y]), min(group[x], group[y])
+                group = {k: new if g == old else g for k, g in group.items()}
     kept = set(results["near-dedup"])
-    sets = {i: set(simhash.shingle_hashes(r["text"], 5).tolist()) for i, r in results["language ID"].items()}
-    # whatever went has a near document with a lesser id somewhere along its links; of similar ones one stays
-    assert all(any(near(x, y) for y in words if y != x) for x in words if x not in kept)
-    assert not any(len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) for x in kept for y in kept if x < y)
+    assert kept == set(group.values()) and len(kept) < len(group)
 
     probes = decontaminate.Probes(bench, decontaminate.Settings())
     leaky = {i for i in kept for p in probes.text if p in decontaminate.plain(rows[i]["text"])}
@@ -42,3 +47,21 @@ def test_stages_equal_brute_force_on_a_small_table(spark):
     for r in mixed:
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
     assert got == {k: n for k, n in want.items() if n}
+
+    # and run() gives just what the stages give one by one
+    whole = {}
+    for r in corpus_pipeline.run(spark, d).collect():
+        assert r["text"] == results["secret scan"][r["doc_id"]]["text"]
+        whole[r["doc_id"]] = whole.get(r["doc_id"], 0) + 1
+    assert whole == got
+
+
+def test_columns_of_any_name_come_through_the_stages(spark):
+    texts = ["The cat sat on the mat and looked at the dog in the garden.", "password = hunter22secret and more of the words", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, found int, spans int")
+    out = corpus_pipeline.redact_secrets(spark, docs, "")
+    assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {(2, 3)}
+    assert [r["text"] for r in out.orderBy("doc_id").collect()][2:] == ["", None] and "hunter22secret" not in str(out.collect())
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns and {tuple(r)[5:] for r in kept.collect()} <= {(2, 3)}
+    assert corpus_pipeline.redact_secrets(spark, docs.limit(0), "").count() == 0

@@ -55,29 +55,6 @@ def test_groups_equal_brute_force_on_dense_and_sparse_fingerprints(spark):
     assert got == plain_groups(prints, 4)
 
 
-def shingle_set(text, size=5):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
-
-
-def test_wide_layout_links_similar_shingle_sets(spark):
-    rng = np.random.default_rng(3)
-    texts = {}
-    for i in range(60):
-        w = [f"w{x}" for x in rng.integers(0, 100_000, 220)]
-        texts[2 * i] = " ".join(w)
-        for at in rng.integers(0, 220, 2 if i % 2 else 60):  # a few edits, or far too many
-            w[at] = f"v{at}"
-        texts[2 * i + 1] = " ".join(w)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    rows = docs.select("doc_id", simhash.wide_fingerprint(F.col("text")).alias("fp"))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.group(rows, simhash.WIDE).collect()}
-    for i in range(60):
-        a, b = shingle_set(texts[2 * i]), shingle_set(texts[2 * i + 1])
-        similar = len(a & b) / len(a | b)
-        assert got[2 * i] == 2 * i and (got[2 * i + 1] == 2 * i) == (similar >= 0.8), similar
-
-
 def test_run_edges_connect_as_all_pairs_do():
     rng = np.random.default_rng(5)
     for n in (3, 31, 33, 200):
@@ -115,49 +92,11 @@ def test_query_on_whole_small_table(spark):
     assert got == {i: (f"{prints[i]:016x}", groups[i]) for i in texts}
 
 
-def test_one_of_each_keeps_clean_rows_and_one_of_each_group(spark):
-    long = " ".join(f"w{i}" for i in range(200))
-    rows = [(5, long, "a"), (3, long, "b"), (9, long.replace("w7 ", "w8 "), "c"), (4, "quite another text", "d"), (4, "quite another text", "d"), (None, None, "e"), (7, "", "f"), (8, "a b c d e f g h i j", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)
-    out = simhash.one_of_each(docs)
-    assert out.columns == docs.columns
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["fp"]) for r in out.collect())
-    assert got == [(False, 3, "b"), (False, 4, "d"), (False, 8, None), (True, 0, "e")]
-    assert simhash.one_of_each(docs.limit(0)).count() == 0
-
-
 def test_scratch_tables_keep_their_rows(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert cut(df).collect() and cut(df).count() == 10
 
 
-def test_one_of_each_decides_by_exact_similarity(spark):
-    rng = np.random.default_rng(11)
-    texts, want = {}, {}
-    for i in range(400):  # pairs of 100 shingles that share 89 (0.802) or 88 (0.786): words cut at both ends
-        w = [f"w{x}" for x in rng.integers(0, 10**9, 115)]
-        shift = 11 if i % 2 else 12
-        texts[2 * i], texts[2 * i + 1] = " ".join(w[:104]), " ".join(w[shift : shift + 104])
-        a, b = shingle_set(texts[2 * i]), shingle_set(texts[2 * i + 1])
-        want[i] = len(a & b) >= 0.8 * len(a | b)
-        assert want[i] == bool(i % 2)
-    texts |= {900: "a b c d e f g h", 901: "a b c d e f g h i"}  # 4 of 5 shingles
-    chain = [f"c{i}" for i in range(400)]  # neighbours at 0.9, ends apart: one group
-    texts |= {1000 + k: " ".join(chain[5 * k : 5 * k + 104]) for k in range(40)}
-    for i in range(100):  # two of three are similar, the third shares bands with them
-        w = [f"t{x}" for x in rng.integers(0, 10**9, 130)]
-        texts |= {2000 + 3 * i + k: " ".join(w[a : a + 104]) for k, a in enumerate((0, 14, 18))}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
-    missed = [i for i in range(400) if want[i] and 2 * i + 1 in kept]
-    assert not missed and all(2 * i in kept for i in range(400))
-    assert all(2 * i + 1 in kept for i in range(400) if not want[i])
-    assert {k for k in kept if k >= 900} == {900, 1000} | {2000 + 3 * i + k for i in range(100) for k in (0, 1)}
-
-
 def test_columns_of_any_name_stay(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f g", 1, 2, 3, 4), (2, "a b c d e f g", 1, 2, 3, 4), (3, "x y", 5, 6, 7, 8)], "doc_id long, text string, times int, __key int, __hash int, row int")
-    out = simhash.one_of_each(docs)
-    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.where("doc_id <> 2").collect()))
     prints = spark.createDataFrame([(1, 0, 9, 8), (2, 1, 9, 8)], "doc_id long, fp long, component_id int, __node int")
     assert sorted(map(tuple, simhash.group(prints).collect())) == [(1, 0, 9, 8, 1), (2, 1, 9, 8, 1)]

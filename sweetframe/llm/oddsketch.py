@@ -6,13 +6,17 @@ for 0.85, 35 of five for 0.8) are candidates, which a pair at ``similar`` misses
 often. The samples are also folded into an odd sketch, 1,024 bits of which each sample flips one: samples that two sets
 share cancel in the XOR of their sketches, so that its population count tells how many differ, and with it the similarity,
 the more precisely the higher it is. Candidates whose count lies beyond what a pair at ``similar`` shows, but for one pair
-in a million, are let go; the others are confirmed on the full sets, so that no link is false.
+in a million, are let go. A second parity bitmap, of 2,048 bits, has the set itself as its sample: two sets that differ in
+d shingles differ in d bits at most, so that it lets no similar pair go, and tells sets of up to some hundred differing
+shingles nearly exactly. What passes is confirmed on the full sets, so that no link is false.
 
 Equal sets are one node (told by 128 bits), so that copies cost nothing. Large groups of near copies are linked by stars
 first: each node meets one hub, of the hubs of its bands the nearest by sketch; a band's hub is its node with the most band
-mates, as the text that copies were made from shares more bands with each of them than they do with each other. Only nodes
-of a band that the stars leave in different components are then compared by sketch, inside the tasks, and only pairs that
-pass are shuffled. A band of more than ``_BLOCK`` such nodes is compared in pairs of blocks, each in a task of its own.
+mates, as the text that copies were made from shares more bands with each of them than they do with each other. Nodes of a
+band that lie in different components are then compared by sketch, inside the tasks, in rounds in which each node names its
+nearest node of another component only; a last round confirms all pairs that are still in question. So the pairs that are
+shuffled grow with the nodes and not with the links of a group. A band of more than ``_BLOCK`` nodes in question is compared
+in pairs of blocks, each in a task of its own.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and stay alone even if their id is shared; a
 text with fewer words than a shingle has one, all its words; repeated rows stay, each with the same answer; a null id never
@@ -36,9 +40,10 @@ from sweetframe.llm._common import bounded_batches, cut
 from sweetframe.llm.components import components
 from sweetframe.llm.simhash import shingle_hashes
 
-_BITS, _MISS = 1024, 1e-6
+_BITS, _SET_BITS, _MISS = 1024, 2048, 1e-6
 _FACTORS = np.random.default_rng(20240613).integers(0, 2**63, 180, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 1 << 13  # nodes of a band that are compared in one task
+_BLOCK = 1 << 11  # nodes of a band that are compared in one task
+_ROUNDS = 3  # in which nodes name their nearest only
 _SHORT = 32  # slots of up to so many rows are compared all at once
 _SMALL = 1 << 20  # rows of ids and hashes up to which they are broadcast
 
@@ -69,12 +74,21 @@ def band_keys(own: np.ndarray, rows: int) -> np.ndarray:
     return np.array([xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(own.reshape(-1, rows))], np.uint64).view(np.int64)
 
 
+def _parity(values: np.ndarray, bits: int) -> bytes:
+    """Of hashed values, each of which flips one bit."""
+    x = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    at = ((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - bits.bit_length() + 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def odd_sketch(own: np.ndarray) -> bytes:
     """The samples' parity bitmap: each sample, with its place, flips one bit."""
-    x = (own ^ (own >> np.uint64(31))) + _FACTORS[: len(own)]
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    bits = ((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - _BITS.bit_length() + 1)
-    return np.packbits((np.bincount(bits.astype(np.int64), minlength=_BITS) & 1).astype(np.uint8)).tobytes()
+    return _parity((own ^ (own >> np.uint64(31))) + _FACTORS[: len(own)], _BITS)
+
+
+def set_parity(shingles: np.ndarray) -> bytes:
+    """The set's own parity bitmap."""
+    return _parity(shingles, _SET_BITS)
 
 
 def estimate(differing: np.ndarray | int, n: int = 180) -> np.ndarray | float:
@@ -109,11 +123,11 @@ def shingle_set(text: str | bytes | None, size: int) -> np.ndarray:
 
 
 def signature(text: Column, size: int, similar: tuple[int, int]) -> Column:
-    """struct<node, n_shingles, bands, sketch> of the set of the text's shingles; without words, a null node and no bands."""
+    """struct<node, n_shingles, bands, sketch, parity> of the set of the text's shingles; without words, a null node and no bands."""
     bands, of_band = bands_for(similar)
     bounded_batches(SparkSession.active(), rows=500, mb=2)
 
-    @F.pandas_udf("struct<node: binary, n_shingles: bigint, bands: array<bigint>, sketch: binary>")
+    @F.pandas_udf("struct<node: binary, n_shingles: bigint, bands: array<bigint>, sketch: binary, parity: binary>")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
@@ -123,74 +137,132 @@ def signature(text: Column, size: int, similar: tuple[int, int]) -> Column:
                 own = shingle_set(t, size)
                 if len(own):
                     least = samples(own, bands * of_band)
-                    rows.append((xxh3_128_digest(own.tobytes()), len(own), band_keys(least, of_band), odd_sketch(least)))
+                    rows.append((xxh3_128_digest(own.tobytes()), len(own), band_keys(least, of_band), odd_sketch(least), set_parity(own)))
                 else:
-                    rows.append((None, 0, [], None))
-            yield pd.DataFrame(rows, columns=["node", "n_shingles", "bands", "sketch"])
+                    rows.append((None, 0, [], None, None))
+            yield pd.DataFrame(rows, columns=["node", "n_shingles", "bands", "sketch", "parity"])
 
     return signed.asNondeterministic()(text)
 
 
-def _bits(sketches: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), _BITS // 64)
+def _words(bitmaps: pd.Series | list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
+
+
+class Near:
+    """Tells by sizes and bitmaps which pairs of sets may be similar, and how far apart they seem."""
+
+    def __init__(self, similar: tuple[int, int]):
+        bands, of_band = bands_for(similar)
+        self.part, self.whole = similar
+        self.samples = bands * of_band
+        self.most = most_differing(similar[0] / similar[1], self.samples)
+
+    def __call__(self, sizes: tuple[np.ndarray, np.ndarray], sketches: tuple[np.ndarray, np.ndarray], sets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The seeming distance, 1 less the similarity, of each pair; infinite where it can't be a link."""
+        (m, n), both = sizes, sizes[0] + sizes[1]
+        out = np.full(len(both), np.inf)
+        own = np.flatnonzero(np.minimum(m, n) * self.whole >= np.maximum(m, n) * self.part)
+        row = lambda x: x[own] if len(x) > 1 or len(both) == 1 else x  # noqa: E731  a single row meets all of the other side
+        of_set = np.bitwise_count(row(sets[0]) ^ row(sets[1])).sum(axis=1, dtype=np.int64)
+        of_samples = np.bitwise_count(row(sketches[0]) ^ row(sketches[1])).sum(axis=1, dtype=np.int64)
+        most = both[own] * (self.whole - self.part) // (self.whole + self.part)  # shingles that similar sets differ in
+        ok = (of_set <= most) & (of_samples <= self.most)
+        own, of_set, of_samples, most = own[ok], of_set[ok], of_samples[ok], most[ok]
+        differ = -_SET_BITS / 2 * np.log1p(-np.minimum(2 * of_set / _SET_BITS, 0.999))
+        small = most <= _SET_BITS / 8
+        out[own] = np.where(small, 2 * differ / (both[own] + differ), 1 - estimate(of_samples, self.samples))
+        return out
 
 
-def differing(a: Column, b: Column) -> Column:
-    """The population count of the XOR of two sketches."""
+def apart(u: list[str], v: list[str], similar: tuple[int, int]) -> Column:
+    """The seeming distance of two nodes by their columns size, sketch and parity; null where they can't be linked."""
+    near = Near(similar)
 
-    @F.pandas_udf("int")
-    def count(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(np.bitwise_count(_bits(x) ^ _bits(y)).sum(axis=1, dtype=np.int32) if len(x) else [], dtype="int32")
+    @F.pandas_udf("double")
+    def distance(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        found = near((a.to_numpy(), d.to_numpy()), (_words(b), _words(e)), (_words(c), _words(f)))
+        return pd.Series([None if x == np.inf else x for x in found.tolist()], dtype="float64")
 
-    return count(a, b)
+    return distance(*u, *v)
 
 
-def near_in_slots(slot: np.ndarray, side: np.ndarray, group: np.ndarray, sizes: np.ndarray, bits: np.ndarray, most: int, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one slot but of two groups that are near by size and sketch. Rows come by slot and group.
+class Slots:
+    """Rows of slots, by slot and group: which of a slot's nodes of two groups seem similar.
 
     Rows of side 2 meet all of their slot; a slot of two blocks has sides 0 and 1, which meet each other only.
     """
-    part, whole = similar
-    starts = np.concatenate(([0], np.flatnonzero(slot[1:] != slot[:-1]) + 1))
-    n = np.diff(np.append(starts, len(slot)))
-    found = [np.empty((2, 0), np.int64)]
-
-    def told(a: np.ndarray, b: np.ndarray) -> None:
-        """Of pairs of rows, a one row or as many as b."""
-        fits = (group[a] != group[b]) & ((side[a] != side[b]) | (side[b] == 2)) & (np.minimum(sizes[a], sizes[b]) * whole >= np.maximum(sizes[a], sizes[b]) * part)
-        a, b = a[fits] if len(a) > 1 else a, b[fits]
-        near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= most
-        found.append(np.stack(np.broadcast_arrays(a[near] if len(a) > 1 else a, b[near])))
-
-    for k in range(1, _SHORT):
-        some = (n > k) & (n <= _SHORT)
-        if some.any():
-            c = n[some] - k
-            at = np.repeat(starts[some] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-            told(at, at + k)
-    for s, e in zip(starts[n > _SHORT].tolist(), (starts + n)[n > _SHORT].tolist(), strict=True):
-        edges = [s, *(np.flatnonzero(group[s + 1 : e] != group[s : e - 1]) + s + 1).tolist(), e]
-        for a, b in zip(edges[:-2], edges[1:-1], strict=True):
-            for i in range(a, b):
-                told(np.array([i]), np.arange(b, e))
-    both = np.concatenate(found, axis=1)
-    return both[0], both[1]
-
-
-def _compare(most: int, similar: tuple[int, int]):
+
+    def __init__(self, near: Near, slot: np.ndarray, side: np.ndarray, group: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, sets: np.ndarray):
+        self.near, self.slot, self.side, self.group, self.sizes, self.sketches, self.sets = near, slot, side, group, sizes, sketches, sets
+
+    def found(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, other rows, distances) of pairs, in parts in which no row occurs twice on one side, or one row is alone on a side."""
+        if not len(self.slot):
+            return
+        starts = np.concatenate(([0], np.flatnonzero(self.slot[1:] != self.slot[:-1]) + 1))
+        n = np.diff(np.append(starts, len(self.slot)))
+        for k in range(1, _SHORT):
+            some = (n > k) & (n <= _SHORT)
+            if some.any():
+                c = n[some] - k
+                at = np.repeat(starts[some] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                yield self._pairs(at, at + k)
+        for s, e in zip(starts[n > _SHORT].tolist(), (starts + n)[n > _SHORT].tolist(), strict=True):
+            edges = [s, *(np.flatnonzero(self.group[s + 1 : e] != self.group[s : e - 1]) + s + 1).tolist(), e]
+            for a, b in zip(edges[:-2], edges[1:-1], strict=True):
+                others = np.arange(b, e)
+                for i in range(a, b):
+                    yield self._pairs(np.array([i]), others)
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        meet = (self.group[a] != self.group[b]) & ((self.side[a] != self.side[b]) | (self.side[b] == 2))
+        a, b = np.broadcast_arrays(a, b)
+        a, b = a[meet], b[meet]
+        if not len(b):
+            return a, b, np.empty(0)
+        one = a[:1] if (a == a[0]).all() else a
+        d = self.near((np.broadcast_to(self.sizes[one], b.shape), self.sizes[b]), (self.sketches[one], self.sketches[b]), (self.sets[one], self.sets[b]))
+        ok = d < np.inf
+        return a[ok], b[ok], d[ok]
+
+    def every(self) -> tuple[np.ndarray, np.ndarray]:
+        parts = [(a, b) for a, b, _ in self.found() if len(a)]
+        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.empty(0, np.int64),) * 2
+
+    def nearest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each row that has a partner, and its nearest one."""
+        best, partner = np.full(len(self.slot), np.inf), np.full(len(self.slot), -1)
+        for a, b, d in self.found():
+            if len(a):
+                if len(a) > 1 and a[0] == a[-1]:
+                    i = int(d.argmin())
+                    if d[i] < best[a[0]]:
+                        best[a[0]], partner[a[0]] = d[i], b[i]
+                else:
+                    less = d < best[a]
+                    best[a[less]], partner[a[less]] = d[less], b[less]
+                less = d < best[b]
+                best[b[less]], partner[b[less]] = d[less], a[less]
+        rows = np.flatnonzero(partner >= 0)
+        return rows, partner[rows]
+
+
+def _compare(near: Near, nearest: bool):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of slot, side, component, size, node and sketch, sorted by slot and component; pairs of nodes out.
+        """Rows of slot, side, group, size, node, sketch and parity, sorted by slot and group; pairs of nodes out.
 
         The last slot of a batch waits for the next batch.
         """
         kept = None
 
         def told(rows: pa.Table) -> pa.RecordBatch:
-            slot, side, group, sizes = (rows.column(i).to_numpy() for i in range(4))
-            a, b = near_in_slots(slot, side, group, sizes, _bits(rows.column(5).to_pylist()), most, similar)
-            node = rows.column(4)
-            one, other = (node.take(pa.array(x)).combine_chunks() for x in (a, b))
-            return pa.RecordBatch.from_arrays([one, other], ["u", "v"])
+            columns = [rows.column(i).to_numpy() for i in range(4)]
+            slots = Slots(near, *columns, *(_words(rows.column(i).to_pylist()) for i in (5, 6)))
+            both = (rows.column(4).take(pa.array(x)).combine_chunks() for x in (slots.nearest() if nearest else slots.every()))
+            return pa.RecordBatch.from_arrays(list(both), ["u", "v"])
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -212,10 +284,6 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(_SMALL + 1).count() <= _SMALL else df
 
 
-def _fits(a: str, b: str, similar: tuple[int, int]) -> Column:
-    return F.least(a, b) * similar[1] >= F.greatest(a, b) * similar[0]
-
-
 class _Sets:
     """The texts' sets, to confirm pairs of nodes on."""
 
@@ -244,39 +312,53 @@ class _Sets:
         return pairs.join(u, "u").join(v, "v").where(common * whole >= (F.size("u_set") + F.size("v_set") - common) * part).select("u", "v")
 
 
+def _in_question(entries: DataFrame, own: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of slots for ``_compare``: the nodes of each band that has nodes of several components."""
+    now = entries.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    mixed = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("mates")).where("low < high").select("band", "mates")
+    blocks = F.ceil(F.col("mates") / _BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
+    # rows of a block that meet another are sides 0 and 1; those that meet their own, and slots of one block, side 2
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(block, o).alias("i"), F.greatest(block, o).alias("j"), F.when(block == o, 2).otherwise((block > o).cast("int")).alias("side")))
+    split = now.join(mixed, "band").select("band", "node", "component", F.explode(others).alias("to"))
+    rows = split.join(own, "node").select(F.xxhash64("band", "to.i", "to.j").alias("slot"), F.col("to.side").alias("side"), F.xxhash64("component").alias("group"), F.col("n_shingles").alias("size"), "node", "sketch", "parity")
+    return rows.repartition("slot").sortWithinPartitions("slot", "group")
+
+
 def _linked(signed: DataFrame, sets: _Sets, similar: tuple[int, int]) -> DataFrame:
     """(node, component) of the nodes that have a similar one."""
-    bands, of_band = bands_for(similar)
-    most = most_differing(similar[0] / similar[1], bands * of_band)
+    near = Near(similar)
     entries = signed.select("node", F.explode("bands").alias("band")).distinct()
     shared = entries.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1")
     entries = cut(entries.join(shared, "band"))
     weights = entries.groupBy("node").agg(F.sum("mates").alias("weight"))
-    own = signed.select("node", "n_shingles", "sketch").join(weights, "node").dropDuplicates(["node"])
-    own = cut(own)  # nodes with band mates only
+    own = cut(signed.select("node", "n_shingles", "sketch", "parity").join(weights, "node").dropDuplicates(["node"]))  # nodes with band mates only
 
-    hubs = entries.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", F.xxhash64("node"), "node")).alias("hub")).select("band", F.col("hub.node").alias("v"))
+    hubs = entries.join(own.select("node", "weight"), "node").groupBy("band").agg(F.max(F.struct("weight", F.xxhash64("node"), "node")).alias("hub")).select("band", F.col("hub.node").alias("v"))
     stars = entries.select("band", F.col("node").alias("u")).join(hubs, "band").where("u <> v").select("u", "v").distinct()
-    u, v = (own.select(F.col("node").alias(c), F.col("n_shingles").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch")) for c in "uv")
-    stars = stars.join(u, "u").join(v, "v").where(_fits("u_size", "v_size", similar)).select("u", "v", differing(F.col("u_sketch"), F.col("v_sketch")).alias("apart"))
-    stars = cut(stars.where(F.col("apart") <= most).groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", "best.v"))
-    links = cut(sets.confirmed(stars))
-    found = cut(components(links))
-
-    # what the stars left apart
-    now = entries.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("mates")).where("low < high").select("band", "mates")
-    blocks = F.ceil(F.col("mates") / _BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
-    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(block, o).alias("i"), F.greatest(block, o).alias("j"), F.when(block == o, 2).otherwise((block > o).cast("int")).alias("side")))
-    split = now.join(mixed, "band").select("band", "node", "component", F.explode(others).alias("to"))
-    # rows of a block that meet another are sides 0 and 1; those that meet their own, and slots of one block, side 2
-    rows = split.join(own, "node").select(F.xxhash64("band", "to.i", "to.j").alias("slot"), F.col("to.side").alias("side"), F.xxhash64("component").alias("group"), F.col("n_shingles").alias("size"), "node", "sketch")
-    pairs = rows.repartition("slot").sortWithinPartitions("slot", "group").mapInArrow(_compare(most, similar), "u binary, v binary")
-    pairs = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    if not pairs.isEmpty():
-        more = cut(sets.confirmed(pairs))
-        found = cut(components(links.unionByName(more)))
+    u, v = (own.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n_shingles", "sketch", "parity")]) for c in "uv")
+    distance = apart(*[[f"{c}_{x}" for x in ("n_shingles", "sketch", "parity")] for c in "uv"], similar)
+    stars = stars.join(u, "u").join(v, "v").select("u", "v", distance.alias("apart")).where("apart is not null")
+    pairs = cut(stars.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", "best.v"))
+
+    links = tested = None
+    for turn in range(_ROUNDS + 2):  # the stars, rounds of nearest nodes, and all that is left
+        if not pairs.isEmpty():
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            new = cut(sets.confirmed(pairs))
+            links = new if links is None else links.unionByName(new)
+            found = cut(components(links))
+        elif turn == 0:
+            found = cut(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")))
+        elif turn > _ROUNDS:
+            break
+        if turn <= _ROUNDS:
+            named = _in_question(entries, own, found).mapInArrow(_compare(near, turn < _ROUNDS), "u binary, v binary")
+            pairs = named.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            if tested is not None:
+                known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+                pairs = pairs.join(known, ["u", "v"], "left_anti")
+            pairs = cut(pairs)
     return found
 
 

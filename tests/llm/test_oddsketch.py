@@ -53,7 +53,7 @@ def copies(rnd, n, words=120, spread=14):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 13, 8])
+@pytest.mark.parametrize("block", [1 << 11, 8])
 def test_equals_brute_force_with_blocks_of_any_size(spark, monkeypatch, block):
     monkeypatch.setattr(oddsketch, "_BLOCK", block)
     rnd = random.Random(block)
@@ -99,21 +99,29 @@ def test_sketches_estimate_similarities_and_the_limit_holds():
     assert np.std(oddsketch.estimate(counts[0.95])) < np.std(oddsketch.estimate(counts[0.5]))
 
 
-def test_slots_give_just_the_near_pairs_of_two_groups():
-    rnd = np.random.default_rng(9)
-    base = rnd.integers(0, 2**63, (6, 16), dtype=np.uint64)
+def test_slots_give_just_the_near_pairs_of_two_groups_and_each_row_its_nearest():
+    rng = np.random.default_rng(9)
     n = 400
-    slot = np.sort(rnd.choice([1, 2, 3, 4, 5, 60], n, p=[0.02, 0.02, 0.02, 0.04, 0.4, 0.5]))
-    group = rnd.integers(0, 9, n)
+    base = [rng.integers(0, 2**63, 140, dtype=np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([b[rng.random(140) < 0.95], rng.integers(0, 2**63, 6, dtype=np.uint64)])) for b in (base[i] for i in rng.integers(0, 4, n))]
+    slot = np.sort(rng.choice([1, 2, 3, 4, 5, 60], n, p=[0.02, 0.02, 0.02, 0.04, 0.4, 0.5]))
+    group = rng.integers(0, 9, n)
     order = np.lexsort((group, slot))
     slot, group = slot[order], group[order]
-    side = np.where(slot == 60, rnd.integers(0, 2, n), 2)
-    sizes, bits = rnd.integers(80, 110, n), base[rnd.integers(0, 6, n)] ^ (rnd.integers(0, 2**63, (n, 16), dtype=np.uint64) & rnd.integers(0, 2**63, (n, 16), dtype=np.uint64) & 0x1111)
-    a, b = oddsketch.near_in_slots(slot, side, group, sizes, bits, 30, (85, 100))
-    near = lambda i, j: 100 * min(sizes[i], sizes[j]) >= 85 * max(sizes[i], sizes[j]) and int(np.bitwise_count(bits[i] ^ bits[j]).sum()) <= 30
+    side = np.where(slot == 60, rng.integers(0, 2, n), 2)
+    near = oddsketch.Near((85, 100))
+    sketches, whole = (oddsketch._words([f(x) for x in sets]) for f in (lambda x: oddsketch.odd_sketch(oddsketch.samples(x)), oddsketch.set_parity))
+    slots = oddsketch.Slots(near, slot, side, group, np.array([len(x) for x in sets]), sketches, whole)
     meet = lambda i, j: slot[i] == slot[j] and group[i] != group[j] and (side[i] == 2 or side[i] != side[j])
-    want = {(i, j) for j in range(n) for i in range(j) if meet(i, j) and near(i, j)}
-    assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == want and len(a) == len(want) > 100
+    jaccard = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    all_ = {(i, j): jaccard(i, j) for j in range(n) for i in range(j) if meet(i, j)}
+    similar = {p for p, x in all_.items() if x >= 0.85}
+    got = {(min(x), max(x)) for x in zip(*(x.tolist() for x in slots.every()), strict=True)}
+    assert 100 < len(similar) and similar <= got <= set(all_) and len(got) < 1.25 * len(similar)
+    rows, partner = slots.nearest()
+    assert set(rows.tolist()) == {i for p in got for i in p} and all(tuple(sorted(p)) in got for p in zip(rows.tolist(), partner.tolist(), strict=True))
+    best = {i: max(x for p, x in all_.items() if i in p) for i in rows.tolist()}
+    assert all(jaccard(i, j) >= best[i] - 0.02 for i, j in zip(rows.tolist(), partner.tolist(), strict=True))
 
 
 def test_one_of_each_keeps_clean_rows_and_one_of_each_group(spark):

@@ -121,7 +121,7 @@ def test_slots_give_just_the_near_pairs_of_two_groups_and_each_row_its_nearest()
     rows, partner = slots.nearest()
     assert set(rows.tolist()) == {i for p in got for i in p} and all(tuple(sorted(p)) in got for p in zip(rows.tolist(), partner.tolist(), strict=True))
     best = {i: max(x for p, x in all_.items() if i in p) for i in rows.tolist()}
-    assert all(jaccard(i, j) >= best[i] - 0.02 for i, j in zip(rows.tolist(), partner.tolist(), strict=True))
+    assert all(jaccard(i, j) >= best[i] - 0.05 for i, j in zip(rows.tolist(), partner.tolist(), strict=True))
 
 
 def test_one_of_each_keeps_clean_rows_and_one_of_each_group(spark):

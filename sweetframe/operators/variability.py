@@ -20,7 +20,7 @@ def gvp(readings: DataFrame) -> DataFrame:
     """Glycemic variability percentage: how much longer the trace is than a flat one."""
     dt, dv = (micros(F.col("b.ts")) - micros(F.col("a.ts"))) / 6e7, F.col("b.sgv") - F.col("a.sgv")
     sums = trace.steps(readings, {k: f(dt, dv) for k, f in _STEP.items()}, columns=("ts", "sgv"))
-    return sums.select("patient_id", F.coalesce((F.col("sum_length") / F.col("sum_time") - 1) * 100, F.lit(0.0)).alias("gvp"))
+    return sums.select("patient_id", F.coalesce((F.col("sum_length") / F.nullif("sum_time", F.lit(0.0)) - 1) * 100, F.lit(0.0)).alias("gvp"))
 
 
 def turning_points(readings: DataFrame) -> DataFrame:

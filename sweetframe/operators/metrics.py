@@ -149,3 +149,10 @@ def data_sufficiency(readings: DataFrame, days: int = 30) -> DataFrame:
 def longest_gap(readings: DataFrame) -> DataFrame:
     gap = {"max_gap": micros(F.col("b.ts")) - micros(F.col("a.ts"))}
     return trace.steps(readings, gap, order=("ts",)).select("patient_id", (F.coalesce("max_gap", F.lit(0)) / 3.6e9).alias("longest_gap_hours"))
+
+
+def sensor_gaps(readings: DataFrame, minutes: int = 15) -> DataFrame:
+    """(patient_id, last, next, minutes) of each time without a reading for more than ``minutes``; of the last one next is null."""
+    near = trace.beside(readings.select("patient_id", "ts", "id"), ["ts"])
+    silence = (micros(F.col("after.ts")) - micros(F.col("ts"))) / 6e7
+    return near.where(F.col("after").isNull() | (silence > minutes)).select("patient_id", F.col("ts").alias("last"), F.col("after.ts").alias("next"), silence.alias("minutes"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sweetframe.operators import devices, episodes, outcomes, profiles, reports
@@ -40,6 +41,28 @@ def inner(name: str) -> str:
     return "SELECT *" + ORACLE_SQL[name].split(TABLES + "\nSELECT *", 1)[1]
 
 
+#: Zones of the queries by local hour, and their distance from UTC at the tables' dates.
+ZONES = {"America/New_York": "- INTERVAL 5 HOUR", "Asia/Kolkata": "+ INTERVAL 330 MINUTE"}
+
+
+def _by_zone(name: str, f, doubles: str) -> None:
+    """Registers a report by local hour for all zones; its SQL is that of the report over readings at local time."""
+    local = lambda shift: f"(WITH shifted AS (SELECT * REPLACE (ts {shift} AS ts) FROM r), r AS (SELECT * FROM shifted) {inner(name)})"
+    sql = " UNION ALL ".join(f"SELECT '{tz}' AS zone, * FROM {local(shift)}" for tz, shift in ZONES.items())
+
+    def run(spark, d):
+        r = written(readings(spark, d).select("patient_id", "id", "ts", "sgv"))
+        return reduce(DataFrame.unionByName, [f(r, tz).withColumn("zone", F.lit(tz)) for tz in ZONES])
+
+    query(f"{name}_zones", sql, doubles)(run)
+
+
+_by_zone("detect_patterns", profiles.detect_patterns, "mean_mgdl")
+_by_zone("overnight_analysis", profiles.overnight_analysis, "flat_percent")
+_by_zone("meal_period_tir", lambda r, tz: profiles.meal_period_tir(r, tz=tz), "")
+_by_zone("agp_hourly", profiles.agp_hourly, "")
+
+
 class Shared:
     """The tables that the parts of a report share, each read from its source once and written for all parts.
 

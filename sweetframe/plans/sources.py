@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from sweetframe.operators import devices, metrics, scans
+from sweetframe.operators import devices, metrics, scans, textindex
 from sweetframe.plans._base import query, readings
-from sweetframe.scratch import written
-from sweetframe.sources import cohort, ingest
+from sweetframe.scratch import folder, written
+from sweetframe.sources import cohort, ingest, store
 
 SPAN = "'2024-01-05'", "'2024-01-20'"
 INSIDE = f"ts >= TIMESTAMP {SPAN[0]} AND ts < TIMESTAMP {SPAN[1]}"
@@ -104,6 +106,46 @@ def search_treatments(spark, d):
     return scans.search(cohort.treatments(spark, d), "SMB")
 
 
+@query("search_treatments_indexed", f"SELECT {T_COLUMNS} FROM t WHERE lower(coalesce(notes, '')) LIKE '%felt low%' OR lower(event_type) LIKE '%felt low%' OR lower(entered_by) LIKE '%felt low%'", "insulin carbs")
+def search_treatments_indexed(spark, d):
+    """The search by a trigram index of the treatments' texts."""
+    t = cohort.treatments(spark, d)
+    return textindex.search(t, textindex.build(t), "felt LOW").select(*T_COLUMNS.split(", "))
+
+
+STORED = "patient_id LONG, id STRING, ts TIMESTAMP, sgv INT, direction STRING"
+
+
+def _store(spark, d) -> str:
+    """A store of the readings after three loads: a first one with wrong values, a second one of all rows, and that again."""
+    path = f"{folder(spark)}/store-{uuid.uuid4().hex}"
+    r = readings(spark, d).select("patient_id", "id", "ts", "sgv", "direction")
+    store.upsert(r.where("ts < timestamp '2024-01-12'").withColumn("sgv", F.col("sgv") + 1), path)
+    store.upsert(r, path)
+    store.upsert(r, path)
+    return path
+
+
+@query("store_window", f"SELECT patient_id, id, ts, sgv, direction FROM r WHERE {INSIDE}")
+def store_window(spark, d):
+    """Readings of a window from the store by day."""
+    return store.between(store.read(spark, _store(spark, d), STORED), "2024-01-05", "2024-01-20").drop("day")
+
+
+@query("store_last_days", f"SELECT patient_id, id, ts, sgv, direction FROM ({last_hours('r', 60)})")
+def store_last_days(spark, d):
+    """The last 60 hours of each patient from the store by day; days are pruned by the patients' edges."""
+    stored = store.read(spark, _store(spark, d), STORED)
+    edges = stored.groupBy("patient_id").agg(F.max("ts").alias("newest"))
+    edges = edges.select("patient_id", F.expr("newest - INTERVAL 60 HOURS").alias("lo"), F.expr("newest + INTERVAL 1 SECOND").alias("hi")).where("patient_id is not null")
+    return store.of_edges(stored, edges).drop("day")
+
+
+@query("sensor_gaps", 'SELECT patient_id, ts AS last, following AS "next", (epoch_us(following) - epoch_us(ts)) / 6e7 AS minutes FROM (SELECT *, lead(ts) OVER (PARTITION BY patient_id ORDER BY ts, id) AS following FROM r) WHERE following IS NULL OR epoch_us(following) - epoch_us(ts) > 900000000', "minutes")
+def sensor_gaps(spark, d):
+    return metrics.sensor_gaps(readings(spark, d))
+
+
 @query("search_documents", "SELECT doc_id, lang FROM documents WHERE lower(coalesce(text, '')) LIKE '%license%' OR lower(coalesce(lang, '')) LIKE '%license%' OR lower(coalesce(source, '')) LIKE '%license%'")
 def search_documents(spark, d):
     """The same search over free text."""

@@ -341,24 +341,24 @@ def _linked(signed: DataFrame, sets: _Sets, similar: tuple[int, int]) -> DataFra
     stars = stars.join(u, "u").join(v, "v").select("u", "v", distance.alias("apart")).where("apart is not null")
     pairs = cut(stars.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", "best.v"))
 
-    links = tested = None
+    tested = links = None
+    found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
     for turn in range(_ROUNDS + 2):  # the stars, rounds of nearest nodes, and all that is left
         if not pairs.isEmpty():
             tested = pairs if tested is None else tested.unionByName(pairs)
             new = cut(sets.confirmed(pairs))
             links = new if links is None else links.unionByName(new)
             found = cut(components(links))
-        elif turn == 0:
-            found = cut(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")))
-        elif turn > _ROUNDS:
+        if turn > _ROUNDS:
             break
-        if turn <= _ROUNDS:
-            named = _in_question(entries, own, found).mapInArrow(_compare(near, turn < _ROUNDS), "u binary, v binary")
-            pairs = named.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            if tested is not None:
-                known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-                pairs = pairs.join(known, ["u", "v"], "left_anti")
-            pairs = cut(pairs)
+        named = _in_question(entries, own, found).mapInArrow(_compare(near, turn < _ROUNDS), "u binary, v binary")
+        named = cut(named.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        if named.isEmpty():  # no two nodes of two components seem similar
+            break
+        pairs = named
+        if tested is not None:
+            known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+            pairs = cut(named.join(known, ["u", "v"], "left_anti"))
     return found
 
 

@@ -197,6 +197,7 @@ def fit(
     the key. Only (piece, language) sums come to the driver, at most the vocabulary's size for each language.
     """
     spark = labelled.sparkSession
+    bounded_batches(spark, rows=500, mb=2)
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     sizes = {str(r["l"]): r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
     if len(sizes) > most_languages:
@@ -235,9 +236,9 @@ def fit(
     return LanguageModel(languages, pieces, prob)
 
 
-def identify(spark: SparkSession, model: LanguageModel, text: Column, cache_words: int = 200_000) -> Column:
+def identify(spark: SparkSession, model: LanguageModel, text: Column, cache_words: int = 100_000) -> Column:
     """struct<lang, score> of each text: the likeliest language and its share of the summed likelihoods (equal priors)."""
-    bounded_batches(spark)
+    bounded_batches(spark, rows=500, mb=2)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang: string, score: double>")

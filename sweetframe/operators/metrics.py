@@ -152,7 +152,11 @@ def longest_gap(readings: DataFrame) -> DataFrame:
 
 
 def sensor_gaps(readings: DataFrame, minutes: int = 15) -> DataFrame:
-    """(patient_id, last, next, minutes) of each time without a reading for more than ``minutes``; of the last one next is null."""
+    """(patient_id, last, next, minutes) of each time without a reading for more than ``minutes``; of the last one next is null.
+
+    The column ``minutes`` has whole minutes.
+    """
     near = trace.beside(readings.select("patient_id", "ts", "id"), ["ts"])
-    silence = (micros(F.col("after.ts")) - micros(F.col("ts"))) / 6e7
-    return near.where(F.col("after").isNull() | (silence > minutes)).select("patient_id", F.col("ts").alias("last"), F.col("after.ts").alias("next"), silence.alias("minutes"))
+    silence = micros(F.col("after.ts")) - micros(F.col("ts"))
+    long = F.col("after").isNull() | (silence > minutes * 60_000_000)
+    return near.where(long).select("patient_id", F.col("ts").alias("last"), F.col("after.ts").alias("next"), F.floor(silence / 60_000_000).cast("long").alias("minutes"))

@@ -141,7 +141,7 @@ def store_last_days(spark, d):
     return store.of_edges(stored, edges).drop("day")
 
 
-@query("sensor_gaps", 'SELECT patient_id, ts AS last, following AS "next", (epoch_us(following) - epoch_us(ts)) / 6e7 AS minutes FROM (SELECT *, lead(ts) OVER (PARTITION BY patient_id ORDER BY ts, id) AS following FROM r) WHERE following IS NULL OR epoch_us(following) - epoch_us(ts) > 900000000', "minutes")
+@query("sensor_gaps", 'SELECT patient_id, ts AS last, following AS "next", (epoch_us(following) - epoch_us(ts)) // 60000000 AS minutes FROM (SELECT *, lead(ts) OVER (PARTITION BY patient_id ORDER BY ts, id) AS following FROM r) WHERE following IS NULL OR epoch_us(following) - epoch_us(ts) > 900000000')
 def sensor_gaps(spark, d):
     return metrics.sensor_gaps(readings(spark, d))
 

@@ -81,3 +81,18 @@ def log_entries(log: DataFrame, start: str | None = None, end: str | None = None
         log = log.where(F.col("event_type").isin(*kinds))
     return log.orderBy("ts", "id")
 
+
+def log_values(log: DataFrame) -> DataFrame:
+    """(id, ts, event_type, key, value, kind): a row for each value of an entry's JSON object, decoded with its type's name.
+
+    Entries that hold other JSON, or text that isn't JSON, are one row with a null key; those without values give none.
+    """
+    doc = F.try_parse_json("values_json")
+    members = F.try_variant_get("doc", "$", "map<string, variant>")
+    whole = F.map_from_arrays(F.array(F.lit("")), F.array(F.coalesce("doc", F.to_variant_object(F.array("values_json")))))
+    is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT<"), F.lit(False))
+    rows = log.where("values_json is not null").select("id", "ts", "event_type", "values_json", doc.alias("doc"))
+    each = rows.select("id", "ts", "event_type", "values_json", F.col("doc").isNotNull().alias("is_json"), is_object.alias("is_object"), F.explode(F.when(is_object, members).otherwise(whole)).alias("key", "v"))
+    value = F.when(F.col("is_json"), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))).otherwise(F.col("values_json"))
+    kind = F.when(F.col("is_json"), F.regexp_extract(F.lower(F.schema_of_variant("v")), "^[a-z]+", 0)).otherwise("text")
+    return each.select("id", "ts", "event_type", F.when(F.col("is_object"), F.col("key")).alias("key"), value.alias("value"), kind.alias("kind"))

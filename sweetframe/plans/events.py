@@ -242,3 +242,8 @@ def changed_keys(spark, d):
 def log_entries(spark, d):
     got = settings.log_entries(cohort.log_entries(spark, d), "2024-01-05", "2024-01-20", ("purchase", "error"))
     return got.withColumn("k", F.from_json("values_json", "k int")["k"])
+
+
+@query("log_values", "SELECT event_id AS id, ts, event_type, 'k' AS key, CAST(k AS VARCHAR) AS value, 'bigint' AS kind FROM e WHERE k IS NOT NULL")
+def log_values(spark, d):
+    return settings.log_values(cohort.log_entries(spark, d))

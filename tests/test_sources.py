@@ -45,3 +45,15 @@ def test_projection_without_text_time_and_sink(spark, tmp_path):
     assert [(str(r["ts"]), r["sgv_mmol"], r["arrow"]) for r in got] == [("2024-01-01 00:00:00", 5.0, "→"), ("2024-01-01 00:00:00", 7.0, "?")]
     ingest.write_dataset(cohort.read_readings(spark, str(tmp_path / "r.json")), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).where("patient_id = 2").count() == 1
+
+
+def test_log_values_are_decoded_and_what_is_no_json_stays_text(spark):
+    from sweetframe.operators import settings
+
+    rows = [(1, '{"a": 1, "b": "x", "c": null, "d": [1, 2], "e": {"f": true}, "g": 1.5}'), (2, "plain text"), (3, "[1]"), (4, None), (5, '"quoted"'), (6, "{}")]
+    log = spark.createDataFrame(rows, "id long, values_json string").selectExpr("id", "timestamp '2024-01-01' as ts", "'x' as event_type", "values_json")
+    got = sorted((r["id"], r["key"] or "", r["value"], r["kind"]) for r in settings.log_values(log).collect())
+    assert got == [
+        (1, "a", "1", "bigint"), (1, "b", "x", "string"), (1, "c", "null", "void"), (1, "d", "[1,2]", "array"), (1, "e", '{"f":true}', "object"), (1, "g", "1.5", "decimal"),
+        (2, "", "plain text", "text"), (3, "", "[1]", "array"), (5, "", "quoted", "string"),
+    ]

@@ -27,7 +27,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group: Jaccard similarity of 0.8 or more of the sets of five-word shingles."""
+    """Keeps one document of each near-duplicate group: Jaccard similarity of 0.8 or more of the sets of five-word shingles.
+
+    Multi-index hashing of SimHash prints names what differs in 4 bits at most, as in op9; bands and odd sketches name the
+    similar pairs whose prints differ in more. All are confirmed on the full sets.
+    """
     return oddsketch.one_of_each(docs)
 
 

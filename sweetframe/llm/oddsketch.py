@@ -11,7 +11,7 @@ d shingles differ in d bits at most, so that it lets no similar pair go, and tel
 shingles nearly exactly. What passes is confirmed on the full sets, so that no link is false.
 
 Equal sets are one node (told by 128 bits), so that copies cost nothing. Large groups of near copies are linked by stars
-first: each node meets one hub, of the hubs of its bands the nearest by sketch; a band's hub is its node with the most band
+first: each node meets one hub, that of most of its bands, if their sketches allow it; a band's hub is its node with the most band
 mates, as the text that copies were made from shares more bands with each of them than they do with each other. Nodes of a
 band that lie in different components are then compared by sketch, inside the tasks, in rounds in which each node names its
 nearest node of another component only; a last round confirms all pairs that are still in question. So the pairs that are
@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sweetframe.llm import simhash
 from sweetframe.llm._common import bounded_batches, cut
 from sweetframe.llm.components import components
 from sweetframe.llm.simhash import shingle_hashes
@@ -122,12 +123,15 @@ def shingle_set(text: str | bytes | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def signature(text: Column, size: int, similar: tuple[int, int]) -> Column:
-    """struct<node, n_shingles, bands, sketch, parity> of the set of the text's shingles; without words, a null node and no bands."""
+def signature(text: Column, size: int, similar: tuple[int, int], prints: bool = False) -> Column:
+    """struct<node, n_shingles, bands, sketch, parity, print> of the set of the text's shingles; without words, a null node and no bands.
+
+    print: the set's SimHash fingerprint, if asked for.
+    """
     bands, of_band = bands_for(similar)
     bounded_batches(SparkSession.active(), rows=500, mb=2)
 
-    @F.pandas_udf("struct<node: binary, n_shingles: bigint, bands: array<bigint>, sketch: binary, parity: binary>")
+    @F.pandas_udf("struct<node: binary, n_shingles: bigint, bands: array<bigint>, sketch: binary, parity: binary, print: bigint>")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
@@ -137,10 +141,11 @@ def signature(text: Column, size: int, similar: tuple[int, int]) -> Column:
                 own = shingle_set(t, size)
                 if len(own):
                     least = samples(own, bands * of_band)
-                    rows.append((xxh3_128_digest(own.tobytes()), len(own), band_keys(least, of_band), odd_sketch(least), set_parity(own)))
+                    rows.append((xxh3_128_digest(own.tobytes()), len(own), band_keys(least, of_band), odd_sketch(least), set_parity(own), simhash.majority(own) if prints else None))
                 else:
-                    rows.append((None, 0, [], None, None))
-            yield pd.DataFrame(rows, columns=["node", "n_shingles", "bands", "sketch", "parity"])
+                    rows.append((None, 0, [], None, None, None))
+            out = pd.DataFrame([r[:-1] for r in rows], columns=["node", "n_shingles", "bands", "sketch", "parity"])
+            yield out.assign(print=pd.array([r[-1] for r in rows], "Int64"))  # not as floats, which are rounded
 
     return signed.asNondeterministic()(text)
 
@@ -325,8 +330,22 @@ def _in_question(entries: DataFrame, own: DataFrame, found: DataFrame) -> DataFr
     return rows.repartition("slot").sortWithinPartitions("slot", "group")
 
 
-def _linked(signed: DataFrame, sets: _Sets, similar: tuple[int, int]) -> DataFrame:
-    """(node, component) of the nodes that have a similar one."""
+def _by_prints(signed: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes whose SimHash prints differ in 4 bits at most, such that they connect just what all those pairs would.
+
+    Multi-index hashing of the distinct prints; nodes of one print meet the least of them.
+    """
+    nodes = signed.where("node is not null").select("node", "print").distinct()
+    one = cut(nodes.groupBy("print").agg(F.min("node").alias("least")))
+    same = nodes.join(one, "print").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    links = simhash.near_links(one.select(F.col("print").alias("node"), F.col("print").alias("w0")), simhash.NARROW)
+    u, v = (one.select(F.col("print").alias(f"{c}_print"), F.col("least").alias(c)) for c in "uv")
+    near = links.select(F.col("u").alias("u_print"), F.col("v").alias("v_print")).join(u, "u_print").join(v, "v_print").select("u", "v")
+    return near.unionByName(same)
+
+
+def _linked(signed: DataFrame, sets: _Sets, similar: tuple[int, int], first: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the nodes that have a similar one. first: pairs (u, v) of nodes that are confirmed with the stars."""
     near = Near(similar)
     entries = signed.select("node", F.explode("bands").alias("band")).distinct()
     shared = entries.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1")
@@ -335,38 +354,43 @@ def _linked(signed: DataFrame, sets: _Sets, similar: tuple[int, int]) -> DataFra
     own = cut(signed.select("node", "n_shingles", "sketch", "parity").join(weights, "node").dropDuplicates(["node"]))  # nodes with band mates only
 
     hubs = entries.join(own.select("node", "weight"), "node").groupBy("band").agg(F.max(F.struct("weight", F.xxhash64("node"), "node")).alias("hub")).select("band", F.col("hub.node").alias("v"))
-    stars = entries.select("band", F.col("node").alias("u")).join(hubs, "band").where("u <> v").select("u", "v").distinct()
+    met = entries.select("band", F.col("node").alias("u")).join(hubs, "band").where("u <> v").groupBy("u", "v").agg(F.count("*").alias("shared"))
+    stars = met.groupBy("u").agg(F.max(F.struct("shared", F.xxhash64("v"), "v")).alias("best")).select("u", "best.v")
     u, v = (own.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n_shingles", "sketch", "parity")]) for c in "uv")
     distance = apart(*[[f"{c}_{x}" for x in ("n_shingles", "sketch", "parity")] for c in "uv"], similar)
-    stars = stars.join(u, "u").join(v, "v").select("u", "v", distance.alias("apart")).where("apart is not null")
-    pairs = cut(stars.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", "best.v"))
+    pairs = stars.join(u, "u").join(v, "v").select("u", "v", distance.alias("apart")).where("apart is not null").select("u", "v")
+    pairs = cut(pairs if first is None else pairs.unionByName(first).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
-    tested = links = None
+    tested = None
     found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
-    for turn in range(_ROUNDS + 2):  # the stars, rounds of nearest nodes, and all that is left
-        if not pairs.isEmpty():
+    turn, last = 0, False
+    while True:  # the stars, rounds of nearest nodes, and all that is left
+        untested = not pairs.isEmpty()
+        if untested:
             tested = pairs if tested is None else tested.unionByName(pairs)
-            new = cut(sets.confirmed(pairs))
-            links = new if links is None else links.unionByName(new)
-            found = cut(components(links))
-        if turn > _ROUNDS:
+            links = sets.confirmed(pairs)
+            found = cut(components(links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))))
+        if last:
             break
-        named = _in_question(entries, own, found).mapInArrow(_compare(near, turn < _ROUNDS), "u binary, v binary")
-        named = cut(named.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        last = turn >= _ROUNDS or turn > 0 and not untested  # a round that tests nothing new would name the same again
+        turn += 1
+        named = _in_question(entries, own, found).mapInArrow(_compare(near, not last), "u binary, v binary")
+        named = named.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        known = pairs.limit(0) if tested is None else tested
+        known = known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit(True).alias("known"))
+        named = cut(named.join(known, ["u", "v"], "left"))
         if named.isEmpty():  # no two nodes of two components seem similar
             break
-        pairs = named
-        if tested is not None:
-            known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-            pairs = cut(named.join(known, ["u", "v"], "left_anti"))
+        pairs = named.where("known is null").select("u", "v")
     return found
 
 
-def _signed(docs: DataFrame, text: str, key: str, size: int, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """(id, hash, node, n_shingles, bands, sketch) of the rows, written; and the nodes' components."""
+def _signed(docs: DataFrame, text: str, key: str, size: int, similar: tuple[int, int], prints: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, hash, node, n_shingles, bands, sketch, parity, print) of the rows, written; and the nodes' components."""
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias("text"))
-    signed = cut(texts.select("id", "hash", signature(F.col("text"), size, similar).alias("s")).select("id", "hash", "s.*"))
-    return signed, _linked(signed, _Sets(texts, signed.select("id", "hash", "node"), size, similar), similar)
+    signed = cut(texts.select("id", "hash", signature(F.col("text"), size, similar, prints).alias("s")).select("id", "hash", "s.*"))
+    first = _by_prints(signed) if prints else None
+    return signed, _linked(signed, _Sets(texts, signed.select("id", "hash", "node"), size, similar), similar, first)
 
 
 def near_groups(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 3, similar: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -387,10 +411,11 @@ def near_groups(docs: DataFrame, *, text: str = "text", key: str = "doc_id", siz
 def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5, similar: tuple[int, int] = (80, 100)) -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the least key (nulls first, then the least text hash).
 
-    Texts without words are a group of their own. Only keys and hashes are grouped; texts move once, to meet the rows that
+    Pairs are found by multi-index hashing of the sets' SimHash prints and confirmed; what differs in more bits than that
+    finds, by bands and odd sketches. Texts without words are a group of their own. Only keys and hashes are grouped; texts move once, to meet the rows that
     go, if those are too many to broadcast. Columns of any name stay.
     """
-    signed, found = _signed(docs, text, key, size, similar)
+    signed, found = _signed(docs, text, key, size, similar, prints=True)
     same = lambda a, b: a["key"].eqNullSafe(b["key"]) & a["hash"].eqNullSafe(b["hash"])
     rows = signed.join(found, "node", "left").select(F.col("id").alias("key"), "hash", F.coalesce("component", "node", F.lit(b"")).alias("component"))
     rows = cut(rows.groupBy("component", "key", "hash").agg(F.count("*").alias("times")))

@@ -163,3 +163,44 @@ def test_columns_of_any_name_stay(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", 1, 2, 3, 4), (2, "a b c d e f g", 1, 2, 3, 4), (3, "x y", 5, 6, 7, 8)], "doc_id long, text string, times int, key int, hash int, row int")
     out = oddsketch.one_of_each(docs)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.where("doc_id <> 2").collect()))
+
+
+def test_one_of_each_pairs_by_multi_index_hashing_and_confirms(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = [t for _ in range(6) for t in copies(rnd, 4, words=400, spread=2)] + ["a b c d e f", "A b c D e f", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    prints, asked = {i: oddsketch.simhash.majority(oddsketch.shingle_set(t, 5)) for i, t in enumerate(texts) if t}, []
+    linked = oddsketch._linked
+    monkeypatch.setattr(oddsketch, "_linked", lambda *a: asked.append(a) or linked(*a))
+    oddsketch.one_of_each(docs).collect()
+    (signed, _, _, first) = asked[0]
+    node = {r["id"]: bytes(r["node"]) for r in signed.collect() if r["node"] is not None}
+    assert {r["id"]: r["print"] for r in signed.collect()} == {**dict.fromkeys(range(len(texts))), **prints}
+    root = {n: n for n in node.values()}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for r in first.collect():
+        root[find(bytes(r["u"]))] = find(bytes(r["v"]))
+    got = {(i, j) for i in prints for j in prints if i < j and find(node[i]) == find(node[j])}
+    group = {i: i for i in prints}
+    for i in prints:
+        for j in prints:
+            if i < j and ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 4:
+                group = {k: group[i] if g == group[j] else g for k, g in group.items()}
+    assert got == {(i, j) for i in prints for j in prints if i < j and group[i] == group[j]} and len(got) > 10
+
+
+def test_components_of_stars_take_no_round_and_others_end_as_stars(spark, monkeypatch):
+    from sweetframe.llm import components
+
+    rounds, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda edges, large: rounds.append(large) or star(edges, large))
+    edges = lambda x: spark.createDataFrame(x, "u long, v long")
+    got = components.components(edges([(5, 1), (6, 1), (1, 7), (9, 8)])).collect()
+    assert not rounds and {tuple(r) for r in got} == {(1, 1), (5, 1), (6, 1), (7, 1), (8, 8), (9, 8)}
+    got = components.components(edges([(i, i + 1) for i in range(40)] + [(50, 51)])).collect()
+    assert rounds and {tuple(r) for r in got} == {(i, 0) for i in range(41)} | {(50, 50), (51, 50)} and len(got) == 43

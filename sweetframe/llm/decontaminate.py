@@ -35,8 +35,8 @@ from sweetframe.llm._common import bounded_batches, cut
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = 0x9E3779B97F4A7C15
-_BITS, _CHUNK, _STEP = 22, 1 << 20, 8
-_WORK = 1 << 19  # places of probes that are told apart by band at once
+_BITS, _CHUNK, _STEP = 22, 1 << 18, 8
+_WORK = 1 << 17  # places of probes that are told apart by band at once
 _ITEMS = 1 << 16  # characters of items whose probes are held at once
 _SEPARATOR = 10  # between texts; plain texts don't hold it
 

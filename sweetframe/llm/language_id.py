@@ -255,7 +255,7 @@ def identify(spark: SparkSession, model: LanguageModel, text: Column, cache_word
                 known, logs, new = {}, logs[:0], list(set(flat))
             if new and m.languages:
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                logs = np.vstack([logs, *(log_marginals(lattice, m.prob, new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
+                logs = np.vstack([logs, *(log_marginals(lattice, m.prob, new[i : i + 4_000]) for i in range(0, len(new), 4_000))])
             counts = np.array([len(r) for r in runs], np.int64)
             best, score = np.full(len(runs), len(m.languages)), np.zeros(len(runs))
             if flat and m.languages:

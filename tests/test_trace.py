@@ -109,3 +109,28 @@ def test_equal_left_rows_of_an_interval_aggregate_stay_apart(spark):
     right = spark.createDataFrame([(1, at, 5), (1, at, 6)], "patient_id long, ts timestamp, v int")
     got = timejoin.interval_agg(left, right, lo=micros(F.col("ts")), hi=micros(F.col("ts")), columns=["v"], aggregates={"s": F.sum("r_v")}).collect()
     assert [(r["m"], r["s"]) for r in got] == [({"k": 1}, 11)] * 2
+
+
+def test_shifted_equals_brute_force_and_enters_no_probe_by_offset(spark):
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    from sweetframe.operators import variability
+
+    rnd, start = random.Random(3), datetime(2024, 1, 3, tzinfo=timezone.utc)
+    rows = [(rnd.randint(1, 2), f"i{k}", start + timedelta(seconds=rnd.choice([rnd.randint(0, 1_300_000), rnd.randint(80_000, 90_000), 600_000])), rnd.randint(40, 300)) for k in range(2_000)]
+    rows += [(1, "i5", start, 77), (1, None, start, 70), (2, "early", datetime(1969, 12, 31, 23, tzinfo=timezone.utc), 90), (2, "eve", datetime(1970, 1, 1, 0, 2, tzinfo=timezone.utc), 95)]
+    minute = lambda t: int(t.timestamp() // 60)
+    last = {}
+    for p, i, t, v in rows:
+        last[p, minute(t)] = max(last.get((p, minute(t)), (t, "", -1)), (t, i or "", v))
+    for lags in (variability.LAGS, {"near": 2}):
+        want = {}
+        for p, i, t, v in rows:
+            for name, m in lags.items():
+                hit = next(((o, last[p, minute(t) - m + o][2], v) for o in range(-5, 6) if (p, minute(t) - m + o) in last), None)
+                if hit:
+                    want[p, i, name] = min(want.get((p, i, name), hit), hit)
+        found = variability.shifted(spark.createDataFrame(rows, "patient_id long, id string, ts timestamp, sgv int").repartition(5), lags)
+        assert sorted(map(tuple, found.collect())) == sorted((p, name, past, now) for (p, _, name), (_, past, now) in want.items())
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("offset") <= 4 * len(lags) + 4  # 11 of each lag before

@@ -119,3 +119,18 @@ def test_projections_of_stored_documents_read_their_columns_only(spark, tmp_path
         assert "parse_json" not in plan.lower() and "variant" not in plan.lower()
     read = devices.bg_predictions(stored)._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split("\n")[0]
     assert "predictions" in read and "reservoir" not in read and "state" not in read
+
+
+def test_named_columns_equal_those_of_the_whole_document_and_read_no_other_leaves(spark):
+    from sweetframe.operators import devices
+    from sweetframe.sources import cohort
+
+    docs = cohort.devicestatus_shapes(spark, "/root/testdata/sf0.001")
+    columns, state = ("iob", "cob", "source", "state", "suggested_sens", "openaps_iob"), ("eventual_bg", "variable_sens", "carbs_required")
+    some = devices.typed(docs, columns=columns, state=state)
+    whole = devices.typed(docs).select("patient_id", "id", "ts", *[c for c in columns if c != "state"], "state")
+    want = {r["id"]: (*[r[c] for c in columns if c != "state"], r["state"] and tuple(r["state"][k] for k in state)) for r in whole.collect()}
+    got = {r["id"]: (*[r[c] for c in columns if c != "state"], r["state"] and tuple(r["state"][k] for k in state)) for r in some.collect()}
+    assert got == want and len(want) > 50 and {x[-1] is None for x in want.values()} == {True, False}
+    assert some.columns == ["patient_id", "id", "ts", *columns]
+    assert "$.predBGs" not in (plan := some._jdf.queryExecution().optimizedPlan().toString()) and "$.pump.extended.ActiveProfile" not in plan
